@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import secretscan, tokenpack, warc
+from . import decontaminate, secretscan, simhash, tokenpack, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,10 +35,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op6_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    flag = decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), flag.alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_segments": op2_warc_segments,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op6_simhash_variants": op6_simhash_variants,
+    "op10_suffix_automaton": op10_suffix_automaton,
 }
 
 ORACLE_SQL: dict[str, str] = {
