@@ -217,6 +217,6 @@ def clean(docs: DataFrame, items: DataFrame, *, coverage: int = 20, longest: int
     bad = found.where(over)
     if drop:
         return docs.join(bad.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
-    cut = F.udf(lambda t, s: remove_spans(t, [(x["start"], x["end"]) for x in s]), "string")
+    cut = F.udf(lambda t, s: t if s is None else remove_spans(t, [(x["start"], x["end"]) for x in s]), "string")
     joined = docs.join(bad.select(F.col("doc_id").alias(id_col), F.col("spans").alias("_spans")), id_col, "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut(text_col, "_spans")).otherwise(F.col(text_col))).select(*docs.columns)
+    return joined.withColumn(text_col, cut(text_col, "_spans")).select(*docs.columns)

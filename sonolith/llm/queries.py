@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, secretscan, simhash, tokenpack, warc
+from . import decontaminate, gam, rulelists, secretscan, simhash, tokenpack, warc
+from .common import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,11 +36,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op5_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = gam.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulelists.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -51,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_segments": op2_warc_segments,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_additive_model": op5_additive_model,
     "op6_simhash_variants": op6_simhash_variants,
+    "op8_decision_lists": op8_decision_lists,
     "op10_suffix_automaton": op10_suffix_automaton,
 }
 

@@ -186,6 +186,8 @@ def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 32, steps:
     rows: list[tuple[int, int, int, int, int]] = []
     if not len(lengths):
         return np.zeros((0, 5), np.int64), {"sequences": 0, "lower_bound": 0}
+    if len(lengths) <= 64:  # few lengths: no rounding up to size classes
+        unit, steps, sand = 1, min(steps, 200), 0
     room = capacity // unit
     size = -(-lengths // unit)
     classes = np.unique(size)
