@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, gam, rulelists, secretscan, simhash, suffixtree, tokenpack, warc
+from . import decontaminate, gam, rulelists, secretscan, simhash, suffixdedup, suffixtree, tokenpack, warc
 from .common import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,10 @@ def op8_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulelists.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"), window=200)
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_additive_model": op5_additive_model,
     "op6_simhash_variants": op6_simhash_variants,
     "op8_decision_lists": op8_decision_lists,
+    "op9_induced_suffixes": op9_induced_suffixes,
     "op10_suffix_automaton": op10_suffix_automaton,
 }
 
