@@ -74,12 +74,14 @@ def _all_bits():
     return F.array(*[F.lit(k) for k in range(32)])
 
 
-def links(fps: DataFrame, *, crowd: int = 64) -> DataFrame:
+def links(fps: DataFrame, *, crowd: int = 64, broadcast_keys: int = 1_000_000) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints at 2 or fewer differing bits.
 
     fps: distinct values in a long column `fp`. Variants of up to `crowd` fingerprints give
     their verified pairs, larger ones stars of their refined groups; both link exactly those
-    within the distance, through each other at least, and lose no link.
+    within the distance, through each other at least, and lose no link. Keys of variants of
+    three and more are broadcast while they are at most `broadcast_keys` (16 bytes each) and
+    joined by a shuffle beyond that.
     """
     variant = lambda k: F.transform(_all_bits(), lambda bit: _wild(_segment(F.col("fp"), k), bit).bitwiseOR(F.lit(k << 40)))
     index = fps.select("fp", F.explode(F.concat(variant(0), variant(1))).alias("key"))
@@ -87,11 +89,14 @@ def links(fps: DataFrame, *, crowd: int = 64) -> DataFrame:
     sizes = materialise(sizes, "variants")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
     pairs = sizes.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).where(close(F.col("a"), F.col("b")))
-    some = index.join(sizes.where(f"n > 2 and n <= {crowd}").select("key"), "key")
+    # members of larger variants; their keys are few unless the texts are mostly near copies
+    larger = sizes.where("n > 2").select("key", "n")
+    members = materialise(index.join(F.broadcast(larger) if larger.count() <= broadcast_keys else larger, "key"), "members")
+    some = members.where(f"n <= {crowd}")
     other = some.select("key", F.col("fp").alias("b"))
     several = some.select("key", F.col("fp").alias("a")).join(other, "key").where("a < b").where(close(F.col("a"), F.col("b"))).select("a", "b")
     # crowded variants: the key is segment, wildcard bit and the rest of the segment
-    many = index.join(sizes.where(f"n > {crowd}").select("key"), "key").withColumn("seg", F.shiftright("key", 40).bitwiseAND(F.lit(1)))
+    many = members.where(f"n > {crowd}").withColumn("seg", F.shiftright("key", 40).bitwiseAND(F.lit(1)))
     other = F.when(F.col("seg") == 0, _segment(F.col("fp"), 1)).otherwise(_segment(F.col("fp"), 0))
     own = F.when(F.col("seg") == 0, _segment(F.col("fp"), 0)).otherwise(_segment(F.col("fp"), 1))
     many = many.select("fp", "key", own.alias("own"), other.alias("other"))
