@@ -27,8 +27,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     table is computed once however many later jobs read it.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")  # the shuffle files of this job are of no more use after it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def doc_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, gam, rulelists, secretscan, simhash, suffixdedup, suffixtree, tokenpack, warc
+from . import decontaminate, gam, linededup, rulelists, secretscan, simhash, suffixdedup, suffixtree, tokenpack, warc
 from .common import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,11 @@ def op6_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulelists.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_additive_model": op5_additive_model,
     "op6_simhash_variants": op6_simhash_variants,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_decision_lists": op8_decision_lists,
     "op9_induced_suffixes": op9_induced_suffixes,
     "op10_suffix_automaton": op10_suffix_automaton,
