@@ -147,6 +147,20 @@ def _parts(items: DataFrame, id_col: str, text_col: str, max_words: int) -> Iter
     yield block
 
 
+def _automata(docs: DataFrame, items: DataFrame, window: int, item_id_col: str, item_text_col: str, max_words: int) -> list:
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(Automaton(block, window)) for block in _parts(items, item_id_col, item_text_col, max_words)]
+
+
+def _hits(automata: list, words: list[str]) -> tuple[list[tuple[int, int]], set[int], int]:
+    """Spans, items and the longest match over all automata."""
+    spans, found, longest = [], set(), 0
+    for a in automata:
+        more, own, n = a.value.hits(words)
+        spans, found, longest = _union(spans + more) if spans and more else spans or more, found | own, max(longest, n)
+    return spans, found, longest
+
+
 def find(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = 1_000_000) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
@@ -157,8 +171,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "
     items, a bound on what is broadcast; a larger benchmark takes several automata, which the
     same pass applies in turn.
     """
-    sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(Automaton(block, window)) for block in _parts(items, item_id_col, item_text_col, max_words)]
+    automata = _automata(docs, items, window, item_id_col, item_text_col, max_words)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>, longest long"
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -168,10 +181,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "
             rows = []
             for text in batch["text"].to_pylist():
                 words = words_of(text)
-                spans, found, longest = [], set(), 0
-                for a in automata:
-                    more, own, n = a.value.hits(words)
-                    spans, found, longest = _union(spans + more) if spans and more else spans or more, found | own, max(longest, n)
+                spans, found, longest = _hits(automata, words)
                 rows.append((len(words), sum(e - s for s, e in spans), sorted(found), [{"start": s, "end": e} for s, e in spans], longest))
             cols = list(zip(*rows, strict=True))
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(span), pa.int64()]
@@ -203,20 +213,36 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return text
 
 
+def _without(docs: DataFrame, items: DataFrame, coverage: int, longest: int | None, text_col: str, window: int = 13, item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = 1_000_000) -> DataFrame:
+    automata = _automata(docs, items, window, item_id_col, item_text_col, max_words)
+
+    def keep(text: str | None) -> bool:
+        words = words_of(text or "")
+        spans, _, most = _hits(automata, words)
+        n_hit = sum(e - s for s, e in spans)
+        return not (contaminated(n_hit, len(words), coverage) or longest is not None and most > longest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4 << 20):
+            yield batch.filter(pa.array([keep(t) for t in batch[text_col].to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def clean(docs: DataFrame, items: DataFrame, *, coverage: int = 20, longest: int | None = None, drop: bool = True, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """`docs` without contamination, with the same columns.
 
     A document over the coverage limit, or with a shared sequence longer than `longest`
-    words, is dropped, or with `drop=False` loses the hit spans. Ids must be distinct;
-    rows with a null id are kept as they are.
+    words, is dropped in one pass over the texts, or with `drop=False` loses the hit spans, for
+    which ids must be distinct and rows with a null id stay as they are.
     """
+    if drop:
+        return _without(docs, items, coverage, longest, text_col, **more)
     found = find(docs, items, id_col=id_col, text_col=text_col, **more)
     over = contaminated(F.col("n_hit"), F.col("n_words"), coverage)
     if longest is not None:
         over = over | (F.col("longest") > longest)
     bad = found.where(over)
-    if drop:
-        return docs.join(bad.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
     cut = F.udf(lambda t, s: t if s is None else remove_spans(t, [(x["start"], x["end"]) for x in s]), "string")
     joined = docs.join(bad.select(F.col("doc_id").alias(id_col), F.col("spans").alias("_spans")), id_col, "left")
     return joined.withColumn(text_col, cut(text_col, "_spans")).select(*docs.columns)

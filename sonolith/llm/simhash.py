@@ -123,3 +123,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id",
     lowest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(lowest, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_col: str = "text", crowd: int = 64) -> DataFrame:
+    """The rows of `docs` with the smallest id of their component, in the same columns.
+
+    Null ids count as largest; of rows with equal ids in a component the text with the smaller
+    hash stays, and of rows with equal id and text one.
+    """
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), th.alias("th"))
+    prints = materialise(fingerprints(docs.select(key.alias("doc_id"), F.col(text_col).alias("text")), width=width).withColumnRenamed("doc_id", "k"), "simhash")
+    classes = materialise(prints.groupBy("fp").agg(F.min("k").alias("least")), "classes")
+    reach = components(links(classes.select("fp"), crowd=crowd))
+    heads = classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("least").alias("k"))
+    heads = heads.select(F.col("k.id").alias("_id"), F.col("k.th").alias("_head"))
+    kept = docs.withColumn("_th", th).join(heads, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_head")), "left_semi")
+    if not prints.groupBy("k").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "_th"])
+    return kept.select(*docs.columns)

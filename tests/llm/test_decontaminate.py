@@ -54,7 +54,7 @@ def test_clean(spark, docs, invented):
     rows, items = case(invented)
     bench = spark.createDataFrame(items, "item_id long, text string")
     bad = {i for i, t in rows for n, h, _ in [slow(t, items)] if h and 20 * h >= n}
-    table = docs([*rows, (None, "one")])
+    table = docs([*rows, (None, "nothing of theirs")])
     kept = decontaminate.clean(table, bench)
     assert kept.columns == table.columns
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - bad | {None}
