@@ -5,15 +5,17 @@ sample are the suffixes at content-defined places (the smallest gram hash of eac
 equal windows are sampled at equal places. Sampled suffixes are sorted by gram and by the
 string around them with Spark's external sort, whose runs spill to disk and are merged by a
 priority queue; a window's verdict is induced from its sampled suffix: if two occurrences have
-all their windows in common, that settles all of them at once, and only where neighbours in a
-gram's group differ are their windows compared one by one. No step holds a document collection,
-a gram's group or a class of copies in one task.
+all their windows in common, that settles all of them at once. Where the members of a gram's
+group differ, one member of each class goes on to blocks of 32, of 4 and of single windows:
+blocks that agree are settled, and those that share what all their windows have in common are
+cut further. No step holds a gram's group or a class of copies in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,13 +54,15 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:n], prefix[width - 1 : width - 1 + n])
 
 
-def sampled(data: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, gram hash): runs of window starts whose windows have the same sampled suffix.
+def sampled(data: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, y, gram hash): runs of window starts whose windows have the same sampled suffix.
+
+    y tells how far after the earliest possible one the first window starts.
 
     data: joined strings, each from starts[k] to ends[k]; windows do not cross them.
     """
     if len(data) < window:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     h = _gram_hashes(np.frombuffer(data, np.uint8))
     low = np.uint64((1 << _POS) - 1)
     least = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), window - GRAM + 1)
@@ -68,11 +72,12 @@ def sampled(data: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> t
     np.subtract.at(valid, ends[long] - window + 1, 1)
     at = np.flatnonzero(np.cumsum(valid[: len(least)], dtype=np.int8))
     if not len(at):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     place = (least[at] & low).astype(np.int64)
     cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(at) != 1)) + 1
     first, last = at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])]
-    return first, last, h[place[np.concatenate([[0], cut])]]
+    place = place[np.concatenate([[0], cut])]
+    return first, last, first - place + window - GRAM, h[place]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,10 +87,10 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def runs(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sampled suffixes of all texts: (g, s, doc_id, th, at, more).
+    """Sampled suffixes of all texts: (g, s, doc_id, th, at, more, y).
 
     g: the gram's hash; the windows from byte `at` to `at + more` have this sampled suffix;
-    s: a hash of the bytes that these windows span.
+    s: a hash of the bytes that these windows span; y: see `sampled`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +107,7 @@ def runs(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col
                 data = b"".join(parts[a:b])
                 ends = np.cumsum([len(p) for p in parts[a:b]])
                 starts = ends - [len(p) for p in parts[a:b]]
-                first, last, gram = sampled(data, starts, ends, window)
+                first, last, y, gram = sampled(data, starts, ends, window)
                 if not len(first):
                     continue
                 of = np.searchsorted(ends, first, "right")
@@ -110,9 +115,9 @@ def runs(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col
                 span = np.array([digest(data[i:j]) for i, j in zip(first.tolist(), (last + window).tolist(), strict=True)], np.uint64)
                 rows = pa.array(np.array(row[a:b])[of])
                 at = first - starts[of] + np.array(offset[a:b])[of]
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), batch["doc_id"].take(rows), batch["th"].take(rows), pa.array(at), pa.array((last - first).astype(np.int32))], ["g", "s", "doc_id", "th", "at", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(span.view(np.int64)), batch["doc_id"].take(rows), batch["th"].take(rows), pa.array(at), pa.array((last - first).astype(np.int32)), pa.array(y.astype(np.int32))], ["g", "s", "doc_id", "th", "at", "more", "y"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, f"g long, s long, doc_id {docs.schema[id_col].dataType.simpleString()}, th long, at long, more int")
+    return _rows(docs, id_col, text_col).mapInArrow(run, f"g long, s long, doc_id {docs.schema[id_col].dataType.simpleString()}, th long, at long, more int, y int")
 
 
 def _groups(parts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -127,43 +132,58 @@ def _groups(parts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield a, len(parts)
 
 
+#: Blocks of window starts that are compared at once, from level to level of the induction.
+LEVELS = (32, 4, 1)
+
+
 def repeated(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, lo, hi): ranges of window starts whose windows start anywhere else as well."""
     found = materialise(runs(docs, window=window, id_col=id_col, text_col=text_col), "runs")
     often = found.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
     found = materialise(found.join(often, "g"), "repeated-grams")
-    classes = materialise(found.groupBy("g", "s", "more").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("rep")), "classes")
+    classes = materialise(found.groupBy("g", "s", "more", "y").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("rep")), "classes")
     # all windows of such a class are repeated, whatever else its gram's group holds
     whole = found.join(classes.where("n > 1").select("g", "s", "more"), ["g", "s", "more"]).select("doc_id", "th", F.col("at").alias("lo"), (F.col("at") + F.col("more")).alias("hi"))
-    # where classes of a group differ, one member of each is compared window by window
+    marks = [materialise(whole, "marks")]
+    # where classes of a group differ, one member of each goes on with the bytes it spans
     mixed = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    asked = classes.join(mixed, "g").groupBy("rep.doc_id", "rep.th").agg(F.collect_list(F.struct("g", "s", "n", F.col("rep.at").alias("at"), "more")).alias("asked"))
-    windows = materialise(_windows(_rows(docs, id_col, text_col).join(asked, ["doc_id", "th"]), window).distinct(), "windows")
-    shared = windows.groupBy("g", "w").agg(F.sum("n").alias("n")).where("n > 1").select("g", "w")
-    single = windows.where("n = 1").join(shared, ["g", "w"]).select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.unionByName(single)
-
-
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """(g, w, doc_id, th, at, n): every window of the asked runs, with its hash w."""
+    asked = classes.join(mixed, "g").groupBy("rep.doc_id", "rep.th").agg(F.collect_set(F.struct(F.col("rep.at").alias("at"), "more", "y", "n")).alias("asked"))
+    texts = _rows(docs, id_col, text_col).join(asked, ["doc_id", "th"])
+    members = texts.select("doc_id", "th", F.col("text").cast("binary").alias("text"), F.inline("asked")).select("doc_id", "th", "at", "more", "y", "n", F.expr(f"substring(text, int(at) + 1, more + {window})").alias("span"))
+    # rows with equal id and text are one member: their number is in n
+    members = materialise(members.dropDuplicates(["doc_id", "th", "at"]).withColumn("id", F.monotonically_increasing_id()), "members")
+    pieces = members.select("id", F.lit(0).alias("lo"), F.col("more").alias("hi"), "n")
+    for level in LEVELS:
+        keys = materialise(_keys(pieces.join(members.select("id", "y", "span"), "id"), level, window), f"keys{level}")
+        same = keys.groupBy("c", "s").agg(F.sum("n").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("rep"))
+        same = materialise(same, f"same{level}")
+        cores = same.groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("all")).where("all > 1").select("c", "k")
+        done = keys.where("n = 1").join(same.where("n > 1").select("c", "s"), ["c", "s"])
+        done = done.join(members.select("id", "doc_id", "th", "at"), "id")
+        marks.append(materialise(done.select("doc_id", "th", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")), f"marks{level}"))
+        pieces = same.join(cores.where("k > 1"), "c").select("rep.*", "n")
+    return reduce(DataFrame.unionByName, marks)
+
+
+def _keys(pieces: DataFrame, level: int, window: int) -> DataFrame:
+    """(c, s, id, lo, hi, n): pieces cut at multiples of `level` window starts.
+
+    c: a hash of the bytes that all windows of the uncut block would share, so windows of two
+    pieces can be equal only under the same c; s: a hash of all bytes of the piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2 << 20):
-            digest = xxhash.xxh64_intdigest
-            g, w, row, at, n = [], [], [], [], []
-            for k, (text, asked) in enumerate(zip(batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True)):
-                data = text.encode()
-                for a in asked:
-                    span = range(a["at"], a["at"] + a["more"] + 1)
-                    w += [digest(data[i : i + window]) for i in span]
-                    at += span
-                    g += [a["g"]] * len(span)
-                    n += [a["n"]] * len(span)
-                    row += [k] * len(span)
-            rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(np.array(w, np.uint64).view(np.int64)), batch["doc_id"].take(rows), batch["th"].take(rows), pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["g", "w", "doc_id", "th", "at", "n"])
-
-    return texts.select("doc_id", "th", "text", "asked").mapInArrow(run, f"g long, w long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, th long, at long, n long")
+        digest = xxhash.xxh64_intdigest
+        for batch in small_batches(batches, 4 << 20):
+            out: list[tuple] = []
+            for k, lo, hi, n, y, span in zip(*(batch[c].to_pylist() for c in ("id", "lo", "hi", "n", "y", "span")), strict=True):
+                for x in range((y + lo) // level * level, y + hi + 1, level):
+                    a, b = max(x - y, lo), min(x - y + level - 1, hi)
+                    out.append((digest(span[x - y + level - 1 : x - y + window], x), digest(span[a : b + window], a - x + y), k, a, b, n))
+            c, s, *rest = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.uint64).view(np.int64)) for v in (c, s)] + [pa.array(v, t) for v, t in zip(rest, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["c", "s", "id", "lo", "hi", "n"])
+
+    return pieces.select("id", "lo", "hi", "n", "y", "span").mapInArrow(run, "c long, s long, id long, lo int, hi int, n long")
 
 
 def _spans(lo: np.ndarray, hi: np.ndarray, window: int) -> list[tuple[int, int]]:

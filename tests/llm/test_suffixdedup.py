@@ -41,7 +41,7 @@ def test_long_texts_in_pieces(docs, monkeypatch):
     long = "".join(r.choice("abcdefgh ") for _ in range(9_000))
     rows = [(1, long), (2, long[3000:3400] + "q" + long[7000:7300]), (3, "x" * 5000)]
     monkeypatch.setattr(suffixdedup, "_PIECE", 1000)
-    first, last, _ = suffixdedup.sampled(long.encode(), suffixdedup.np.array([0]), suffixdedup.np.array([9000]), 200)
+    first, last, *_ = suffixdedup.sampled(long.encode(), suffixdedup.np.array([0]), suffixdedup.np.array([9000]), 200)
     assert first[0] == 0 and last[-1] == 8800 and all(first[1:] == last[:-1] + 1)
     assert sorted(map(tuple, suffixdedup.dedup(docs(rows)).collect()), key=str) == slow(rows, 200)
 
