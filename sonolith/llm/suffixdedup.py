@@ -139,14 +139,14 @@ LEVELS = (32, 4, 1)
 def repeated(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, lo, hi): ranges of window starts whose windows start anywhere else as well."""
     found = materialise(runs(docs, window=window, id_col=id_col, text_col=text_col), "runs")
-    often = found.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    often = materialise(found.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "often")
     found = materialise(found.join(often, "g"), "repeated-grams")
     classes = materialise(found.groupBy("g", "s", "more", "y").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("rep")), "classes")
     # all windows of such a class are repeated, whatever else its gram's group holds
     whole = found.join(classes.where("n > 1").select("g", "s", "more"), ["g", "s", "more"]).select("doc_id", "th", F.col("at").alias("lo"), (F.col("at") + F.col("more")).alias("hi"))
     marks = [materialise(whole, "marks")]
     # where classes of a group differ, one member of each goes on with the bytes it spans
-    mixed = classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    mixed = materialise(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "mixed")
     asked = classes.join(mixed, "g").groupBy("rep.doc_id", "rep.th").agg(F.collect_set(F.struct(F.col("rep.at").alias("at"), "more", "y", "n")).alias("asked"))
     texts = _rows(docs, id_col, text_col).join(asked, ["doc_id", "th"])
     members = texts.select("doc_id", "th", F.col("text").cast("binary").alias("text"), F.inline("asked")).select("doc_id", "th", "at", "more", "y", "n", F.expr(f"substring(text, int(at) + 1, more + {window})").alias("span"))
