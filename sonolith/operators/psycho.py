@@ -7,18 +7,28 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bark, db10, erb_number, erb_to_hz, spreading_db
+from ..functions.numeric import ERB_NUMBER, ERB_SLOPE, bark, db10, erb_to_hz, spreading_db, threshold_in_quiet
 from .spectrum import box_smooth
 
+#: Offsets of the masking model and the level of a full-scale sine; fixed values.
+TONAL_OFFSET_DB, NOISE_OFFSET_DB, FULL_SCALE_SPL_DB = 14.5, 5.5, 96.0
 #: A peak stands this far above its third and fourth neighbours: 7 dB as a power ratio.
 PEAK_RATIO = 5.011872336272722
 
 
-def erb_bands(spark: SparkSession, rate: int, size: int) -> DataFrame:
-    """(band, lo, hi, centre_hz): bins of one ERB each, lo .. hi - 1; empty bands are left out."""
-    bins = spark.range(1, size // 2 + 1).select(F.col("id").alias("bin"), F.floor(erb_number(F.col("id") * rate / float(size))).cast("long").alias("band"))
-    bands = bins.groupBy("band").agg(F.min("bin").alias("lo"), (F.max("bin") + 1).alias("hi"))
-    return bands.withColumn("centre_hz", erb_to_hz(F.col("band") + 0.5))
+def erb_bands(spark: SparkSession, rate: int, size: int, lo_hz: float = 20.0, hi_hz: float = 20_000.0) -> DataFrame:
+    """(band, lo, hi, centre_hz, ath): bins lo .. hi - 1, one ERB wide; empty bands are left out.
+
+    ath: the lowest threshold in quiet of the band's bins, as a power of a full-scale sine.
+    """
+    hi_hz, width = min(hi_hz, rate / 2), rate / size
+    first, last = (ERB_NUMBER * math.log10(ERB_SLOPE * hz / 1000 + 1) for hz in (lo_hz, hi_hz))
+    edges = spark.range(int(math.floor(last - first + 1e-9)) + 1).select(F.col("id").alias("band"), erb_to_hz(F.col("id") + F.lit(first)).alias("from_hz"))
+    upper = F.coalesce(F.lead("from_hz").over(Window.orderBy("band")), F.lit(hi_hz))  # some forty rows
+    number = lambda hz: F.least(F.greatest(F.bround(hz / width), F.lit(0.0)), F.lit(float(size // 2 + 1))).cast("long")
+    bands = edges.select("band", number(F.col("from_hz")).alias("lo"), number(upper).alias("hi")).where("hi > lo")
+    quiet = F.array_min(F.transform(F.sequence("lo", F.col("hi") - 1), lambda k: threshold_in_quiet(k * width)))
+    return bands.withColumn("centre_hz", (F.col("lo") + F.col("hi") - 1) / 2.0 * width).withColumn("ath", F.pow(F.lit(10.0), (quiet - FULL_SCALE_SPL_DB) / 10))
 
 
 def band_energies(z: DataFrame, bands: DataFrame, power: Column) -> DataFrame:
@@ -27,21 +37,29 @@ def band_energies(z: DataFrame, bands: DataFrame, power: Column) -> DataFrame:
     return rows.groupBy("track", "t", "band").agg(F.sum(power).alias("e"))
 
 
-def thresholds(energies: DataFrame, bands: DataFrame, floor: float = 1e-9) -> DataFrame:
-    """(track, t, band, thr): energies spread over neighbouring bands, less an offset that grows with Bark."""
-    one = bands.select(F.col("band").alias("bi"), bark(F.col("centre_hz")).alias("zi"))
+def thresholds(z: DataFrame, bands: DataFrame) -> DataFrame:
+    """(track, t, band, thr): masking thresholds of a reference with powers `p` per (track, t, bin).
+
+    Band energies are spread over neighbouring bands and lowered by an offset between that of
+    noise and that of tones, by the share of energy in tonal peaks; not below the threshold in quiet.
+    """
+    p = F.greatest("p", F.lit(1e-30))
+    rows = tonal_peaks(z.select("track", "t", "bin", p.alias("p"))).join(F.broadcast(bands.select("band", "lo", "hi")), (F.col("bin") >= F.col("lo")) & (F.col("bin") < F.col("hi")))
+    energies = rows.groupBy("track", "t", "band").agg(F.sum("p").alias("e"), F.sum(F.when(F.col("near"), F.col("p")).otherwise(0.0)).alias("tonal"))
+    one = bands.select(F.col("band").alias("bi"), bark(F.col("centre_hz")).alias("zi"), "ath")
     two = bands.select(F.col("band").alias("bj"), bark(F.col("centre_hz")).alias("zj"))
     weight = F.pow(F.lit(10.0), spreading_db(F.col("zi") - F.col("zj")) / 10)
-    spread = one.crossJoin(two).withColumn("w", weight)  # bands x bands: some hundred rows
+    spread = one.join(two, F.lit(True)).withColumn("w", weight)  # bands x bands: some hundred rows
     spread = spread.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("bi")))
-    rows = energies.join(F.broadcast(spread), F.col("band") == F.col("bj"))
-    mixed = rows.groupBy("track", "t", F.col("bi").alias("band")).agg(F.sum(F.col("w") * F.col("e")).alias("e"), F.max("zi").alias("zi"))
-    return mixed.select("track", "t", "band", F.greatest(F.col("e") * F.pow(F.lit(10.0), -(5.5 + 0.3 * F.col("zi")) / 10), F.lit(floor)).alias("thr"))
+    own = F.sum(F.when(F.col("bi") == F.col("bj"), F.col("tonal") / F.col("e")).otherwise(0.0))
+    mixed = energies.join(F.broadcast(spread), F.col("band") == F.col("bj")).groupBy("track", "t", F.col("bi").alias("band")).agg(F.sum(F.col("w") * F.col("e")).alias("spread"), own.alias("alpha"), F.max("zi").alias("zi"), F.max("ath").alias("ath"))
+    offset = F.col("alpha") * (TONAL_OFFSET_DB + F.col("zi")) + (1 - F.col("alpha")) * NOISE_OFFSET_DB
+    return mixed.select("track", "t", "band", F.greatest(F.col("spread") * F.pow(F.lit(10.0), -offset / 10), F.col("ath")).alias("thr"))
 
 
 def noise_to_mask(z: DataFrame, bands: DataFrame, gain: float) -> DataFrame:
     """(track, t, band, ratio): power of test minus gain times reference over the threshold."""
-    thr = thresholds(band_energies(z, bands, F.col("are") ** 2 + F.col("aim") ** 2), bands)
+    thr = thresholds(z.withColumn("p", F.col("are") ** 2 + F.col("aim") ** 2), bands)
     noise = band_energies(z, bands, F.pow(F.col("bre") - gain * F.col("are"), 2) + F.pow(F.col("bim") - gain * F.col("aim"), 2))
     return noise.join(thr, ["track", "t", "band"]).select("track", "t", "band", (F.greatest("e", F.lit(1e-30)) / F.col("thr")).alias("ratio"))
 
@@ -79,8 +97,9 @@ def tonal_peaks(z: DataFrame) -> DataFrame:
     """Adds `peak`, a local maximum well above its further neighbours, and `near`, within two bins of one."""
     w = Window.partitionBy("track", "t").orderBy("bin")
     p, at = F.col("p"), lambda k: F.lag("p", k).over(w) if k > 0 else F.lead("p", -k).over(w)
-    far = F.greatest(*(F.coalesce(at(k), F.lit(0.0)) for k in (3, -3, 4, -4)))
-    rows = z.withColumn("peak", F.coalesce((p > at(1)) & (p >= at(-1)) & (p >= PEAK_RATIO * far), F.lit(False)))
+    far = p > PEAK_RATIO * F.greatest(at(3), at(-3), at(4), at(-4))
+    inner = at(4).isNotNull() & at(-4).isNotNull()
+    rows = z.withColumn("peak", F.coalesce(inner & (p > at(1)) & (p >= at(-1)) & far, F.lit(False)))
     return rows.withColumn("near", F.max(F.col("peak").cast("int")).over(w.rowsBetween(-2, 2)) == 1)
 
 
@@ -89,7 +108,7 @@ def phat_peaks(z: DataFrame, size: int) -> DataFrame:
     re, im = F.col("are") * F.col("bre") + F.col("aim") * F.col("bim"), F.col("are") * F.col("bim") - F.col("aim") * F.col("bre")
     rows = z.select("track", "t", "bin", re.alias("re"), im.alias("im")).withColumn("mag", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))
     white = lambda c: F.when(F.col("mag") > 1e-12, F.col(c) / F.when(F.col("mag") > 1e-12, F.col("mag"))).otherwise(0.0)
-    rows = rows.select("track", "t", "bin", white("re").alias("re"), white("im").alias("im"), F.explode(F.sequence(F.lit(-size // 2), F.lit(size // 2 - 1))).cast("long").alias("lag"))
+    rows = rows.select("track", "t", "bin", white("re").alias("re"), white("im").alias("im"), F.explode(F.sequence(F.lit(-size // 2).cast("long"), F.lit(size // 2 - 1).cast("long"))).alias("lag"))
     angle = 2 * math.pi * F.col("bin") * F.col("lag") / size
     both = F.when(F.col("bin").isin(0, size // 2), 1).otherwise(2)
     value = F.sum(both * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))) / size

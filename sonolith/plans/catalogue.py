@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import spectral
+from . import alignment, records, spectral
 
-_PARTS = (spectral,)
+_PARTS = (spectral, alignment, records)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}

@@ -115,7 +115,8 @@ def erb_band_energy(spark, d):
 
 
 def masking_threshold(spark, d):
-    thr = psycho.thresholds(psycho.band_energies(spectrum.bins(_frames(spark, d), ["track", "t"]), psycho.erb_bands(spark, RATE, 64), F.col("are") ** 2 + F.col("aim") ** 2), psycho.erb_bands(spark, RATE, 64))
+    z = spectrum.bins(_frames(spark, d), ["track", "t"]).withColumn("p", F.col("are") ** 2 + F.col("aim") ** 2)
+    thr = psycho.thresholds(z, psycho.erb_bands(spark, RATE, 64))
     return thr.groupBy("track", "band").agg(n.r6(F.avg(n.db10(F.col("thr")))).alias("threshold_db"))
 
 
@@ -126,7 +127,7 @@ def sfm_tonality(spark, d):
 
 
 def tonal_peaks(spark, d):
-    z = psycho.tonal_peaks(spectrum.bins(_frames(spark, d), ["track", "t"]).withColumn("p", F.col("are") ** 2 + F.col("aim") ** 2))
+    z = psycho.tonal_peaks(spectrum.bins(_frames(spark, d), ["track", "t"]).withColumn("p", F.greatest(F.col("are") ** 2 + F.col("aim") ** 2, F.lit(1e-30))))
     return z.groupBy("track", "t").agg(F.count_if("peak").alias("peaks"), n.r6(F.sum(F.when(F.col("near"), F.col("p")).otherwise(0.0)) / F.sum("p")).alias("tonal_share"))
 
 
@@ -168,17 +169,26 @@ def gcc_phat_lag(spark, d):
 QUERIES = {f.__name__: f for f in (band_stats, cross_spectrum_bins, broadband_vs_bands, pair_gain_polarity, hz_to_bin_dim, measurable_bands, ltas_knee, frame_cutoff_quartiles, erb_layout, erb_band_energy, masking_threshold, sfm_tonality, tonal_peaks, nmr_per_frame, nmr_histogram_quantile, nmr_time_grid, critical_window, gcc_phat_lag)} | {"phase_shift": phase_shifted, "spectral_verdict": verdicts}
 
 _RATIO = lambda a, b: f"CASE WHEN {a} > 0 AND {b} > 0 THEN 10 * log10({a} / {b}) END"
-_ERB_N = "21.4 * log10(4.37 * {0} / 1000 + 1)"
+_FIRST, _LAST = (21.4 * math.log10(4.37 * hz / 1000 + 1) for hz in (20.0, RATE / 2))
+_QUIET = "3.64 * pow(greatest({0}, 20.0) / 1000, -0.8) - 6.5 * exp(-0.6 * pow(greatest({0}, 20.0) / 1000 - 3.3, 2)) + 0.001 * pow(greatest({0}, 20.0) / 1000, 4)"
 _ERB_SQL = f"""
-eb AS (SELECT b AS bin, floor(21.4 * log10(4.37 * (b * {RATE} / 64.0) / 1000 + 1))::BIGINT AS band FROM (SELECT unnest(range(1, 33)) AS b)),
-el AS (SELECT band, min(bin) AS lo, max(bin) + 1 AS hi, (pow(10, (band + 0.5) / 21.4) - 1) / 4.37 * 1000 AS centre_hz FROM eb GROUP BY band)"""
+ed AS (SELECT k AS band, (pow(10.0, (k + {_FIRST!r}::DOUBLE) / 21.4) - 1) / 4.37 * 1000 AS hz FROM (SELECT unnest(range({int(_LAST - _FIRST + 1e-9) + 1})) AS k)),
+ei AS (SELECT band, least(round_even(hz / {RATE / 64}, 0), 33)::BIGINT AS lo, least(round_even(coalesce(lead(hz) OVER (ORDER BY band), {RATE / 2}) / {RATE / 64}, 0), 33)::BIGINT AS hi FROM ed),
+el AS (SELECT band, lo, hi, (lo + hi - 1) / 2.0::DOUBLE * {RATE / 64}::DOUBLE AS centre_hz FROM ei WHERE hi > lo)"""
 _BARK = "(13.0 * atan(0.00076 * {0}) + 3.5 * atan(pow({0} / 7500.0, 2)))"
-_THR_SQL = f"""
-be AS (SELECT track, t, band, sum(are * are + aim * aim) AS e FROM sp JOIN el ON bin >= lo AND bin < hi GROUP BY track, t, band),
-sw AS (SELECT i.band AS bi, j.band AS bj, i.centre_hz AS hz, pow(10, (15.81 + 7.5 * ({_BARK.format("i.centre_hz")} - {_BARK.format("j.centre_hz")} + 0.474)
+_PEAK_SQL = """
+pp AS (SELECT track, t, bin, greatest(are * are + aim * aim, 1e-30) AS p FROM sp),
+pc AS (SELECT *, coalesce(lag(p, 4) OVER w IS NOT NULL AND lead(p, 4) OVER w IS NOT NULL AND p > lag(p, 1) OVER w AND p >= lead(p, 1) OVER w
+        AND p > 5.011872336272722 * greatest(lag(p, 3) OVER w, lead(p, 3) OVER w, lag(p, 4) OVER w, lead(p, 4) OVER w), false) AS peak FROM pp WINDOW w AS (PARTITION BY track, t ORDER BY bin)),
+pk AS (SELECT *, max(peak::INT) OVER (PARTITION BY track, t ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS near FROM pc)"""
+_THR_SQL = f"""{_PEAK_SQL},
+be AS (SELECT track, t, band, sum(p) AS e, sum(CASE WHEN near THEN p ELSE 0 END) / sum(p) AS alpha FROM pk JOIN el ON bin >= lo AND bin < hi GROUP BY track, t, band),
+qu AS (SELECT band, pow(10.0, (min({_QUIET.format(f"(k * {RATE / 64}::DOUBLE)")}) - 96) / 10) AS ath FROM el, (SELECT unnest(range(33)) AS k) WHERE k >= lo AND k < hi GROUP BY band),
+sw AS (SELECT i.band AS bi, j.band AS bj, {_BARK.format("i.centre_hz")} AS zi, pow(10, (15.81 + 7.5 * ({_BARK.format("i.centre_hz")} - {_BARK.format("j.centre_hz")} + 0.474)
         - 17.5 * sqrt(1 + pow({_BARK.format("i.centre_hz")} - {_BARK.format("j.centre_hz")} + 0.474, 2))) / 10) AS w FROM el i, el j),
-sn AS (SELECT bi, bj, hz, w / sum(w) OVER (PARTITION BY bi) AS w FROM sw),
-th AS (SELECT track, t, bi AS band, greatest(sum(w * e) * pow(10, -(5.5 + 0.3 * ({_BARK.format("max(hz)")})) / 10), 1e-9) AS thr FROM be JOIN sn ON band = bj GROUP BY track, t, bi)"""
+sn AS (SELECT bi, bj, zi, w / sum(w) OVER (PARTITION BY bi) AS w FROM sw),
+ss AS (SELECT track, t, bi AS band, sum(w * e) AS spread, max(zi) AS zi, sum(CASE WHEN bi = bj THEN alpha ELSE 0 END) AS alpha FROM be JOIN sn ON band = bj GROUP BY track, t, bi),
+th AS (SELECT track, t, band, greatest(spread * pow(10.0, -(alpha * (14.5 + zi) + (1 - alpha) * 5.5) / 10), ath) AS thr FROM ss JOIN qu USING (band))"""
 _NMR_SQL = f"""{FRAMES_SQL}, {_ERB_SQL}, {_THR_SQL},
 nb AS (SELECT track, t, band, sum(pow(bre - 0.8::DOUBLE * are, 2) + pow(bim - 0.8::DOUBLE * aim, 2)) AS en FROM sp JOIN el ON bin >= lo AND bin < hi GROUP BY track, t, band),
 nm AS (SELECT track, t, band, greatest(en, 1e-30) / thr AS ratio FROM nb JOIN th USING (track, t, band)),
@@ -221,11 +231,7 @@ SQL = {
     "masking_threshold": f"WITH {FRAMES_SQL}, {_ERB_SQL}, {_THR_SQL} SELECT track, band, {r6('avg(10 * log10(greatest(thr, 1e-30)))')} AS threshold_db FROM th GROUP BY track, band",
     "sfm_tonality": f"""WITH {FRAMES_SQL}, p AS (SELECT track, t, 10 * log10(exp(avg(ln(greatest(are * are + aim * aim, 1e-30)))) / avg(greatest(are * are + aim * aim, 1e-30))) AS sfm FROM sp GROUP BY track, t)
         SELECT track, t, {r6("sfm")} AS sfm_db, {r6("least(1.0, greatest(0.0, sfm / -60))")} AS tonality FROM p""",
-    "tonal_peaks": f"""WITH {FRAMES_SQL}, p AS (SELECT track, t, bin, are * are + aim * aim AS p FROM sp),
-        c AS (SELECT *, coalesce(p > lag(p, 1) OVER w AND p >= lead(p, 1) OVER w AND p >= 5.011872336272722 * greatest(coalesce(lag(p, 3) OVER w, 0), coalesce(lead(p, 3) OVER w, 0), coalesce(lag(p, 4) OVER w, 0), coalesce(lead(p, 4) OVER w, 0)), false) AS peak
-              FROM p WINDOW w AS (PARTITION BY track, t ORDER BY bin)),
-        d AS (SELECT *, max(peak::INT) OVER (PARTITION BY track, t ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS near FROM c)
-        SELECT track, t, count(*) FILTER (peak) AS peaks, {r6("sum(CASE WHEN near THEN p ELSE 0 END) / sum(p)")} AS tonal_share FROM d GROUP BY track, t""",
+    "tonal_peaks": f"""WITH {FRAMES_SQL}, {_PEAK_SQL} SELECT track, t, count(*) FILTER (peak) AS peaks, {r6("sum(CASE WHEN near THEN p ELSE 0 END) / sum(p)")} AS tonal_share FROM pk GROUP BY track, t""",
     "nmr_per_frame": f"WITH {_NMR_SQL} SELECT track, t, {r6('total_db')} AS total_db, {r6('peak_db')} AS peak_db FROM nf",
     "nmr_histogram_quantile": f"""WITH {_NMR_SQL},
         h AS (SELECT track, least(319, greatest(0, floor((total_db + 100) / 0.5)))::BIGINT AS b, count(*) AS c FROM nf GROUP BY 1, 2),
