@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, records, spectral
+from . import alignment, records, spectral, streams
 
-_PARTS = (spectral, alignment, records)
+_PARTS = (spectral, alignment, records, streams)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
