@@ -92,4 +92,27 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN holder <> page_id THEN holder END AS refers_to
         FROM h""",
+    "op9_induced_suffixes": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        p AS (SELECT doc_id, k, md5(b[k + 1:k + 200]) AS h FROM d, LATERAL (SELECT unnest(range(0, n - 199)) AS k)),
+        r AS (SELECT doc_id, k FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+        i AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS g
+              FROM (SELECT *, (k > coalesce(lag(k) OVER (PARTITION BY doc_id ORDER BY k), -1000) + 200)::INT AS fresh FROM r)),
+        s AS (SELECT doc_id, min(k) AS lo, max(k) + 200 AS hi FROM i GROUP BY doc_id, g),
+        e AS (SELECT d.doc_id, b, n, coalesce(lag(hi) OVER (PARTITION BY d.doc_id ORDER BY lo), 0) AS a, lo AS z, hi FROM d JOIN s USING (doc_id)),
+        k AS (SELECT doc_id, string_agg(hex(b[a + 1:z]), '' ORDER BY z) || max_by(hex(b[hi + 1:]), z) AS kept, count(*) AS spans, sum(hi - z) AS gone FROM e GROUP BY doc_id)
+        SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE from_hex(kept) END) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op10_suffix_automaton": r"""
+        WITH w AS (SELECT regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, kind, id
+                   FROM (SELECT doc_id AS id, 'doc' AS kind, coalesce(text, '') AS t FROM documents UNION ALL SELECT item_id, 'item', coalesce(text, '') FROM benchmark)),
+        win AS (SELECT DISTINCT id AS item_id, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS g
+                FROM w, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 13) + 2)) AS k) WHERE kind = 'item' AND len(w) > 0),
+        dg AS (SELECT id AS doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM w, (SELECT DISTINCT n FROM win), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k) WHERE kind = 'doc'),
+        hit AS (SELECT doc_id, item_id, k, n FROM dg JOIN win USING (n, g)),
+        cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, LATERAL (SELECT unnest(range(k, k + n)) AS p) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+        SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM w LEFT JOIN cov ON id = cov.doc_id LEFT JOIN its ON id = its.doc_id WHERE kind = 'doc'""",
 }
