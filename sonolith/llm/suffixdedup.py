@@ -20,12 +20,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
 GRAM = 32
+_NO_ID = -(1 << 63)
 _PIECE = 4 << 20
 _POS = 28  # bits of a position inside a piece of a batch
 #: Odd multipliers of the rolling hash; any will do.
@@ -81,9 +82,13 @@ def sampled(data: bytes, starts: np.ndarray, ends: np.ndarray, window: int) -> t
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents with a key of their own: the id and a hash of the text."""
+    """Documents with a key of their own: the id, a null one as `_NO_ID`, and a hash of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col), _no_id(docs, id_col)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _no_id(docs: DataFrame, id_col: str) -> Column:
+    return F.lit(_NO_ID).cast(docs.schema[id_col].dataType)
 
 
 def runs(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,4 +227,5 @@ def dedup(docs: DataFrame, *, window: int = 200, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names)
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rows.select("doc_id", "text", "lo", "hi").mapInArrow(run, schema)
+    done = rows.select("doc_id", "text", "lo", "hi").mapInArrow(run, schema)
+    return done.withColumn("doc_id", F.nullif(F.col("doc_id"), _no_id(docs, id_col)))

@@ -69,10 +69,11 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
 
 def records_of(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response and its continuations."""
-    own = f"<urn:page:{page_id}>"
-    head = [("WARC-Record-ID", own), ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    found = digest(payload)
+    own = f"<urn:page:{page_id}:{found}>"
+    head = [("WARC-Record-ID", own), ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{found}")]
     if refers_to is not None:
-        yield _record([("WARC-Type", "revisit"), *head, ("WARC-Refers-To", f"<urn:page:{refers_to}>")], b"")
+        yield _record([("WARC-Type", "revisit"), *head, ("WARC-Refers-To", f"<urn:page:{refers_to}:{found}>")], b"")
         return
     block = _HTTP + chunked(payload)
     cuts = range(0, len(block), segment)
@@ -80,7 +81,7 @@ def records_of(page_id: int, url: str | None, payload: bytes, refers_to: int | N
         if k == 1:
             headers = [("WARC-Type", "response"), *head] + [("WARC-Segment-Number", 1)] * (len(cuts) > 1)
         else:
-            headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{k}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k)]
+            headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{found}:{k}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k)]
             headers += [("WARC-Segment-Total-Length", len(block))] * (k == len(cuts))
         yield _record(headers, block[at : at + segment])
 
@@ -90,9 +91,10 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
     Among records with equal payloads of at least `min_revisit_bytes`, the one with the
     largest id is a response and the others revisit it; smaller payloads are all responses.
-    A null payload is empty, a null url is written as none. Ids are distinct integers.
+    A null payload is empty, a null url is written as none. Ids are integers; rows without one
+    get no record, and rows of equal id and payload share one.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload")).where("page_id is not null")
     rows = rows.withColumn("sha1", F.sha1("payload"))
     many = rows.where(F.length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.join(many, "sha1", "left").select("page_id", "url", "payload", F.when((F.length("payload") >= min_revisit_bytes) & (F.col("holder") != F.col("page_id")), F.col("holder")).alias("refers_to"))
@@ -190,7 +192,7 @@ def round_trip(pages: DataFrame, **more) -> DataFrame:
     spark = pages.sparkSession
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, **more)
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"page:(-?\d+):", 1).try_cast("long")
     read = reassemble(read_segments(spark, path)).select(
         number("origin").alias("page_id"), F.length("payload").cast("long").alias("own_bytes"), "record_type", "intact",
         F.coalesce("payload_digest", F.substring_index("digest", ":", -1)).alias("payload_digest"), F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
