@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document, or an earlier line, has or nearly has."""
-    return linededup.dedup_lines(docs).selectExpr(*(f"cast(length(text) as {kind}) n_chars" if c == "n_chars" else f"`{c}`" for c, kind in docs.dtypes))
+    return linededup.dedup_lines(docs, width=5, short=True).selectExpr(*(f"cast(length(text) as {kind}) n_chars" if c == "n_chars" else f"`{c}`" for c, kind in docs.dtypes))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

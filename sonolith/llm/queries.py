@@ -51,7 +51,7 @@ def op6_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"), width=5, short=True, counts=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
