@@ -112,11 +112,32 @@ def test_ladder(spark):
 def test_privacy(spark):
     t = spark.createDataFrame([(r'open "D:\My Music\Ann\x y.flac" now',), ("https://ann.example/x",), (r"C:\Users\ann",), ("annual report",), ("",)], "t string")
     clean = [r[0] for r in t.select(privacy.scrub(F.col("t"), [], ["ann"])).collect()]
-    assert clean == ['open "My Music\\<REDACTED>\\x y.flac" now', "https://<REDACTED>.example/x", "<REDACTED>", "annual report", ""]
+    assert clean == ['open "My Music\\<REDACTED>\\x y.flac" now', "https://<REDACTED>.example/x", "Users<REDACTED>", "annual report", ""]
     left = t.select(privacy.audit(privacy.scrub(F.col("t"), [], ["ann"]), [], ["ann"])).collect()
     assert all(r[0] == [] for r in left)
 
 
+def test_paths(spark):
+    """Paths of either kind at both ends of a text, beside each other, with blanks, without a component, and what is none."""
+    cases = [
+        (r"D:\Secret Folder\x.flac", "x.flac"), (r"D:\a b", "a b"), (r"in E:/only/dir/ it", "in dir it"), ("E:/", "<PATH>"), (r"\\host\share", "<PATH>"), (r"\\host\share\t\u now", "u now"),
+        (r"'C:\a.wav''F:\b\c.wav'", "'a.wav''c.wav'"), ("https://x.y/z", "https://x.y/z"), ("a: b", "a: b"), (r"C:\Users\ann<b>", "ann<b>"), ("1C:/x/y", "1y"), (None, None), ("", ""),
+        ("C:/" + "a " * 140 + ".flac", "a " + "a " * 138 + "a .flac"), ("C:/" + "a" * 300 + ".flac", "a" * 300 + ".flac"),
+    ]
+    t = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, t string").coalesce(1)
+    got = {r.k: r[1] for r in t.select("k", privacy.hide_paths(F.col("t"))).collect()}
+    assert {k: (cases[k][0], x) for k, x in got.items() if x != cases[k][1]} == {}
+
+
+def test_secrets_and_commands(spark):
+    assert privacy.distinct_secrets([" abc ", "ab", "", "abc", "longer", "xyz"]) == ["longer", "abc", "xyz"]
+    t = spark.createDataFrame([(["enc", "-i", r"D:\My Music\a b.flac", "C:/t/out.opus", "-b:a", "96k", "tmp123"],), ([],)], "args array<string>")
+    got = [r[0] for r in t.select(privacy.scrub_command(F.col("args"), {"C:/t/out.opus": "<OUT>", "tmp123": "<TMP DIR>"})).collect()]
+    assert got == ['enc -i "a b.flac" <OUT> -b:a 96k "<TMP DIR>"', ""]
+    left = t.limit(1).select(privacy.audit(F.lit(r"x/ann y\Ann\z C:\q KEY1"), ["KEY1", "KEY2"], ["ann"])).first()[0]
+    assert left == ["KEY1", "/ann", r"\Ann", r"C:\q"]
+
+
 def test_scan_cache(spark):
     f = spark.createDataFrame([("a", 1, 10, "r1"), ("b", 2, 20, "r1"), ("c", 3, 30, "r1")], "path string, size long, mtime_ns long, rules string")
     c = spark.createDataFrame([("a", 1, 10, "r1"), ("b", 2, 21, "r1"), ("c", 3, 30, "r0"), ("a", 1, 10, "r1")], "path string, size long, mtime_ns long, rules string")
