@@ -1,18 +1,21 @@
 """Best-fit packing: configuration linear program over the length histogram.
 
-The pieces of all documents are counted by length (at most `capacity` counters). Lengths
-are put into size classes; a configuration is a multiset of classes that fits a sequence.
-The covering program "fewest sequences so that each class is covered" is solved by
-multiplicative weights, a knapsack dynamic program pricing the best configuration in each
-step. The fractional solution is rounded down, the rounded configurations are given real
-lengths, and what is left over goes by best fit into the gaps. All of that works on groups
-of equal sequences, so its size depends on `capacity` alone, never on the number of pieces.
-Spark then ranks the pieces of each length and looks each rank up in the plan.
+The pieces of all documents are counted by length (at most `capacity` counters). Where there
+are more lengths than `most_classes`, neighbouring ones share a size class; a configuration is a
+multiset of classes that fits a sequence. The covering program "fewest sequences so that each
+class is covered" is solved by multiplicative weights, a knapsack dynamic program pricing the
+best configurations in each round. As its solution nears the optimum slowly, it is moved to a
+vertex of the program: its configurations enter a basis one by one, and the same dynamic program
+prices further ones until the bound is reached. The vertex is rounded down, the configurations
+are given real lengths, and what is left over goes by best fit into the gaps. All of that works
+on groups of equal sequences, so its size depends on `capacity` alone, never on the number of
+pieces. Spark then ranks the pieces of each length and looks each rank up in the plan.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import re
 import zlib
@@ -135,89 +138,185 @@ class _Group:
         self.count, self.gap, self.items = count, gap, items
 
 
-def solve_configurations(sizes: np.ndarray, counts: np.ndarray, room: int, steps: int = 3000, epsilon: float = 0.05) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Fractional configurations and the best lower bound on the number of sequences.
+Configuration = tuple[tuple[int, ...], tuple[int, ...]]  # classes, and how many of each
 
-    sizes: the classes' sizes in the same unit as `room`; counts: how many items each has.
+
+def _knapsack(sizes: np.ndarray, price: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best value for each room, and the class to take there (-1: leave a unit empty)."""
+    best, take = np.zeros(room + 1), np.full(room + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(room + 1), "right")
+    for c in range(int(sizes[0]), room + 1):
+        value = best[c - sizes[: fits[c]]] + price[: fits[c]]
+        k = int(value.argmax())
+        best[c] = max(best[c - 1], value[k])
+        take[c] = k if value[k] > best[c - 1] else -1
+    return best, take
+
+
+def _priced(sizes: np.ndarray, price: np.ndarray, room: int, least: float) -> tuple[float, Iterator[Configuration]]:
+    """The value of the best configuration, and for each class the best one that holds it, best first, down to `least` of that value."""
+    best, take = _knapsack(sizes, price, room)
+    value, left, active = price + best[room - sizes], room - sizes, np.arange(len(sizes))
+    last = np.maximum.accumulate(np.where(take >= 0, np.arange(room + 1), 0))  # the next room below where a class is taken
+    rows, cols = [active], [active]
+    while len(active):
+        c = last[left[active]]
+        active, c = active[take[c] >= 0], c[take[c] >= 0]
+        rows.append(active)
+        cols.append(take[c])
+        left[active] = c - sizes[take[c]]
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    order = np.lexsort((col, row))
+    col, cut = col[order], np.searchsorted(row[order], np.arange(len(sizes) + 1))
+
+    def each() -> Iterator[Configuration]:
+        for i in np.argsort(-value, kind="stable"):
+            if value[i] < least * best[room]:
+                return
+            k, n = np.unique(col[cut[i] : cut[i + 1]], return_counts=True)
+            yield tuple(k.tolist()), tuple(n.tolist())
+
+    return float(best[room]), each()
+
+
+def weigh_configurations(sizes: np.ndarray, need: np.ndarray, room: int, rounds: int = 40, epsilon: float = 0.1) -> dict[Configuration, float]:
+    """Multiplicative weights: in each round near-best configurations are used a little and the prices of what they cover fall.
+
+    sizes: the classes' sizes, ascending; need: how many items each has.
     """
-    sizes, need = sizes.astype(np.int64), counts.astype(float)
-    weight = 1.0 / np.maximum(need, 1)  # price of an item; a class counts as need * weight
-    weight *= sizes * need / max((sizes * need).sum(), 1)
-    covered, used, bound = np.zeros(len(sizes)), {}, 0.0
-    for _ in range(steps):
-        best, take = np.zeros(room + 1), np.full(room + 1, -1)
-        for c in range(1, room + 1):
-            fits = np.searchsorted(sizes, c, "right")
-            best[c], take[c] = best[c - 1], -1
-            if fits:
-                value = best[c - sizes[:fits]] + weight[:fits]
-                k = int(value.argmax())
-                if value[k] > best[c - 1] * (1 + 1e-12):
-                    best[c], take[c] = value[k], k
-        config, c = np.zeros(len(sizes), np.int64), room
-        while c > 0:
-            if take[c] < 0:
-                c -= 1
-            else:
-                config[take[c]] += 1
-                c -= sizes[take[c]]
-        total = float((need * weight).sum())
-        bound = max(bound, total / best[room]) if best[room] > 0 else bound
-        inside = config > 0
-        if not inside.any() or total <= 0:
+    price = sizes / (sizes * need).sum()
+    used: dict[Configuration, float] = {}
+    for _ in range(rounds):
+        _, found = _priced(sizes, price, room, 1 - epsilon)
+        covered = np.zeros(len(sizes))
+        for config in found:
+            k, n = np.array(config[0]), np.array(config[1])
+            if covered[k].max() < epsilon / 2:
+                step = float((need[k] / n).min()) * epsilon
+                used[config] = used.get(config, 0.0) + step
+                covered[k] += step * n / need[k]
+        price = price * np.exp(-3 * covered)
+    return used
+
+
+def solve_configurations(sizes: np.ndarray, counts: np.ndarray, room: int, gap: float = 5e-4, most_rounds: int = 200) -> tuple[list[tuple[Configuration, float]], float]:
+    """A vertex of the covering program, as configurations and amounts, and a lower bound on the number of sequences.
+
+    Starts from sequences of one class each; the configurations of `weigh_configurations`
+    enter first, then those that the prices of the basis ask for, until the number of
+    sequences is within `gap` of the bound or `most_rounds` are over: a few more sequences, as
+    any basis covers all classes.
+    """
+    need, fit = counts.astype(float), room // sizes
+    basis: list[Configuration] = [((i,), (int(n),)) for i, n in enumerate(fit)]
+    inverse, amount, price = np.diag(1.0 / fit), need / fit, 1.0 / fit
+    bound = float(need @ sizes) / room
+
+    def enter(config: Configuration) -> bool:
+        nonlocal price
+        k, n = np.array(config[0]), np.array(config[1], float)
+        gained = float(price[k] @ n) - 1
+        if gained <= 1e-7:
+            return False
+        change = inverse[:, k] @ n
+        ratio = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1.0), np.inf)
+        out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            return False
+        amount[:] = np.maximum(amount - ratio[out] * change, 0.0)
+        amount[out] = ratio[out]
+        row = inverse[out] / change[out]
+        other = np.flatnonzero(np.abs(change) > 1e-12)
+        inverse[other] -= change[other, None] * row
+        inverse[out] = row
+        price = price - gained * row
+        basis[out] = config
+        return True
+
+    for config, _ in sorted(weigh_configurations(sizes, need, room).items(), key=lambda x: -x[1]):
+        enter(config)
+    for _ in range(most_rounds):
+        valid = np.maximum(price, 0.0)
+        best, found = _priced(sizes, valid, room, 1e-9)
+        bound = max(bound, float((need * valid).sum() / best))
+        if amount.sum() <= bound * (1 + gap):
             break
-        step = float((need[inside] / config[inside]).min())
-        used[tuple(config)] = used.get(tuple(config), 0.0) + step * epsilon
-        covered += config * step * epsilon / need
-        weight = weight * np.exp(-epsilon * config * step / need)
-        weight[covered >= 1] *= 0.5 if covered.min() < 1 else 1.0
-        if covered.min() >= 1:
+        if not sum(map(enter, islice(found, max(20, len(sizes) // 4)))):
             break
-    return [(np.array(k), v) for k, v in used.items()], bound
-
-
-def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 32, steps: int = 1500, sand: int = 512) -> tuple[np.ndarray, dict]:
+    return list(zip(basis, amount.tolist(), strict=True)), bound
+
+
+def _classes(lengths: np.ndarray, most: int) -> np.ndarray:
+    """The class of each length, named by its largest: neighbours within the smallest share that leaves `most` classes."""
+    low, high = 0.0, 1.0
+    name = lengths
+    if len(lengths) <= most:
+        return name
+    for _ in range(20):
+        share = (low + high) / 2
+        made, top = [], 0
+        for x in lengths[::-1].tolist():
+            if not made or x < top * (1 - share):
+                top = x
+            made.append(top)
+        found = np.array(made[::-1])
+        if len(set(made)) <= most:
+            high, name = share, found
+        else:
+            low = share
+    return name
+
+
+def plan(histogram: dict[int, int], capacity: int = 4096, most_classes: int = 640) -> tuple[np.ndarray, dict]:
     """Where the pieces of each length go, and figures on the solution.
 
     Returns rows (length, first rank, number, first sequence id, offset): of the pieces with
     that length, those with ranks from `first rank` on go one each to consecutive sequences.
+    The solution is rounded three ways, with all of its configurations, those used twice or
+    more, and none, and the way with the fewest sequences holds.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
-    rows: list[tuple[int, int, int, int, int]] = []
     if not len(lengths):
         return np.zeros((0, 5), np.int64), {"sequences": 0, "lower_bound": 0}
-    if len(lengths) <= 64:  # few lengths: no rounding up to size classes
-        unit, steps, sand = 1, min(steps, 200), 0
-    room = capacity // unit
-    size = -(-lengths // unit)
-    classes = np.unique(size)
-    left = {int(k): int(histogram[int(k)]) for k in lengths}
-    members = {int(c): [int(x) for x in lengths[size == c]] for c in classes}  # ascending
-    counts = np.array([sum(left[x] for x in members[int(c)]) for c in classes])
-    large = classes * unit > sand  # smaller pieces fill the gaps afterwards
-    classes = classes[large]
-    solution, bound = solve_configurations(classes, counts[large], room, steps) if len(classes) else ([], 0.0)
+    name = _classes(lengths, most_classes)
+    sizes = np.unique(name)
+    members = {int(c): lengths[name == c].tolist() for c in sizes}  # ascending
+    counts = np.array([sum(histogram[x] for x in members[int(c)]) for c in sizes])
+    solution, bound = solve_configurations(sizes, counts, capacity)
+    tried = [_rounded([x for x in solution if x[1] >= least], sizes, members, histogram, capacity) for least in (1, 2, math.inf)]
+    groups = min(tried, key=lambda gs: sum(g.count for g in gs))
+    rows: list[tuple[int, int, int, int, int]] = []
+    rank, sequence = dict.fromkeys(lengths.tolist(), 0), 0
+    for g in groups:
+        offset = 0
+        for x in g.items:
+            rows.append((x, rank[x], g.count, sequence, offset))
+            rank[x] += g.count
+            offset += x
+        sequence += g.count
+    out = np.array(rows, np.int64)
+    tokens = sum(k * n for k, n in histogram.items())
+    return out[np.lexsort((out[:, 1], out[:, 0]))], {"sequences": sequence, "lower_bound": -(-tokens // capacity), "lp_bound_on_classes": bound, "classes": len(sizes), "groups": len(rows)}
+
+
+def _rounded(solution: list[tuple[Configuration, float]], sizes: np.ndarray, members: dict[int, list[int]], histogram: dict[int, int], capacity: int) -> list[_Group]:
+    """Sequences of the whole parts of a solution, and of the rest by best fit."""
+    left = {int(k): int(n) for k, n in histogram.items() if n > 0}
+    members = {c: [*xs] for c, xs in members.items()}
     groups: list[_Group] = []
-    open_lengths = sorted(left)
-    for config, amount in sorted(solution, key=lambda x: -x[1]):
-        number = int(amount)
-        slots = [int(classes[k]) for k in np.flatnonzero(config)[::-1] for _ in range(config[k])]
-        for c in set(slots):
-            number = min(number, sum(left[x] for x in members[c]) // slots.count(c))
+    ordered = sorted(left)
+    for (classes, times), amount in sorted(solution, key=lambda x: -x[1]):
+        slots = [int(sizes[k]) for k, n in zip(reversed(classes), reversed(times), strict=True) for _ in range(n)]
+        number = min([int(amount + 1e-9), *(sum(left[x] for x in members[c]) // slots.count(c) for c in set(slots))])
         todo = [_Group(number, capacity, ())] if number > 0 else []
         for k, c in enumerate(slots):
             done = []
             for g in todo:
+                # the last one may be longer by what the others of its sequence are shorter than their classes
+                spare = sum(slots[:k]) - sum(g.items) if k == len(slots) - 1 else 0
                 while g.count:
-                    if k == len(slots) - 1 and k:  # the last one: the best fit of all lengths
-                        while open_lengths and not left[open_lengths[-1]]:
-                            open_lengths.pop()
-                        at = bisect.bisect_right(open_lengths, g.gap) - 1
-                        while at >= 0 and not left[open_lengths[at]]:
-                            open_lengths.pop(at)
-                            at -= 1
-                        x = open_lengths[at] if at >= 0 else 0
-                    else:
+                    x = _longest(ordered, left, c + spare) if spare else 0
+                    if x <= c:
                         while members[c] and not left[members[c][-1]]:
                             members[c].pop()
                         x = members[c][-1] if members[c] else 0
@@ -230,11 +329,26 @@ def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 32, steps:
                     g.count -= n
             todo = done
         groups += todo
-    # what the rounding left over: largest first, each into the smallest gap that holds it
+    return _best_fit(groups, left, capacity)
+
+
+def _longest(ordered: list[int], left: dict[int, int], most: int) -> int:
+    """The longest length up to `most` of which some are left; those used up go from `ordered`."""
+    at = bisect.bisect_right(ordered, most) - 1
+    while at >= 0 and not left[ordered[at]]:
+        ordered.pop(at)
+        at -= 1
+    return ordered[at] if at >= 0 else 0
+
+
+def _best_fit(groups: list[_Group], left: dict[int, int], capacity: int) -> list[_Group]:
+    """What the rounding left over: largest first, each into the smallest gap that holds it, else into a new sequence."""
     gaps: dict[int, list[_Group]] = {}
     for g in groups:
-        gaps.setdefault(g.gap, []).append(g)
+        if g.count and g.items:
+            gaps.setdefault(g.gap, []).append(g)
     order = sorted(gaps)
+
     def put(g: _Group) -> None:
         if g.gap not in gaps:
             gaps[g.gap] = []
@@ -245,12 +359,12 @@ def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 32, steps:
         while left[x]:
             at = bisect.bisect_left(order, x)
             if at == len(order):
-                n, fit = -(-left[x] // (capacity // x)), capacity // x
-                full = left[x] // fit
+                fit = capacity // x
+                full, rest = divmod(left[x], fit)
                 if full:
                     put(_Group(full, capacity - fit * x, (x,) * fit))
-                if left[x] - full * fit:
-                    put(_Group(1, capacity - (left[x] - full * fit) * x, (x,) * (left[x] - full * fit)))
+                if rest:
+                    put(_Group(1, capacity - rest * x, (x,) * rest))
                 left[x] = 0
                 continue
             gap = order[at]
@@ -258,30 +372,13 @@ def plan(histogram: dict[int, int], capacity: int = 4096, unit: int = 32, steps:
             if not gaps[gap]:
                 del gaps[gap]
                 order.pop(at)
-            n, fit = 0, gap // x
-            if g.count * fit <= left[x] or g.count == 1:
-                each = min(fit, left[x])
-                n = g.count * each
-                put(_Group(g.count, gap - each * x, g.items + (x,) * each))
-            else:
-                each = fit if left[x] >= fit else left[x]
-                some = left[x] // each
-                n = some * each
-                put(_Group(some, gap - each * x, g.items + (x,) * each))
+            each = min(gap // x, left[x])
+            some = min(g.count, left[x] // each)
+            put(_Group(some, gap - each * x, g.items + (x,) * each))
+            if some < g.count:
                 put(_Group(g.count - some, gap, g.items))
-            left[x] -= n
-    rank, sequence = dict.fromkeys(left, 0), 0
-    for gs in gaps.values():
-        for g in gs:
-            offset = 0
-            for x in g.items:
-                rows.append((x, rank[x], g.count, sequence, offset))
-                rank[x] += g.count
-                offset += x
-            sequence += g.count
-    out = np.array(rows, np.int64)
-    tokens = sum(k * n for k, n in histogram.items())
-    return out[np.lexsort((out[:, 1], out[:, 0]))], {"sequences": sequence, "lower_bound": -(-tokens // capacity), "lp_bound_on_classes": bound, "groups": len(rows)}
+            left[x] -= some * each
+    return [g for gs in gaps.values() for g in gs]
 
 
 def pack(parts: DataFrame, *, capacity: int = 4096, deals: int = 1024) -> DataFrame:

