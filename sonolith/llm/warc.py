@@ -67,10 +67,14 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block
 
 
-def records_of(page_id: int, url: str | None, payload: bytes, refers_to: int | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response and its continuations."""
+def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, row: int = 0, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+    """The records of one page: a revisit, or a response and its continuations.
+
+    A record id holds the page, the payload's digest and the number of the row; a revisit names
+    the page and the digest that its response's id begins with.
+    """
     found = digest(payload)
-    own = f"<urn:page:{page_id}:{found}>"
+    own = f"<urn:page:{'none' if page_id is None else page_id}:{found}:{row}>"
     head = [("WARC-Record-ID", own), ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha1:{found}")]
     if refers_to is not None:
         yield _record([("WARC-Type", "revisit"), *head, ("WARC-Refers-To", f"<urn:page:{refers_to}:{found}>")], b"")
@@ -81,7 +85,7 @@ def records_of(page_id: int, url: str | None, payload: bytes, refers_to: int | N
         if k == 1:
             headers = [("WARC-Type", "response"), *head] + [("WARC-Segment-Number", 1)] * (len(cuts) > 1)
         else:
-            headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page_id}:{found}:{k}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k)]
+            headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{own[:-1]}:{k}>"), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k)]
             headers += [("WARC-Segment-Total-Length", len(block))] * (k == len(cuts))
         yield _record(headers, block[at : at + segment])
 
@@ -91,17 +95,19 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
     Among records with equal payloads of at least `min_revisit_bytes`, the one with the
     largest id is a response and the others revisit it; smaller payloads are all responses.
-    A null payload is empty, a null url is written as none. Ids are integers; rows without one
-    get no record, and rows of equal id and payload share one.
+    A null payload is empty, a null url is written as none. Ids are integers. Rows of equal id
+    and payload get a record each, all of them responses if theirs is the largest id. A row
+    without an id revisits a response that has one; without any, it is a response.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload")).where("page_id is not null")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     many = rows.where(F.length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(many, "sha1", "left").select("page_id", "url", "payload", F.when((F.length("payload") >= min_revisit_bytes) & (F.col("holder") != F.col("page_id")), F.col("holder")).alias("refers_to"))
+    rows = rows.join(many, "sha1", "left").select("page_id", "url", "payload", F.when((F.length("payload") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # only has to differ between the rows of one write
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
-            out = [r for row in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True) for r in records_of(*row)]
+            out = [r for row in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "refers_to", "row")), strict=True) for r in records_of(*row)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     records = rows.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))

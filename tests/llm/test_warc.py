@@ -41,6 +41,16 @@ def test_payload_survives_and_faults_show(spark, tmp_path):
 
 
 def test_missing_and_repeated_ids(spark):
-    rows = [(None, "u", "a", ""), (1, "u", "a", ""), (1, "u", "a", ""), (2, "u", "a", ""), (3, "u", "b", ""), (3, "u", "c", "")]
-    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [(1, "revisit", 2, 1), (2, "response", None, 1), (3, "response", None, 1), (3, "response", None, 1)]
+    """A record and a result for each row, also for those without an id and repeated ones."""
+    rows = [(None, "u", "a", ""), (1, "u", "a", ""), (1, "v", "a", ""), (2, "u", "a", ""), (3, "u", "b", ""), (3, "u", "c", ""), (None, "u", "d" * 50_000, ""), (None, None, None, ""), (4, "u", "b", ""), (4, "u", "b", "")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    want = [(None, "revisit", 2, 1), (1, "revisit", 2, 1), (1, "revisit", 2, 1), (2, "response", None, 1), (3, "revisit", 4, 1), (3, "response", None, 1), (4, "response", None, 1), (4, "response", None, 1), (None, "response", None, 50_000), (None, "response", None, 0)]
+    assert got == sorted(want, key=str)
+
+
+def test_clashing_columns_and_a_long_page(spark):
+    names = ("sha1", "holder", "n", "row", "payload", "refers_to", "record", "value")
+    rows = [(1, "u", "long \u00e9 " * 400_000, *names), (2, "u", "x", *names)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in names))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.intact) for r in warc.round_trip(pages).collect()}
+    assert got == {1: (len(rows[0][2].encode()), "response", True), 2: (1, "response", True)}
