@@ -7,18 +7,23 @@ occurs in an item, and its length tells whether a window of the contract ends he
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialise, small_batches
 
 #: Words: digits, letters and whatever is not ASCII.
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_A_Z = string.ascii_uppercase
 _UPPER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
@@ -30,7 +35,7 @@ def words_of(text: str) -> list[str]:
 class Automaton:
     """Generalised suffix automaton over word numbers, with the windows that end in each state."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], window: int):
+    def __init__(self, items: list[tuple[object, list[str]]], window: int):
         self.window = window
         self.vocab: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -42,15 +47,18 @@ class Automaton:
             last = 0
             for w in ids:
                 last = self._extend(last, w)
-        #: state -> items with a window of full length that it stands for; (length, item) of short items
-        self.full: dict[int, set[int]] = {}
-        self.short: dict[int, list[tuple[int, int]]] = {}
+        #: state -> items with a window of full length that it stands for; (length, items) of equal short items
+        self.full: dict[int, set] = {}
+        self.short: dict[int, list[tuple[int, list]]] = {}
+        alike: dict[tuple[int, ...], list] = {}
         for item, ids in coded:
             for state, n in self._walk(ids):
                 if n >= window:
                     self.full.setdefault(self.cut(state, window), set()).add(item)
             if 0 < len(ids) < window:
-                self.short.setdefault(state, []).append((len(ids), item))
+                if tuple(ids) not in alike:
+                    self.short.setdefault(state, []).append((len(ids), alike.setdefault(tuple(ids), [])))
+                alike[tuple(ids)].append(item)
         self.shortest = min((min(len(ids), window) for _, ids in coded if ids), default=0)
         # a state also ends with what its suffix links end with
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
@@ -104,10 +112,11 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def hits(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int], int]:
+    def hits(self, words: list[str]) -> tuple[list[tuple[int, int]], set, int]:
         """Covered word spans (start, end exclusive), items with windows here, longest match."""
         spans: list[tuple[int, int]] = []
-        items: set[int] = set()
+        items: set = set()
+        met: set = set()  # what has given its items already
         longest = 0
         get = self.vocab.get
         codes = np.array([get(w, -1) for w in words], np.int64)
@@ -121,10 +130,14 @@ class Automaton:
                 reach = 0
                 if n >= self.window:
                     reach = self.window
-                    items |= self.full[self.cut(state, self.window)]
-                for size, item in self.short.get(state, ()):
+                    if (end := ~self.cut(state, self.window)) not in met:
+                        met.add(end)
+                        items |= self.full[~end]
+                for size, found in self.short.get(state, ()):
                     if size <= n:
-                        items.add(item)
+                        if id(found) not in met:
+                            met.add(id(found))
+                            items.update(found)
                         reach = max(reach, size)
                 if reach:
                     start = at - reach
@@ -134,31 +147,21 @@ class Automaton:
         return spans, items, longest
 
 
-def _parts(items: DataFrame, id_col: str, text_col: str, max_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items in blocks of about `max_words` words, one after the other."""
-    block, size = [], 0
-    for item, text in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        words = words_of(text)
-        if block and size + len(words) > max_words:
-            yield block
-            block, size = [], 0
-        block.append((item, words))
-        size += len(words)
-    yield block
+def _blocks(items: DataFrame, id_col: str, text_col: str, max_words: int) -> Iterator[list[tuple[object, list[str]]]]:
+    """The items in blocks of about `max_words` words by the hash of their texts, one block on the driver at a time."""
+    known = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n_words = known.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(_WORDS.pattern)))).first()[0] or 0
+    parts = max(1, -(-n_words // max_words))
+    for k in range(parts):
+        some = known if parts == 1 else known.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
+        yield [(r.id, words_of(r.text)) for r in some.collect()]
 
 
-def _automata(docs: DataFrame, items: DataFrame, window: int, item_id_col: str, item_text_col: str, max_words: int) -> list:
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(Automaton(block, window)) for block in _parts(items, item_id_col, item_text_col, max_words)]
-
-
-def _hits(automata: list, words: list[str]) -> tuple[list[tuple[int, int]], set[int], int]:
-    """Spans, items and the longest match over all automata."""
-    spans, found, longest = [], set(), 0
-    for a in automata:
-        more, own, n = a.value.hits(words)
-        spans, found, longest = _union(spans + more) if spans and more else spans or more, found | own, max(longest, n)
-    return spans, found, longest
+def _found(text: str, automaton: Automaton) -> tuple:
+    """(n_words, n_hit, items, spans, longest) of one text."""
+    words = words_of(text)
+    spans, items, longest = automaton.hits(words)
+    return len(words), sum(e - s for s, e in spans), sorted(items, key=lambda x: (x is None, x)), [{"start": s, "end": e} for s, e in spans], longest
 
 
 def find(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = 1_000_000) -> DataFrame:
@@ -166,28 +169,52 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "
 
     Returns (doc_id, n_words, n_hit, items, spans, longest): spans are of word positions,
     ends exclusive; items are ids whose windows occur; longest is the longest sequence shared
-    with any item. Null texts have no words, items without words no windows; an item of fewer
-    words than `window` is one window. An automaton holds at most about `max_words` words of
-    items, a bound on what is broadcast; a larger benchmark takes several automata, which the
-    same pass applies in turn.
+    with any item. Ids may be of any type. Null texts have no words, items without words no
+    windows; an item of fewer words than `window` is one window. An automaton holds at most
+    about `max_words` words of items, which bounds what the driver and the tasks hold; a larger
+    benchmark takes a pass over the texts for each block of items.
     """
-    automata = _automata(docs, items, window, item_id_col, item_text_col, max_words)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>, longest long"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    doc_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (items, item_id_col)))
+    schema = f"doc_id {doc_type}, th long, n_words long, n_hit long, items array<{item_type}>, spans array<struct<start:long,end:long>>, longest long"
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 4 << 20):
-            rows = []
-            for text in batch["text"].to_pylist():
-                words = words_of(text)
-                spans, found, longest = _hits(automata, words)
-                rows.append((len(words), sum(e - s for s, e in spans), sorted(found), [{"start": s, "end": e} for s, e in spans], longest))
-            cols = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(span), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_words", "n_hit", "items", "spans", "longest"])
-
-    return source.mapInArrow(scan, schema)
+    names = ["n_words", "n_hit", "items", "spans", "longest"]
+
+    def over(block: list, only_hits: bool) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+        ids = pa.list_(pa.array([i for i, _ in block if i is not None][:1] or [0]).type)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, 4 << 20):
+                rows = [_found(t, shared.value) for t in batch["text"].to_pylist()]
+                types = [pa.int64(), pa.int64(), ids, pa.list_(span), pa.int64()]
+                made = pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", "th", *names])
+                yield made.filter(pc.greater(made["longest"], 0)) if only_hits else made
+
+        return source.withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text").mapInArrow(scan, schema)
+
+    blocks = _blocks(items, item_id_col, item_text_col, max_words)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return over(block, False).drop("th")
+    # a row is known by its id and the hash of its text: equal rows have equal hits
+    parts = [materialise(over(b, True), "hits") for b in itertools.chain([block, more], blocks)]
+    hits = functools.reduce(DataFrame.union, parts).groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("items")).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"), F.max("longest").alias("longest"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_union([(x["start"], x["end"]) for x in row]) for row in batch["spans"].to_pylist()]
+            ids = [sorted(set(row), key=lambda x: (x is None, x)) for row in batch["items"].to_pylist()]
+            columns = [batch["n_words"], pa.array([sum(e - s for s, e in row) for row in spans], pa.int64()), pa.array(ids, batch["items"].type), pa.array([[{"start": s, "end": e} for s, e in row] for row in spans], pa.list_(span)), batch["longest"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], *columns], ["doc_id", "th", *names])
+
+    hits = hits.select("doc_id", "th", "n_words", F.lit(0).cast("long").alias("n_hit"), "items", "spans", "longest").mapInArrow(merge, schema)
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), *(F.col(c).alias(f"hit_{c}") for c in names[1:]))
+    rows = source.select("doc_id", F.xxhash64("text").alias("th"), F.regexp_count(F.translate("text", _A_Z, _A_Z.lower()), F.lit(_WORDS.pattern)).cast("long").alias("n_words"))
+    both = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
+    empty = {"n_hit": F.lit(0).cast("long"), "items": F.array().cast(f"array<{item_type}>"), "spans": F.array().cast("array<struct<start:long,end:long>>"), "longest": F.lit(0).cast("long")}
+    return both.select("doc_id", "n_words", *(F.coalesce(f"hit_{c}", empty[c]).alias(c) for c in names[1:]))
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,36 +240,41 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return text
 
 
-def _without(docs: DataFrame, items: DataFrame, coverage: int, longest: int | None, text_col: str, window: int = 13, item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = 1_000_000) -> DataFrame:
-    automata = _automata(docs, items, window, item_id_col, item_text_col, max_words)
+def clean(docs: DataFrame, items: DataFrame, *, coverage: int = 20, longest: int | None = None, drop: bool = True, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = 1_000_000) -> DataFrame:
+    """`docs` without contamination, with the same columns; repeated rows and null ids included.
 
-    def keep(text: str | None) -> bool:
-        words = words_of(text or "")
-        spans, _, most = _hits(automata, words)
-        n_hit = sum(e - s for s, e in spans)
-        return not (contaminated(n_hit, len(words), coverage) or longest is not None and most > longest)
+    A document over the coverage limit, or with a shared sequence longer than `longest`
+    words, is dropped, or with `drop=False` loses the hit spans. One pass over the texts, and
+    as many more as a larger benchmark has blocks (see `find`).
+    """
+    blocks = _blocks(items, item_id_col, item_text_col, max_words)
+    block, more = next(blocks), next(blocks, None)
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window)) if more is None else None
+    columns, place = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
-            yield batch.filter(pa.array([keep(t) for t in batch[text_col].to_pylist()]))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def clean(docs: DataFrame, items: DataFrame, *, coverage: int = 20, longest: int | None = None, drop: bool = True, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """`docs` without contamination, with the same columns.
-
-    A document over the coverage limit, or with a shared sequence longer than `longest`
-    words, is dropped in one pass over the texts, or with `drop=False` loses the hit spans, for
-    which ids must be distinct and rows with a null id stay as they are.
-    """
-    if drop:
-        return _without(docs, items, coverage, longest, text_col, **more)
-    found = find(docs, items, id_col=id_col, text_col=text_col, **more)
-    over = contaminated(F.col("n_hit"), F.col("n_words"), coverage)
-    if longest is not None:
-        over = over | (F.col("longest") > longest)
-    bad = found.where(over)
-    cut = F.udf(lambda t, s: t if s is None else remove_spans(t, [(x["start"], x["end"]) for x in s]), "string")
-    joined = docs.join(bad.select(F.col("doc_id").alias(id_col), F.col("spans").alias("_spans")), id_col, "left")
-    return joined.withColumn(text_col, cut(text_col, "_spans")).select(*docs.columns)
+            texts, stays = batch[text_col].to_pylist(), []
+            for k, text in enumerate(texts):
+                if shared is None:
+                    spans, most = batch["_hit_spans"][k].as_py() or [], batch["_hit_longest"][k].as_py() or 0
+                    n_words = len(words_of(text or "")) if spans else 0
+                else:
+                    n_words, _, _, spans, most = _found(text or "", shared.value)
+                n_hit = sum(x["end"] - x["start"] for x in spans)
+                over = contaminated(n_hit, n_words, coverage) or longest is not None and most > longest
+                stays.append(not (over and drop))
+                if over and not drop:
+                    texts[k] = remove_spans(text, [(x["start"], x["end"]) for x in spans])
+            kept = pa.RecordBatch.from_arrays(batch.columns[: len(columns)], columns)
+            yield kept.filter(pa.array(stays)) if drop else kept.set_column(place, text_col, pa.array(texts, kept[text_col].type))
+
+    if shared is not None:
+        return docs.mapInArrow(run, docs.schema)
+    # which row it is, by the id and the hash of the text; found again from the rows themselves
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    names = ["_hit_id", "_hit_th", "_hit_spans", "_hit_longest"]
+    hits = find(docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias(id_col), F.col(text_col)), items, window=window, id_col=id_col, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, max_words=max_words)
+    hits = hits.where("longest > 0").select(F.col("doc_id.id").alias(names[0]), F.col("doc_id.th").alias(names[1]), F.col("spans").alias(names[2]), F.col("longest").alias(names[3])).dropDuplicates(names[:2])
+    both = docs.join(hits, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (th == F.col("_hit_th")), "left")
+    return both.select(*docs.columns, *names[2:]).mapInArrow(run, docs.schema)

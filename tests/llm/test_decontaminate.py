@@ -62,6 +62,33 @@ def test_clean(spark, docs, invented):
     assert cut[3] == "" and cut[6] == "xx  xx" and set(cut) == {i for i, _ in rows} | {None}
 
 
+def test_clean_in_several_passes(spark, docs, invented):
+    rows, items = case(invented)
+    table, bench = docs([*rows, *rows[:9], (None, "one"), (None, None)]), spark.createDataFrame(items, "item_id long, text string")
+    for drop in (True, False):
+        one, many = (sorted(((x.doc_id, x.text) for x in decontaminate.clean(table, bench, drop=drop, max_words=n).collect()), key=str) for n in (10**6, 90))
+        assert one == many and (len(one) < table.count() if drop else len(one) == table.count())
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    table = spark.createDataFrame([("a", "one two", "x", 1), ("b", None, "y", 2), (None, "one", "z", 3)], "doc_id string, text string, _spans string, th int")
+    bench = spark.createDataFrame([("i", "one"), (None, "two"), ("j", None)], "item_id string, text string")
+    for n in (10**6, 1):
+        assert sorted(((x.doc_id, x["items"]) for x in decontaminate.find(table, bench, max_words=n).collect()), key=str) == sorted([("a", ["i", None]), ("b", []), (None, ["i"])], key=str)
+        assert [tuple(x) for x in decontaminate.clean(table, bench, max_words=n).collect()] == [("b", None, "y", 2)]
+        assert decontaminate.clean(table, bench, max_words=n, drop=False).columns == table.columns
+
+
+def test_many_equal_short_items():
+    """The time of a word does not grow with the items that are equal."""
+    import time
+
+    automaton = decontaminate.Automaton([(k, ["a"]) for k in range(5000)], 13)
+    began = time.perf_counter()
+    spans, items, _ = automaton.hits(["a"] * 20_000)
+    assert len(items) == 5000 and spans == [(0, 20_000)] and time.perf_counter() - began < 1
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(docs([]), none).count() == 0
