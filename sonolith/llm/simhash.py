@@ -84,7 +84,9 @@ def links(fps: DataFrame, *, crowd: int = 64, broadcast_keys: int = 1_000_000) -
     joined by a shuffle beyond that.
     """
     variant = lambda k: F.transform(_all_bits(), lambda bit: _wild(_segment(F.col("fp"), k), bit).bitwiseOR(F.lit(k << 40)))
-    index = fps.select("fp", F.explode(F.concat(variant(0), variant(1))).alias("key"))
+    # each fingerprint becomes 64 rows: spread them over tasks first, by a number that small input isn't merged back from
+    spread = fps.repartition(min(10_000, max(8, fps.count() // 20_000)), "fp")
+    index = spread.select("fp", F.explode(F.concat(variant(0), variant(1))).alias("key"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1")
     sizes = materialise(sizes, "variants")
     close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
