@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where none is set and all runs in one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='sonolith-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
