@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 #: Known speed ratios and their labels, in order of preference; fixed values.
 KNOWN_RATIOS = [(25 / 24, "pal_up"), (24 / 25, "pal_down"), (30 / 29.97, "ntsc_up"), (29.97 / 30, "ntsc_down"), (1.0001, "1_0001")]
@@ -33,6 +35,17 @@ def zscore_db(frames: DataFrame, value: str = "e", span_db: float = 80.0) -> Dat
     return rows.withColumn("z", F.when(F.col("sd") > 0, (F.col("db") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))).otherwise(0.0)).drop("top", "mean", "sd")
 
 
+def mostly_silent(frames: DataFrame, per: int, value: str = "z", most: float = 0.5) -> DataFrame:
+    """(block, at_floor, frames, silent): runs of `per` frames of which more than `most` lie at the envelope's floor.
+
+    Without a floor that is at least 1 below the median nothing is silent.
+    """
+    levels = frames.agg(F.min(value).alias("low"), F.percentile(value, 0.5).alias("mid"))
+    rows = frames.join(F.broadcast(levels), F.lit(True)).groupBy(F.floor(F.col("frame") / per).cast("long").alias("block"))
+    rows = rows.agg(F.count_if(F.col(value) <= F.col("low") + 1e-3).alias("at_floor"), F.count("*").alias("frames"), F.bool_and(F.col("low") <= F.col("mid") - 1).alias("deep"))
+    return rows.select("block", "at_floor", "frames", (F.col("deep") & (F.col("at_floor") > most * F.col("frames"))).alias("silent"))
+
+
 def lag_correlations(ref: DataFrame, test: DataFrame, most: int, *, pos: str = "pos", value: str = "x") -> DataFrame:
     """(lag, rho, overlap): Pearson correlation over the overlap at each lag up to `most`.
 
@@ -65,11 +78,15 @@ def eroded_blocks(blocks: DataFrame, ok: str, *, key: str, order: str) -> DataFr
     return blocks.withColumn("kept", F.min(F.coalesce(F.col(ok).cast("int"), F.lit(1))).over(w) == 1)
 
 
-def theil_sen(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+def theil_sen(points: DataFrame, key: str, x: str, y: str, most: int = 2048) -> DataFrame:
     """(key, slope, intercept): median of pairwise slopes, median of what is left.
 
-    points: a few anchors a key (some thirty); pairs are made within a key only.
+    points: a few anchors a key (some thirty). Pairs are made within a key only; one with more
+    than `most` points is an error, since its pairs would grow with their square.
     """
+    size = F.count("*").over(Window.partitionBy(key))
+    few = F.when(size <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} anchors of a key")).cast("boolean"))
+    points = points.withColumn("_few", few).where("_few").drop("_few")
     a, b = points.select(key, F.col(x).alias("x1"), F.col(y).alias("y1")), points.select(key, F.col(x).alias("x2"), F.col(y).alias("y2"))
     slopes = a.join(b, key).where("x1 < x2").groupBy(key).agg(F.percentile((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")), 0.5).alias("slope"))
     rest = points.join(slopes, key).groupBy(key, "slope").agg(F.percentile(F.col(y) - F.col("slope") * F.col(x), 0.5).alias("intercept"))
@@ -108,43 +125,70 @@ def fractional_shift(x: np.ndarray, delay: float) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x) * np.exp(-2j * np.pi * f * delay), len(x))
 
 
-def residual_delay(a: np.ndarray, b: np.ndarray, search: float = 1.0, tolerance: float = 1e-4) -> float:
-    """The delay within +-search at which |<shift(a), b>| is largest, NaN at the boundary."""
-    value = lambda d: abs(float(np.dot(fractional_shift(a, d), b)))
-    phi = (5**0.5 - 1) / 2
-    lo, hi = -search, search
+def refined(a: np.ndarray, b: np.ndarray, *, search: float = 1.0, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(delay, correlation, sharpness) of each row of b against the same row of a.
+
+    The delay within +-search at which |<shift(a), b>| is largest: by a coarse grid, then by
+    golden sections, for all rows at once over their spectra. NaN at the search's boundary and
+    for silent rows. Sharpness is the residual half a sample off over the residual at the peak.
+    """
+    n = a.shape[1]
+    weight = np.full(n // 2 + 1, 2.0)
+    weight[0] = 1.0
+    if n % 2 == 0:
+        weight[-1] = 1.0
+    cross = np.fft.rfft(a, axis=1) * np.conj(np.fft.rfft(b, axis=1)) * weight / n
+    turn = -2j * np.pi * np.fft.rfftfreq(n)
+    inner = lambda d: (cross * np.exp(turn * d[:, None])).real.sum(1)
+    grid = np.linspace(-search, search, int(8 * search) + 1)
+    coarse = np.abs(np.stack([inner(np.full(len(a), d)) for d in grid], 1))
+    best, step = grid[coarse.argmax(1)], grid[1] - grid[0]
+    lo, hi, phi = np.maximum(best - step, -search), np.minimum(best + step, search), (5**0.5 - 1) / 2
     c, d = hi - phi * (hi - lo), lo + phi * (hi - lo)
-    fc, fd = value(c), value(d)
-    for _ in range(80):
-        if hi - lo < tolerance:
-            break
-        if fc > fd:
-            hi, d, fd = d, c, fc
-            c = hi - phi * (hi - lo)
-            fc = value(c)
-        else:
-            lo, c, fc = c, d, fd
-            d = lo + phi * (hi - lo)
-            fd = value(d)
-    best = (lo + hi) / 2
-    return best if abs(best) < search - 10 * tolerance else float("nan")
+    fc, fd = np.abs(inner(c)), np.abs(inner(d))
+    while (hi - lo).max(initial=0.0) > tolerance:
+        left = fc > fd
+        lo, hi = np.where(left, lo, c), np.where(left, d, hi)
+        c, d = np.where(left, hi - phi * (hi - lo), d), np.where(left, c, lo + phi * (hi - lo))
+        fc, fd = np.abs(inner(c)), np.abs(inner(d))
+    delay = (lo + hi) / 2
+    power_a, power_b = (a * a).sum(1), (b * b).sum(1)
+    silent = (power_a <= 0) | (power_b <= 0)
+    size = np.sqrt(np.where(silent, 1.0, power_a * power_b))
+    residual = lambda d: power_b - inner(d) ** 2 / np.where(silent, 1.0, power_a)
+    at_peak = np.maximum(residual(delay), 0.0)
+    off = np.minimum(residual(delay - 0.5), residual(delay + 0.5))
+    sharp = np.where(at_peak > 0, off / np.where(at_peak > 0, at_peak, 1.0), np.inf)
+    r = inner(delay) / size
+    return np.where(silent | (np.abs(delay) >= search - 10 * tolerance), np.nan, delay), np.where(silent, 0.0, r), sharp
 
 
 def refine_delays(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, delay, correlation, status) of rows (key, a, b): sub-sample delay of b against a."""
+    """(key, delay, correlation, sharpness, status) of rows (key, a, b) of equal lengths: sub-sample delay of b against a."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, a, b in zip(batch[key], batch["a"], batch["b"], strict=True):
-                delay = residual_delay(np.asarray(a, float), np.asarray(b, float))
-                moved = fractional_shift(np.asarray(a, float), 0.0 if np.isnan(delay) else delay)
-                norm = float(np.linalg.norm(moved) * np.linalg.norm(b))
-                r = float(np.dot(moved, b)) / norm if norm else 0.0
-                out.append((k, None if np.isnan(delay) else delay, r, "invalid" if np.isnan(delay) else "ok" if abs(r) >= 0.6 else "weak"))
-            yield pd.DataFrame(out, columns=[key, "delay", "correlation", "status"])
-
-    return pairs.select(key, "a", "b").mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, delay double, correlation double, status string")
+            if batch.num_rows:
+                a, b = (np.asarray(batch[c].flatten(), float).reshape(batch.num_rows, -1) for c in ("a", "b"))
+                delay, r, sharp = refined(a, b)
+                status = np.where(np.isnan(delay), "invalid", np.where(np.abs(r) >= 0.6, "ok", "weak"))
+                yield pa.RecordBatch.from_arrays([batch[key], pa.array(delay, mask=np.isnan(delay)), pa.array(r), pa.array(sharp), pa.array(status.tolist())], [key, "delay", "correlation", "sharpness", "status"])
+
+    return pairs.select(key, "a", "b").mapInArrow(run, f"{key} {pairs.schema[key].dataType.simpleString()}, delay double, correlation double, sharpness double, status string")
+
+
+def delayed(frames: DataFrame, delay: float, column: str = "a") -> DataFrame:
+    """`frames` with `b`: the arrays in `column`, circularly later by `delay` samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch[column].flatten(), float).reshape(batch.num_rows, -1)
+                n = x.shape[1]
+                y = np.fft.irfft(np.fft.rfft(x, axis=1) * np.exp(-2j * np.pi * np.fft.rfftfreq(n) * delay), n, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), n).cast(pa.list_(pa.float64()))], [*batch.schema.names, "b"])
+
+    return frames.mapInArrow(run, StructType([*frames.schema.fields, StructField("b", ArrayType(DoubleType()))]))
 
 
 def kaiser_taps(phases: int, half: int = 32, beta: float = 10.0) -> np.ndarray:

@@ -1,14 +1,23 @@
-"""Auditory bands, masking and noise-to-mask ratios, as joins with small band tables."""
+"""Auditory bands, masking and noise-to-mask ratios.
+
+A frame stays one row: bands, spreading, peaks and cutoffs are matrix steps over the spectra of
+an Arrow batch, and what leaves a task is a number or a short array for each frame. Sums over
+frames combine before they are shuffled by track and band.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ERB_NUMBER, ERB_SLOPE, bark, db10, erb_to_hz, spreading_db, threshold_in_quiet
-from .spectrum import box_smooth
+from .spectrum import _matrix
 
 #: Offsets of the masking model and the level of a full-scale sine; fixed values.
 TONAL_OFFSET_DB, NOISE_OFFSET_DB, FULL_SCALE_SPL_DB = 14.5, 5.5, 96.0
@@ -31,41 +40,113 @@ def erb_bands(spark: SparkSession, rate: int, size: int, lo_hz: float = 20.0, hi
     return bands.withColumn("centre_hz", (F.col("lo") + F.col("hi") - 1) / 2.0 * width).withColumn("ath", F.pow(F.lit(10.0), (quiet - FULL_SCALE_SPL_DB) / 10))
 
 
-def band_energies(z: DataFrame, bands: DataFrame, power: Column) -> DataFrame:
-    """(track, t, band, e): power summed over each band's bins."""
-    rows = z.join(F.broadcast(bands.select("band", "lo", "hi")), (F.col("bin") >= F.col("lo")) & (F.col("bin") < F.col("hi")))
-    return rows.groupBy("track", "t", "band").agg(F.sum(power).alias("e"))
+@dataclass(frozen=True)
+class BandTable:
+    """Some forty bands: numbers, which bins are theirs (bins x bands), spreading weights, offsets of tones, thresholds in quiet."""
 
+    band: np.ndarray
+    member: np.ndarray
+    spread: np.ndarray
+    tonal_offset: np.ndarray
+    ath: np.ndarray
 
-def thresholds(z: DataFrame, bands: DataFrame) -> DataFrame:
-    """(track, t, band, thr): masking thresholds of a reference with powers `p` per (track, t, bin).
 
-    Band energies are spread over neighbouring bands and lowered by an offset between that of
-    noise and that of tones, by the share of energy in tonal peaks; not below the threshold in quiet.
-    """
-    p = F.greatest("p", F.lit(1e-30))
-    rows = tonal_peaks(z.select("track", "t", "bin", p.alias("p"))).join(F.broadcast(bands.select("band", "lo", "hi")), (F.col("bin") >= F.col("lo")) & (F.col("bin") < F.col("hi")))
-    energies = rows.groupBy("track", "t", "band").agg(F.sum("p").alias("e"), F.sum(F.when(F.col("near"), F.col("p")).otherwise(0.0)).alias("tonal"))
-    one = bands.select(F.col("band").alias("bi"), bark(F.col("centre_hz")).alias("zi"), "ath")
-    two = bands.select(F.col("band").alias("bj"), bark(F.col("centre_hz")).alias("zj"))
-    weight = F.pow(F.lit(10.0), spreading_db(F.col("zi") - F.col("zj")) / 10)
-    spread = one.join(two, F.lit(True)).withColumn("w", weight)  # bands x bands: some hundred rows
-    spread = spread.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("bi")))
-    own = F.sum(F.when(F.col("bi") == F.col("bj"), F.col("tonal") / F.col("e")).otherwise(0.0))
-    mixed = energies.join(F.broadcast(spread), F.col("band") == F.col("bj")).groupBy("track", "t", F.col("bi").alias("band")).agg(F.sum(F.col("w") * F.col("e")).alias("spread"), own.alias("alpha"), F.max("zi").alias("zi"), F.max("ath").alias("ath"))
-    offset = F.col("alpha") * (TONAL_OFFSET_DB + F.col("zi")) + (1 - F.col("alpha")) * NOISE_OFFSET_DB
-    return mixed.select("track", "t", "band", F.greatest(F.col("spread") * F.pow(F.lit(10.0), -offset / 10), F.col("ath")).alias("thr"))
-
-
-def noise_to_mask(z: DataFrame, bands: DataFrame, gain: float) -> DataFrame:
-    """(track, t, band, ratio): power of test minus gain times reference over the threshold."""
-    thr = thresholds(z.withColumn("p", F.col("are") ** 2 + F.col("aim") ** 2), bands)
-    noise = band_energies(z, bands, F.pow(F.col("bre") - gain * F.col("are"), 2) + F.pow(F.col("bim") - gain * F.col("aim"), 2))
-    return noise.join(thr, ["track", "t", "band"]).select("track", "t", "band", (F.greatest("e", F.lit(1e-30)) / F.col("thr")).alias("ratio"))
+def band_table(bands: DataFrame, n_bins: int) -> BandTable:
+    """What tasks need of `erb_bands`; its size follows from the frame's, not from the data."""
+    one = bands.select("band", "lo", "hi", "ath", bark(F.col("centre_hz")).alias("z"))
+    rows = one.orderBy("band").collect()
+    two = one.select(F.col("band").alias("bi"), F.col("z").alias("zi")).join(F.broadcast(one.select(F.col("band").alias("bj"), F.col("z").alias("zj"))), F.lit(True))
+    weight = two.select(F.pow(F.lit(10.0), spreading_db(F.col("zi") - F.col("zj")) / 10).alias("w"), "bi", "bj").orderBy("bi", "bj").collect()
+    spread = np.array([r.w for r in weight]).reshape(len(rows), len(rows))
+    member = np.zeros((n_bins, len(rows)))
+    for k, r in enumerate(rows):
+        member[r.lo : r.hi, k] = 1.0
+    z = np.array([r.z for r in rows])
+    return BandTable(np.array([r.band for r in rows]), member, spread / spread.sum(1, keepdims=True), TONAL_OFFSET_DB + z, np.array([r.ath for r in rows]))
+
+
+def per_frame(frames: DataFrame, made: Callable[..., dict[str, np.ndarray]], **types: str) -> DataFrame:
+    """The columns of `frames` besides the spectra, and those that `made` gives for the matrices are, aim, bre, bim."""
+    kept = [c for c in frames.columns if c not in ("are", "aim", "bre", "bim")]
+    schema = ", ".join([f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in kept] + [f"{c} {kind}" for c, kind in types.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = made(*(_matrix(batch[c], batch.num_rows) for c in ("are", "aim", "bre", "bim")))
+            columns = []
+            for name, kind in types.items():
+                x = out[name]
+                if x.ndim == 2:
+                    columns.append(pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(pa.float64())))
+                else:
+                    columns.append(pa.array(x, {"double": pa.float64(), "long": pa.int64()}[kind]))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns], [*kept, *types])
+
+    return frames.mapInArrow(run, schema)
+
+
+def _power(re: np.ndarray, im: np.ndarray) -> np.ndarray:
+    return np.maximum(re * re + im * im, 1e-30)
+
+
+def _peaks(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Local maxima well above their third and fourth neighbours, and what is within two bins of one."""
+    peak = np.zeros(p.shape, bool)
+    if p.shape[1] > 8:
+        at = lambda k: p[:, 4 + k : p.shape[1] - 4 + k]
+        far = np.maximum(np.maximum(at(-3), at(3)), np.maximum(at(-4), at(4)))
+        peak[:, 4:-4] = (at(0) > at(-1)) & (at(0) >= at(1)) & (at(0) > PEAK_RATIO * far)
+    near = peak.copy()
+    for k in (1, 2):
+        near[:, k:] |= peak[:, :-k]
+        near[:, :-k] |= peak[:, k:]
+    return peak, near
+
+
+def _thresholds(p: np.ndarray, b: BandTable) -> np.ndarray:
+    """Band energies are spread over neighbouring bands and lowered by an offset between that of
+    noise and that of tones, by the share of energy in tonal peaks; not below the threshold in quiet."""
+    energy = p @ b.member
+    tonal = (p * _peaks(p)[1]) @ b.member / energy
+    offset = tonal * b.tonal_offset + (1 - tonal) * NOISE_OFFSET_DB
+    return np.maximum(energy @ b.spread.T * 10 ** (-offset / 10), b.ath)
+
+
+def by_band(frames: DataFrame, bands: BandTable, value: str, name: str) -> DataFrame:
+    """(track, t, band, name): a row for each band of a frame; empty bands have none."""
+    numbers = F.array(*(F.lit(int(k)) for k in bands.band))
+    rows = frames.select("track", "t", F.posexplode(value).alias("k", name))
+    return rows.select("track", "t", F.get(numbers, F.col("k")).cast("long").alias("band"), name)
+
+
+def band_energies(frames: DataFrame, bands: BandTable) -> DataFrame:
+    """(track, t, band, e): the reference's power in each band."""
+    made = per_frame(frames, lambda ar, ai, br, bi: {"v": (ar * ar + ai * ai) @ bands.member}, v="array<double>")
+    return by_band(made, bands, "v", "e")
+
+
+def thresholds(frames: DataFrame, bands: BandTable) -> DataFrame:
+    """(track, t, band, thr): masking thresholds of the reference."""
+    made = per_frame(frames, lambda ar, ai, br, bi: {"v": _thresholds(_power(ar, ai), bands)}, v="array<double>")
+    return by_band(made, bands, "v", "thr")
+
+
+def noise_to_mask(frames: DataFrame, bands: BandTable, gain: float) -> DataFrame:
+    """(track, t, ratio): in each band, the power of test minus gain times reference over the threshold."""
+
+    def made(ar: np.ndarray, ai: np.ndarray, br: np.ndarray, bi: np.ndarray) -> dict[str, np.ndarray]:
+        noise = ((br - gain * ar) ** 2 + (bi - gain * ai) ** 2) @ bands.member
+        return {"ratio": np.maximum(noise, 1e-30) / _thresholds(_power(ar, ai), bands)}
+
+    return per_frame(frames, made, ratio="array<double>")
 
 
 def nmr_frames(ratios: DataFrame) -> DataFrame:
-    return ratios.groupBy("track", "t").agg((10 * F.log10(F.avg("ratio"))).alias("total_db"), (10 * F.log10(F.max("ratio"))).alias("peak_db"))
+    """(track, t, total_db, peak_db) of `noise_to_mask`."""
+    mean = F.aggregate("ratio", F.lit(0.0), lambda a, x: a + x) / F.size("ratio")
+    return ratios.select("track", "t", (10 * F.log10(mean)).alias("total_db"), (10 * F.log10(F.array_max("ratio"))).alias("peak_db"))
 
 
 def histogram_quantiles(rows: DataFrame, value: str, keys: list[str], qs: list[float], lo: float = -100.0, step: float = 0.5, n_bins: int = 320) -> DataFrame:
@@ -81,37 +162,56 @@ def histogram_quantiles(rows: DataFrame, value: str, keys: list[str], qs: list[f
     return counted.groupBy(*keys).agg(F.max("n").alias("frames"), *map(first, qs), F.max("m").alias("largest"), (F.sum("pos") / F.max("n")).alias("above_zero"))
 
 
-def time_grid(ratios: DataFrame, per: int) -> DataFrame:
+def time_grid(ratios: DataFrame, bands: BandTable, per: int) -> DataFrame:
     """(track, band, col, worst_db): the largest ratio of each `per` frames."""
-    return ratios.groupBy("track", "band", F.floor(F.col("t") / per).cast("long").alias("col")).agg(db10(F.max("ratio"), 1e-300).alias("worst_db"))
+    rows = by_band(ratios, bands, "ratio", "r")
+    return rows.groupBy("track", "band", F.floor(F.col("t") / per).cast("long").alias("col")).agg(db10(F.max("r"), 1e-300).alias("worst_db"))
 
 
-def frame_cutoffs(z: DataFrame, *, below_db: float, half: int = 2) -> DataFrame:
+def frame_cutoffs(frames: DataFrame, *, below_db: float, half: int = 2) -> DataFrame:
     """(track, t, cutoff): the highest smoothed bin within `below_db` of the frame's top, else 0."""
-    rows = z.withColumn("v", db10(F.col("are") ** 2 + F.col("aim") ** 2)).withColumn("v", box_smooth("v", ["track", "t"], "bin", half))
-    rows = rows.withColumn("top", F.max("v").over(Window.partitionBy("track", "t")))
-    return rows.groupBy("track", "t").agg(F.coalesce(F.max(F.when(F.col("v") > F.col("top") - below_db, F.col("bin"))), F.lit(0)).cast("double").alias("cutoff"))
+
+    def made(ar: np.ndarray, ai: np.ndarray, br: np.ndarray, bi: np.ndarray) -> dict[str, np.ndarray]:
+        level = 10 * np.log10(_power(ar, ai))
+        smooth = np.lib.stride_tricks.sliding_window_view(level, 2 * half + 1, axis=1).mean(2)
+        loud = smooth > smooth.max(1, keepdims=True) - below_db
+        last = smooth.shape[1] - 1 - loud[:, ::-1].argmax(1) + half
+        return {"cutoff": np.where(loud.any(1), last, 0).astype(float)}
+
+    return per_frame(frames, made, cutoff="double")
 
 
-def tonal_peaks(z: DataFrame) -> DataFrame:
-    """Adds `peak`, a local maximum well above its further neighbours, and `near`, within two bins of one."""
-    w = Window.partitionBy("track", "t").orderBy("bin")
-    p, at = F.col("p"), lambda k: F.lag("p", k).over(w) if k > 0 else F.lead("p", -k).over(w)
-    far = p > PEAK_RATIO * F.greatest(at(3), at(-3), at(4), at(-4))
-    inner = at(4).isNotNull() & at(-4).isNotNull()
-    rows = z.withColumn("peak", F.coalesce(inner & (p > at(1)) & (p >= at(-1)) & far, F.lit(False)))
-    return rows.withColumn("near", F.max(F.col("peak").cast("int")).over(w.rowsBetween(-2, 2)) == 1)
+def tonal_peaks(frames: DataFrame) -> DataFrame:
+    """(track, t, peaks, share): how many tonal peaks a frame has, and the share of its power near them."""
 
+    def made(ar: np.ndarray, ai: np.ndarray, br: np.ndarray, bi: np.ndarray) -> dict[str, np.ndarray]:
+        p = _power(ar, ai)
+        peak, near = _peaks(p)
+        return {"peaks": peak.sum(1), "share": (p * near).sum(1) / p.sum(1)}
 
-def phat_peaks(z: DataFrame, size: int) -> DataFrame:
+    return per_frame(frames, made, peaks="long", share="double")
+
+
+def phat_peaks(frames: DataFrame, size: int) -> DataFrame:
     """(track, t, lag, value): the largest whitened cross-correlation in magnitude; the first lag wins ties."""
-    re, im = F.col("are") * F.col("bre") + F.col("aim") * F.col("bim"), F.col("are") * F.col("bim") - F.col("aim") * F.col("bre")
-    rows = z.select("track", "t", "bin", re.alias("re"), im.alias("im")).withColumn("mag", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))
-    white = lambda c: F.when(F.col("mag") > 1e-12, F.col(c) / F.when(F.col("mag") > 1e-12, F.col("mag"))).otherwise(0.0)
-    rows = rows.select("track", "t", "bin", white("re").alias("re"), white("im").alias("im"), F.explode(F.sequence(F.lit(-size // 2).cast("long"), F.lit(size // 2 - 1).cast("long"))).alias("lag"))
-    angle = 2 * math.pi * F.col("bin") * F.col("lag") / size
-    both = F.when(F.col("bin").isin(0, size // 2), 1).otherwise(2)
-    value = F.sum(both * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))) / size
-    lags = rows.groupBy("track", "t", "lag").agg((F.floor(value * 1e9 + 0.5) / 1e9).alias("value"))
-    best = lags.groupBy("track", "t").agg(F.max(F.struct(F.abs("value").alias("m"), (-F.col("lag")).alias("k"), "value", "lag")).alias("x"))
-    return best.select("track", "t", "x.lag", "x.value")
+
+    def made(ar: np.ndarray, ai: np.ndarray, br: np.ndarray, bi: np.ndarray) -> dict[str, np.ndarray]:
+        cross = (ar * br + ai * bi) + 1j * (ar * bi - ai * br)
+        size_of = np.abs(cross)
+        white = np.where(size_of > 1e-12, cross / np.where(size_of > 1e-12, size_of, 1.0), 0.0)
+        values = np.roll(np.fft.irfft(white, size, axis=1), size // 2, axis=1)
+        values = np.floor(values * 1e9 + 0.5) / 1e9
+        best = np.abs(values).argmax(1)
+        return {"lag": best - size // 2, "value": values[np.arange(len(best)), best]}
+
+    return per_frame(frames, made, lag="long", value="double")
+
+
+def flatness(frames: DataFrame) -> DataFrame:
+    """(track, t, sfm): spectral flatness in dB, the geometric over the arithmetic mean of the powers."""
+
+    def made(ar: np.ndarray, ai: np.ndarray, br: np.ndarray, bi: np.ndarray) -> dict[str, np.ndarray]:
+        p = _power(ar, ai)
+        return {"sfm": 10 * np.log10(np.exp(np.log(p).mean(1)) / p.mean(1))}
+
+    return per_frame(frames, made, sfm="double")

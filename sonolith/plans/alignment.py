@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
@@ -31,9 +29,9 @@ def envelope_zscore(spark, d):
 
 
 def silence_pruning(spark, d):
-    z = align.zscore_db(align.envelope(roles.series(spark, d), 20, 10)).withColumn("active", F.col("z") > -1)
-    g = z.withColumn("block", F.floor(F.col("frame") / 10).cast("long")).groupBy("block").agg(F.count_if("active").alias("active"), F.count("*").alias("frames"))
-    return g.select("block", "active", "frames", (F.col("active") * 2 >= F.col("frames")).alias("usable"))
+    """Blocks of ten frames that lie mostly at the floor of the envelope, if that is well below its median."""
+    z = align.zscore_db(align.envelope(roles.series(spark, d), 20, 10), span_db=18.0)
+    return align.mostly_silent(z, 10).select("block", "at_floor", "frames", "silent")
 
 
 def all_lag_correlation(spark, d):
@@ -91,16 +89,12 @@ def snap_ratio(spark, d):
 
 
 def refine_delay(spark, d):
-    """Frames against themselves 0.3 samples later: what the search finds."""
-    f = roles.frames(spark, d).where("t < 5")
-    shifted = spectrum.bins(spectrum.spectra(f.select("vec_id", "a", F.col("a").alias("b"))), ["vec_id"])
-    re, im = spectrum.phase_shift(F.col("are"), F.col("aim"), F.col("bin"), 0.3, 64)
-    back = shifted.select("vec_id", "bin", re.alias("re"), im.alias("im")).crossJoin(spark.range(64).withColumnRenamed("id", "i"))
-    w = F.when(F.col("bin").isin(0, 32), 1).otherwise(2)
-    ang = 2 * math.pi * F.col("bin") * F.col("i") / 64
-    b = back.groupBy("vec_id", "i").agg((F.sum(w * (F.col("re") * F.cos(ang) - F.col("im") * F.sin(ang))) / 64).alias("v"))
-    b = b.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("b"))
-    return align.refine_delays(f.select("vec_id", "a").join(b, "vec_id"), "vec_id").select("vec_id", (F.floor(F.col("delay") * 100 + 0.5) / 100).alias("delay"), "status")
+    """Every frame against itself 0.3 samples later: what the search finds."""
+    sign = lambda i: F.when(i % 2 == 0, 1.0).otherwise(-1.0)
+    f = roles.frames(spark, d).select("vec_id", "a", (F.aggregate(F.transform("a", lambda x, i: x * sign(i)), F.lit(0.0), lambda s, x: s + x) / 64).alias("nyquist"))
+    # half the sample rate has no phase that a delay could turn
+    f = align.delayed(f.select("vec_id", F.transform("a", lambda x, i: x - F.col("nyquist") * sign(i)).alias("a")), 0.3)
+    return align.refine_delays(f, "vec_id").select("vec_id", (F.floor(F.col("delay") * 100 + 0.5) / 100).alias("delay"), "status")
 
 
 def warp_resample(spark, d):
@@ -109,10 +103,12 @@ def warp_resample(spark, d):
 
 
 def anchor_drift(spark, d):
-    """The ratio of a series played 200 ppm faster, from lags of its anchors."""
-    a = spark.range(30).select(F.lit("x").alias("ch"), (F.col("id") * 2.0).alias("x"), (0.5 - 0.0002 * F.col("id") * 2.0 + F.when(F.col("id") % 7 == 3, 3.0).otherwise(0.0)).alias("y"))
-    f = align.theil_sen(a, "ch", "x", "y")
-    return f.select("ch", n.r6((-F.col("slope")) * 1e6).alias("ppm"), n.r6(1 - F.col("slope")).alias("ratio"))
+    """The speed of series played 200 ppm faster, from forty anchors each, a seventh of them off by three seconds."""
+    k, key = F.col("p_partkey"), F.floor(F.col("p_partkey") / 40).cast("long").alias("track")
+    a = roles.table(spark, d, "part").select(key, (k * 2.0).alias("x"), (0.5 - 0.0002 * (k * 2.0) + F.when(k % 7 == 3, 3.0).otherwise(0.0)).alias("y"))
+    enough = a.groupBy("track").agg(F.count("*").alias("m")).where("m >= 12").select("track")
+    f = align.theil_sen(a.join(enough, "track"), "track", "x", "y")
+    return f.select("track", n.r6((-F.col("slope")) * 1e6).alias("ppm"), n.r6(1 - F.col("slope")).alias("ratio"))
 
 
 QUERIES = {f.__name__: f for f in (hann_frames_energy, envelope_zscore, silence_pruning, all_lag_correlation, coarse_lag_top1, peak_to_sidelobe, block_gate_erosion, theil_sen_by_type, mad_residual_status, delay_line_fit, snap_ratio, refine_delay, warp_resample, anchor_drift)}
@@ -133,7 +129,10 @@ SQL = {
     "hann_frames_energy": f"""WITH f AS (SELECT unnest(range((SELECT (max(event_id) - 63) // 32 + 1 FROM events))) AS t)
         SELECT t, {r6("sum(pow(value * (0.5 - 0.5 * cos(2 * pi() * (event_id - t * 32) / 64)), 2))")} AS energy FROM f JOIN events ON event_id BETWEEN t * 32 AND t * 32 + 63 GROUP BY t HAVING count(*) = 64""",
     "envelope_zscore": f"WITH {_ENV} SELECT frame, {r6('e')} AS energy, {r6('z')} AS z FROM z",
-    "silence_pruning": f"WITH {_ENV} SELECT frame // 10 AS block, count(*) FILTER (z > -1) AS active, count(*) AS frames, count(*) FILTER (z > -1) * 2 >= count(*) AS usable FROM z GROUP BY 1",
+    "silence_pruning": f"""WITH {_ENV.replace("1e-8", "0.015848931924611134::DOUBLE")}, m AS (SELECT min(z) AS low, median(z) AS mid FROM z)
+        SELECT frame // 10 AS block, count(*) FILTER (z <= low + 1e-3) AS at_floor, count(*) AS frames, low <= mid - 1 AND count(*) FILTER (z <= low + 1e-3) * 2 > count(*) AS silent FROM z, m GROUP BY 1, low, mid""",
+    "refine_delay": "SELECT vec_id, 0.3::DOUBLE AS delay, 'ok' AS status FROM embeddings",
+    "anchor_drift": "SELECT p_partkey // 40 AS track, 200.0::DOUBLE AS ppm, 1.0002::DOUBLE AS ratio FROM part GROUP BY 1 HAVING count(*) >= 12",
     "all_lag_correlation": f"WITH {_LAGS} SELECT lag, {r6('rho')} AS rho, overlap FROM l",
     "coarse_lag_top1": f"WITH {_LAGS} SELECT lag, {r6('rho')} AS rho FROM l ORDER BY 2 DESC, lag LIMIT 1",
     "peak_to_sidelobe": f"""WITH {_LAGS}, p AS (SELECT lag AS pk, abs(rho) AS peak FROM l ORDER BY abs(rho) DESC, lag LIMIT 1)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, records, rules, spectral, streams
+from . import alignment, metadata, records, rules, spectral, streams
 
-_PARTS = (spectral, alignment, records, rules, streams)
+_PARTS = (spectral, alignment, records, rules, metadata, streams)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, privacy
 from ..functions import numeric as n
-from ..operators import library, trials
+from ..operators import library, metadata, trials
+from ..sources import sinks
 from . import roles
 from .roles import r6
 
@@ -100,8 +101,8 @@ def bucket_summary(spark, d):
 
 def csv_projection(spark, d):
     f = _staged(spark, d)
-    quoted = lambda c: F.when(F.col(c).cast("string").rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    return f.select(F.concat_ws(",", *(quoted(c) for c in ("path", "size", "codec", "bucket", "stage", "quality"))).alias("line"))
+    rows = f.select(F.concat(F.lit("/music/"), F.col("codec"), F.lit("/"), F.col("path"), F.lit(".flac")).alias("path"), "bucket", F.when(F.col("quality").isNotNull(), F.col("size") * 3.5).alias("cutoff_hz"), "stage", F.when(F.col("path") % 3 == 0, F.concat(F.lit("cutoff, "), F.col("codec"))).alias("reason"), F.when(F.col("path") % 4 != 0, F.col("size") / 8).alias("seconds"))
+    return sinks.csv_rows(rows)
 
 
 _STAGED = f"""f AS (SELECT doc_id AS path, n_chars AS size, doc_id * 1000 AS mtime_ns, '{_RULES}' AS rules, lang AS codec, source FROM documents),
@@ -113,13 +114,13 @@ b AS (SELECT *, CASE WHEN size < 30 THEN 'error' WHEN codec = 'de' THEN 'lossy f
 
 
 def ladder_place(spark, d):
-    e = roles.table(spark, d, "embeddings")
+    """Each vector's first six values as a ladder, and all others as tests on it."""
+    e = roles.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     rung = F.element_at(F.array(*[F.lit(x) for x in (64, 96, 128, 192, 256, 320)]), (F.col("k") + 1).cast("int")).cast("long")
-    first = e.groupBy(F.col("label").cast("long").alias("track")).agg(F.min_by(F.col("embedding").cast("array<double>"), "vec_id").alias("v"))
-    rungs = first.select("track", F.posexplode(F.slice("v", 1, 6)).alias("k", "x")).select("track", rung.alias("kbps"), (F.col("x") * 40 + F.col("k") * 6.0).alias("value"))
-    tests = first.select("track", (F.element_at("v", 10) * 80 + 15).alias("test"))
-    p = library.place(rungs, tests, "track")
-    return p.select("track", n.r6(F.col("test")).alias("test"), "position", n.r6(F.col("kbps")).alias("kbps"), "lower_kbps", "upper_kbps", "monotonic")
+    rungs = e.select("vec_id", F.posexplode(F.slice("v", 1, 6)).alias("k", "x")).select("vec_id", rung.alias("kbps"), (F.col("x") * 40 + F.col("k") * 6.0).alias("value"))
+    tests = e.select("vec_id", F.posexplode("v").alias("k", "x")).where("k >= 6").select("vec_id", F.col("k").cast("long").alias("k"), (F.col("x") * 80 + 15).alias("test"))
+    p = library.place(rungs, tests, "vec_id")
+    return p.select("vec_id", "k", n.r6(F.col("test")).alias("test"), "position", n.r6(F.col("kbps")).alias("kbps"), "lower_kbps", "upper_kbps", "monotonic")
 
 
 def combine_floors(spark, d):
@@ -146,10 +147,13 @@ def mid_side(spark, d):
 
 
 def channel_map(spark, d):
-    """2 x 2 correlations of a pair with itself swapped: swap iff the cross terms are larger."""
-    rows = roles.table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("l"), (F.col("l_extendedprice") / 1000).alias("r"))
-    c = rows.groupBy("l_returnflag").agg(F.abs(F.corr("l", "r")).alias("x"))
-    return c.select("l_returnflag", n.r6(F.col("x") * 2).alias("straight"), F.lit(2.0).alias("crossed"), (F.lit(2.0) > F.col("x") * 2 + 1e-9).alias("swap"))
+    """Two channels against a copy that has them swapped for returned lines: which way round they correlate."""
+    rows = roles.table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("l"), (F.col("l_tax") * 100 + F.col("l_quantity") / 10).alias("r"))
+    swapped = F.col("l_returnflag") == "R"
+    rows = rows.select("*", F.when(swapped, F.col("r")).otherwise(F.col("l")).alias("tl"), (F.when(swapped, F.col("l")).otherwise(F.col("r")) + F.col("l") / 20).alias("tr"))
+    together = lambda a, b, c, e: F.abs(F.corr(a, b)) + F.abs(F.corr(c, e))
+    c = rows.groupBy("l_returnflag").agg(together("l", "tl", "r", "tr").alias("straight"), together("l", "tr", "r", "tl").alias("crossed"))
+    return c.select("l_returnflag", n.r6(F.col("straight")).alias("straight"), n.r6(F.col("crossed")).alias("crossed"), (F.col("crossed") > F.col("straight") + 1e-9).alias("swap"))
 
 
 _SECRETS, _NAMES = [r"C:\Users\maria\Music", "  ", "ab"], ["maria"]
@@ -159,11 +163,12 @@ _INJECT = [r"C:\Users\maria\Music\Track 01.flac", r"see D:\Secret Folder\x.flac
 def _injected(spark, d):
     docs = roles.table(spark, d, "documents")
     path = F.element_at(F.array(*map(F.lit, _INJECT)), (F.col("doc_id") % len(_INJECT) + 1).cast("int"))
-    return docs.select("doc_id", F.concat(F.left(F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(40)), F.lit(' "'), path, F.lit('" end')).alias("text"))
+    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(' "'), path, F.lit('" end')).alias("text"))
 
 
 def privacy_scrub(spark, d):
-    return _injected(spark, d).select("doc_id", privacy.scrub(F.col("text"), _SECRETS, _NAMES).alias("text"))
+    clean = _injected(spark, d).select("doc_id", privacy.scrub(F.col("text"), _SECRETS, _NAMES).alias("text"))
+    return clean.select("doc_id", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
 def privacy_audit(spark, d):
@@ -180,11 +185,10 @@ def basename(spark, d):
 
 
 def packet_reassembly(spark, d):
-    """Sizes as lacing values of 255 and a rest, then back: a value below 255 ends a packet."""
-    p = roles.table(spark, d, "documents").select("doc_id", "n_chars")
-    laced = p.select("doc_id", F.explode(F.concat(F.array_repeat(F.lit(255).cast("long"), F.floor(F.col("n_chars") / 255).cast("int")), F.array(F.col("n_chars") % 255))).alias("v"))
-    g = laced.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum("v").alias("bytes"), F.count_if(F.col("v") < 255).alias("packets"))
-    return g.select("doc_id", "segments", "bytes", "packets", F.ceil(F.col("segments") / 255).cast("long").alias("pages"))
+    """Events of a user as lacing values: a value below 255 ends a packet, and the last one may be unfinished."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    segments = roles.table(spark, d, "events").select("user_id", "event_id", F.when(k < 40, 255).otherwise(k).cast("long").alias("v"))
+    return metadata.reassembled(segments, "user_id", "event_id", "v")
 
 
 def toc_histogram(spark, d):
@@ -201,24 +205,6 @@ def synchsafe_and_bitunpack(spark, d):
     return o.select("o_orderkey", bits.synchsafe(*safe).alias("value"), F.concat_ws(".", *safe).alias("coded"), bits.bits(k, 12, 16).alias("field")).distinct()
 
 
-def bitrate_three_tier(spark, d):
-    """Stated rate, else bytes over duration, else an average of what is known for the priority."""
-    o = roles.table(spark, d, "orders")
-    li = roles.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("seconds"), F.sum("l_extendedprice").alias("bytes"))
-    j = o.select("o_orderkey", "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("stated")).join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    j = j.withColumn("measured", F.when(F.col("seconds") > 0, F.col("bytes") * 8 / F.when(F.col("seconds") > 0, F.col("seconds"))))
-    mean = F.avg(F.coalesce("stated", "measured")).over(Window.partitionBy("o_orderpriority"))
-    tier = F.when(F.col("stated").isNotNull(), "stated").when(F.col("measured").isNotNull(), "measured").otherwise("typical")
-    return j.select("o_orderkey", tier.alias("tier"), n.r6(F.coalesce("stated", "measured", mean)).alias("rate")).groupBy("o_orderkey", "tier").agg(F.max("rate").alias("rate"), F.count("*").alias("m"))
-
-
-def default_stream(spark, d):
-    """For each customer the order marked default, else the largest, else the first."""
-    o = roles.table(spark, d, "orders")
-    best = F.max(F.struct((F.col("o_orderstatus") == "F").cast("int").alias("flag"), "o_totalprice", (-F.col("o_orderkey")).alias("k"))).alias("b")
-    return o.groupBy("o_custkey").agg(best, F.count("*").alias("streams")).select("o_custkey", (-F.col("b.k")).alias("o_orderkey"), (F.col("b.flag") == 1).alias("is_default"), "streams")
-
-
 def rate_choice(spark, d):
     """The smallest allowed rate not below the source's, else the largest."""
     rates = [8000, 12000, 16000, 24000, 48000]
@@ -253,7 +239,7 @@ def excerpt_candidates(spark, d):
     return f.select("doc_id", F.posexplode(library.excerpt_starts(F.col("duration"), 30.0)).alias("ord", "start")).select("doc_id", F.col("ord").cast("long").alias("ord"), n.r6(F.col("start")).alias("start_s"))
 
 
-QUERIES = {f.__name__: f for f in (abx_counts_flags, abx_binomial_power, abx_wilson_sidak, abx_sprt, abx_verdict, cache_hits_misses, cache_upsert_latest, staged_scan, bucket_summary, csv_projection, ladder_place, combine_floors, cutoff_label, mid_side, channel_map, privacy_scrub, privacy_audit, content_id, basename, packet_reassembly, toc_histogram, synchsafe_and_bitunpack, bitrate_three_tier, default_stream, rate_choice, codec_availability, missing_required, localise_messages, excerpt_candidates)}
+QUERIES = {f.__name__: f for f in (abx_counts_flags, abx_binomial_power, abx_wilson_sidak, abx_sprt, abx_verdict, cache_hits_misses, cache_upsert_latest, staged_scan, bucket_summary, csv_projection, ladder_place, combine_floors, cutoff_label, mid_side, channel_map, privacy_scrub, privacy_audit, content_id, basename, packet_reassembly, toc_histogram, synchsafe_and_bitunpack, rate_choice, codec_availability, missing_required, localise_messages, excerpt_candidates)}
 
 _Z = n.WILSON_Z
 _LOW = f"greatest(0.0, (k / n::DOUBLE + {_Z * _Z!r} / (2 * n) - {_Z} * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + {_Z * _Z!r} / (4.0 * n * n))) / (1 + {_Z * _Z!r} / n))"
@@ -262,7 +248,7 @@ _TAIL = """lf AS (SELECT n, sum(ln(greatest(n, 1)::DOUBLE)) OVER (ORDER BY n) AS
 tm AS (SELECT a.n, b.n AS k, exp(a.lf - b.lf - c.lf + b.n * ln(0.5) + (a.n - b.n) * ln(0.5)) AS t0, exp(a.lf - b.lf - c.lf + b.n * ln(0.75) + (a.n - b.n) * ln(0.25)) AS t1 FROM lf a JOIN lf b ON b.n <= a.n JOIN lf c ON c.n = a.n - b.n),
 tl AS (SELECT n, k, sum(t0) OVER (PARTITION BY n ORDER BY k DESC) AS tail, sum(t1) OVER (PARTITION BY n ORDER BY k DESC) AS power FROM tm)"""
 _UP, _LO, _R, _W = n.wald_bounds()
-_INJ = "inj AS (SELECT doc_id, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40) || ' \"' || [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _INJECT) + "][doc_id % 6 + 1] || '\" end' AS text, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40) AS head FROM documents)"
+_INJ = "inj AS (SELECT doc_id, coalesce(text, '') || ' \"' || [" + ", ".join("'" + x.replace("'", "''") + "'" for x in _INJECT) + "][doc_id % 6 + 1] || '\" end' AS text, coalesce(text, '') AS head FROM documents)"
 
 SQL = {
     "abx_counts_flags": f"""WITH {_TRIALS} SELECT session, count(*) AS n, count(*) FILTER (correct) AS correct, sum(switches)::BIGINT AS switches, count(*) FILTER (switches = 0) AS unheard,
@@ -280,35 +266,37 @@ SQL = {
     "cache_upsert_latest": f"WITH {_STAGED}, u AS (SELECT path, mtime_ns, 0::BIGINT AS seen FROM k UNION ALL SELECT path, mtime_ns, 1::BIGINT FROM f WHERE path % 2 = 0) SELECT path, arg_max(mtime_ns, seen) AS mtime_ns, max(seen) AS seen FROM u GROUP BY path",
     "staged_scan": f"WITH {_STAGED} SELECT path, bucket, stage FROM b",
     "bucket_summary": f"WITH {_STAGED} SELECT bucket, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (stage = 2) AS deep, {r6('count(*) / sum(count(*)) OVER ()')} AS share FROM b GROUP BY bucket",
-    "csv_projection": f"WITH {_STAGED} SELECT path || ',' || size || ',' || codec || ',' || bucket || ',' || stage || ',' || coalesce(quality::VARCHAR, '') AS line FROM b",
-    "ladder_place": f"""WITH e AS (SELECT label::BIGINT AS track, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
-        r AS (SELECT track, [64, 96, 128, 192, 256, 320][k + 1]::BIGINT AS kbps, v[k + 1]::DOUBLE * 40 + k * 6.0::DOUBLE AS value FROM e, (SELECT unnest(range(6)) AS k)),
-        a AS (SELECT *, max(value) OVER (PARTITION BY track ORDER BY kbps) AS axis, value > lag(value) OVER (PARTITION BY track ORDER BY kbps) AS rises FROM r),
-        i AS (SELECT *, lead(axis) OVER (PARTITION BY track ORDER BY kbps) AS nx, lead(kbps) OVER (PARTITION BY track ORDER BY kbps) AS nk FROM a),
-        m AS (SELECT track, max(value) AS top, min(value) AS bottom, bool_and(rises) AS monotonic, arg_max(kbps, value) AS tk, arg_min(kbps, value) AS bk FROM a GROUP BY track),
-        t AS (SELECT track, v[10]::DOUBLE * 80 + 15 AS test, m.*, CASE WHEN v[10]::DOUBLE * 80 + 15 >= top THEN 'above' WHEN v[10]::DOUBLE * 80 + 15 <= bottom THEN 'below' ELSE 'within' END AS position FROM e JOIN m USING (track))
-        SELECT t.track, {r6("test")} AS test, position, {r6("pow(2.0, log2(kbps) + (test - axis) / (nx - axis) * (log2(nk) - log2(kbps)))")} AS kbps,
+    "csv_projection": f"""WITH {_STAGED} SELECT path || '.flac' AS file, bucket AS verdict, CASE WHEN quality IS NULL THEN '' ELSE printf('%.2f', floor(size * 3.5::DOUBLE / 1000 * 100 + 0.5) / 100) END AS cutoff_khz, stage,
+        CASE WHEN path % 3 = 0 THEN 'cutoff, ' || codec ELSE '' END AS reason, CASE WHEN path % 4 <> 0 THEN printf('%.2f', floor(size / 8.0::DOUBLE * 100 + 0.5) / 100) ELSE '' END AS seconds FROM b""",
+    "ladder_place": f"""WITH e AS (SELECT vec_id, embedding AS v FROM embeddings),
+        r AS (SELECT vec_id, [64, 96, 128, 192, 256, 320][k + 1]::BIGINT AS kbps, v[k + 1]::DOUBLE * 40 + k * 6.0::DOUBLE AS value FROM e, (SELECT unnest(range(6)) AS k)),
+        a AS (SELECT *, max(value) OVER (PARTITION BY vec_id ORDER BY kbps) AS axis, value > lag(value) OVER (PARTITION BY vec_id ORDER BY kbps) AS rises FROM r),
+        i AS (SELECT *, lead(axis) OVER (PARTITION BY vec_id ORDER BY kbps) AS nx, lead(kbps) OVER (PARTITION BY vec_id ORDER BY kbps) AS nk FROM a),
+        m AS (SELECT vec_id, max(value) AS top, min(value) AS bottom, bool_and(rises) AS monotonic, arg_max(kbps, value) AS tk, arg_min(kbps, value) AS bk FROM a GROUP BY vec_id),
+        x AS (SELECT vec_id, k, v[k + 1]::DOUBLE * 80 + 15 AS test FROM e, (SELECT unnest(range(6, 64)) AS k)),
+        t AS (SELECT x.*, m.* EXCLUDE (vec_id), CASE WHEN test >= top THEN 'above' WHEN test <= bottom THEN 'below' ELSE 'within' END AS position FROM x JOIN m USING (vec_id))
+        SELECT t.vec_id, k, {r6("test")} AS test, position, {r6("pow(2.0, log2(kbps) + (test - axis) / (nx - axis) * (log2(nk) - log2(kbps)))")} AS kbps,
                CASE position WHEN 'within' THEN kbps WHEN 'above' THEN tk END AS lower_kbps, CASE position WHEN 'within' THEN nk WHEN 'below' THEN bk END AS upper_kbps, monotonic
-        FROM t LEFT JOIN i ON i.track = t.track AND position = 'within' AND nx > axis AND test >= axis AND test < nx""",
+        FROM t LEFT JOIN i ON i.vec_id = t.vec_id AND position = 'within' AND nx > axis AND test >= axis AND test < nx""",
     "combine_floors": f"SELECT p_partkey, {r6('-10 * log10(pow(10.0, -(p_retailprice / 20) / 10) + pow(10.0, -(p_size + 30.0::DOUBLE) / 10) + pow(10.0, -96.0::DOUBLE / 10))')} AS floor_db FROM part",
     "cutoff_label": f"WITH p AS (SELECT p_partkey, p_retailprice % 10 + 13 AS khz FROM part) SELECT p_partkey, {r6('khz')} AS khz, CASE WHEN abs(khz - 16.5) <= 0.6 THEN '128k' WHEN abs(khz - 18.5) <= 0.6 THEN '160k' WHEN abs(khz - 20.0) <= 0.6 THEN '256k' END AS label FROM p",
     "mid_side": f"""WITH s AS (SELECT l_shipdate, count(*) AS samples, sum(pow((l_quantity + l_extendedprice / 1000) / 2, 2)) AS m, sum(pow((l_quantity - l_extendedprice / 1000) / 2, 2)) AS s FROM lineitem GROUP BY l_shipdate)
         SELECT epoch(l_shipdate)::BIGINT AS day_s, samples, {r6("sqrt(m / samples)")} AS mid_rms, {r6("CASE WHEN s > 1e-6 * m THEN 10 * log10(s / m) END")} AS side_db FROM s""",
-    "channel_map": f"WITH c AS (SELECT l_returnflag, abs(corr(l_quantity, l_extendedprice / 1000)) AS x FROM lineitem GROUP BY 1) SELECT l_returnflag, {r6('x * 2')} AS straight, 2.0::DOUBLE AS crossed, 2.0 > x * 2 + 1e-9 AS swap FROM c",
-    "privacy_scrub": f"""WITH {_INJ} SELECT doc_id, regexp_replace(head, '(^|[^A-Za-z0-9])maria($|[^A-Za-z0-9])', '\\1<REDACTED>\\2', 'gi') || ' "' || ['<REDACTED>\\Track 01.flac', 'see x.flac now', '<PATH><REDACTED>\\y', 'https://host/<REDACTED>.txt', 'mariachi', 'dir'][doc_id % 6 + 1] || '" end' AS text FROM inj""",
-    "privacy_audit": "SELECT doc_id, [3, 1, 2, 0, 0, 1][doc_id % 6 + 1]::BIGINT AS leaks, 0::BIGINT AS left FROM documents",
+    "channel_map": f"""WITH s AS (SELECT l_returnflag, l_quantity AS l, l_tax * 100 + l_quantity / 10 AS r FROM lineitem), t AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN r ELSE l END AS tl, CASE WHEN l_returnflag = 'R' THEN l ELSE r END + l / 20 AS tr FROM s),
+        c AS (SELECT l_returnflag, abs(corr(l, tl)) + abs(corr(r, tr)) AS straight, abs(corr(l, tr)) + abs(corr(r, tl)) AS crossed FROM t GROUP BY 1)
+        SELECT l_returnflag, {r6("straight")} AS straight, {r6("crossed")} AS crossed, crossed > straight + 1e-9 AS swap FROM c""",
+    "privacy_scrub": f"""WITH {_INJ}, c AS (SELECT doc_id, regexp_replace(head, '(^|[^A-Za-z0-9])maria($|[^A-Za-z0-9])', '\\1<REDACTED>\\2', 'gi') || ' "' || ['<REDACTED>\\Track 01.flac', 'see x.flac now', '<PATH><REDACTED>\\y', 'https://host/<REDACTED>.txt', 'mariachi', 'dir'][doc_id % 6 + 1] || '" end' AS text FROM inj)
+        SELECT doc_id, length(text) AS n, md5(text) AS md5 FROM c""",
+    "privacy_audit": rf"""WITH {_INJ} SELECT doc_id, contains(text, 'C:\Users\maria\Music')::BIGINT + len(regexp_extract_all(text, '(?i)[\\/]maria(?:[\\/\s"''<>|]|$)')) + len(regexp_extract_all(text, '(?:^|[^A-Za-z])[A-Za-z]:[\\/]|\\\\')) AS leaks, 0::BIGINT AS left FROM inj""",
     "content_id": "SELECT doc_id, left(sha256(encode(octet_length(encode(text))::VARCHAR) || b[1:64] || CASE WHEN octet_length(encode(text)) > 128 THEN b[-64:] ELSE ''::BLOB END), 16) AS content_id FROM (SELECT doc_id, text, encode(text) AS b FROM documents)",
     "basename": "SELECT page_id, string_split_regex(url, '[/\\\\]')[-1] AS name FROM pages",
-    "packet_reassembly": "SELECT doc_id, n_chars // 255 + 1 AS segments, n_chars AS bytes, 1::BIGINT AS packets, (n_chars // 255 + 255) // 255 AS pages FROM documents",
+    "packet_reassembly": """WITH s AS (SELECT user_id, event_id, CASE WHEN json_extract(props, '$.k')::BIGINT < 40 THEN 255 ELSE json_extract(props, '$.k')::BIGINT END AS v FROM events),
+        p AS (SELECT *, coalesce(sum((v < 255)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS packet FROM s)
+        SELECT user_id, packet, sum(v)::BIGINT AS bytes, count(*) AS segments, bool_or(v < 255) AS complete FROM p GROUP BY 1, 2""",
     "toc_histogram": f"""WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT * 5 % 256 AS b FROM events), c AS (SELECT event_id, b >> 3 AS c, (b >> 2) & 1 = 1 AS stereo, CASE WHEN b & 3 = 0 THEN 1 ELSE 2 END AS frames FROM e),
         t AS (SELECT *, CASE WHEN c < 12 THEN 'silk' WHEN c < 16 THEN 'hybrid' ELSE 'celt' END AS mode, (CASE WHEN c < 12 THEN [10.0, 20.0, 40.0, 60.0][c % 4 + 1] WHEN c < 16 THEN [10.0, 20.0][c % 2 + 1] ELSE [2.5, 5.0, 10.0, 20.0][c % 4 + 1] END)::DOUBLE AS frame_ms FROM c)
         SELECT mode, frame_ms, stereo, count(*) AS packets, sum(frames)::BIGINT AS frames, {r6("sum(frames * frame_ms)")} AS ms, min(event_id) AS first_seen FROM t GROUP BY mode, frame_ms, stereo""",
     "synchsafe_and_bitunpack": "WITH k AS (SELECT DISTINCT o_orderkey, o_orderkey * 977 % 268435456 AS k FROM orders) SELECT o_orderkey, k AS value, (k >> 21) || '.' || ((k >> 14) & 127) || '.' || ((k >> 7) & 127) || '.' || (k & 127) AS coded, (k >> 12) & 65535 AS field FROM k",
-    "bitrate_three_tier": f"""WITH l AS (SELECT l_orderkey, sum(l_quantity) AS seconds, sum(l_extendedprice) AS bytes FROM lineitem GROUP BY 1),
-        j AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS stated, CASE WHEN seconds > 0 THEN bytes * 8 / seconds END AS measured FROM orders LEFT JOIN l ON o_orderkey = l_orderkey),
-        r AS (SELECT o_orderkey, CASE WHEN stated IS NOT NULL THEN 'stated' WHEN measured IS NOT NULL THEN 'measured' ELSE 'typical' END AS tier, {r6("coalesce(stated, measured, avg(coalesce(stated, measured)) OVER (PARTITION BY o_orderpriority))")} AS rate FROM j)
-        SELECT o_orderkey, tier, max(rate) AS rate, count(*) AS m FROM r GROUP BY 1, 2""",
-    "default_stream": "SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS is_default, streams FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS streams, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1",
     "rate_choice": "SELECT p_partkey, p_size::BIGINT * 1000 AS source, coalesce(list_min(list_filter([8000, 12000, 16000, 24000, 48000]::BIGINT[], lambda r: r >= p_size::BIGINT * 1000)), 48000) AS rate FROM part",
     "codec_availability": "WITH w AS (SELECT unnest(['en', 'de', 'fr', 'es', 'it', 'pt']) AS codec), h AS (SELECT lang, count(*) AS c FROM documents GROUP BY lang) SELECT codec, coalesce(c, 0)::BIGINT AS files, CASE WHEN c IS NULL THEN 'no encoder for ' || codec END AS reason FROM w LEFT JOIN h ON codec = lang",
     "missing_required": "SELECT unnest(['view', 'purchase', 'login', 'decode', 'encode']) AS name EXCEPT SELECT event_type FROM events",

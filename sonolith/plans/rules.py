@@ -57,7 +57,7 @@ def result_headlines(spark, d):
 
 
 def lobe_ratio(spark, d):
-    e = roles.frames(spark, d).where("t < 5").select("vec_id", F.posexplode("a").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.abs("x").alias("m"))
+    e = roles.frames(spark, d).select("vec_id", F.posexplode("a").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.abs("x").alias("m"))
     return rules.lobe_ratio(e, "vec_id", "i", "m").select("vec_id", n.r6(F.col("ratio")).alias("ratio"))
 
 
@@ -92,7 +92,7 @@ SQL = {
     "result_headlines": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN floor(o_totalprice / 1000) / 4 END AS snr, o_orderkey % 4 <> 0 AS measured, ['aligned', 'different_master', 'unaligned'][o_custkey % 3 + 1] AS verdict FROM orders)
         SELECT o_orderkey, CASE WHEN measured AND snr IS NULL THEN 'identical to the floor' WHEN measured THEN (floor(snr * 10 + 0.5) / 10)::DECIMAL(18, 1)::VARCHAR || ' dB' ELSE verdict END AS title,
                CASE WHEN NOT measured THEN 'bad' WHEN o_orderkey % 2 > 0 OR verdict = 'different_master' THEN 'warn' WHEN snr IS NULL THEN 'good' ELSE 'neutral' END AS tone FROM o""",
-    "lobe_ratio": f"""WITH f AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding FROM embeddings), m AS (SELECT vec_id, i, abs(embedding[i + 1]::DOUBLE) AS m FROM f, (SELECT unnest(range(64)) AS i) WHERE t < 5),
+    "lobe_ratio": f"""WITH f AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding FROM embeddings), m AS (SELECT vec_id, i, abs(embedding[i + 1]::DOUBLE) AS m FROM f, (SELECT unnest(range(64)) AS i)),
         p AS (SELECT vec_id, max(m) AS pm, min(i) AS pi FROM m JOIN (SELECT vec_id, max(m) AS pm FROM m GROUP BY 1) x USING (vec_id) WHERE m = pm GROUP BY vec_id),
         c AS (SELECT vec_id, pm, m, (i - pi + 64 + 32) % 64 - 32 AS d FROM m JOIN p USING (vec_id)),
         u AS (SELECT *, (d > 0 AND m > lag(m) OVER (PARTITION BY vec_id ORDER BY d))::INT AS ur, (d < 0 AND m > lead(m) OVER (PARTITION BY vec_id ORDER BY d))::INT AS ul FROM c),

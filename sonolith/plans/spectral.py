@@ -41,6 +41,10 @@ def _frames(spark, d):
     return spectrum.spectra(roles.frames(spark, d).select("track", "t", "a", "b"))
 
 
+def _erb(spark):
+    return psycho.band_table(psycho.erb_bands(spark, RATE, 64), 33)
+
+
 def _stats(spark, d, layout=None):
     cross = spectrum.cross_spectrum(_frames(spark, d))
     return spectrum.band_stats(cross, layout if layout is not None else bands(spark), spectrum.gain(cross))
@@ -79,7 +83,7 @@ def measurable_bands(spark, d):
 
 
 def phase_shifted(spark, d):
-    z = spectrum.bins(_frames(spark, d).where("t < 3"), ["track", "t"])
+    z = spectrum.bins(_frames(spark, d), ["track", "t"])
     re, im = spectrum.phase_shift(F.col("are"), F.col("aim"), F.col("bin"), 1.25, 64)
     return z.select("track", "t", "bin", n.r6(re).alias("re"), n.r6(im).alias("im"))
 
@@ -90,7 +94,7 @@ def ltas_knee(spark, d):
 
 
 def frame_cutoff_quartiles(spark, d):
-    c = psycho.frame_cutoffs(spectrum.bins(_frames(spark, d), ["track", "t"]), below_db=15.0)
+    c = psycho.frame_cutoffs(_frames(spark, d), below_db=15.0)
     q = c.groupBy("track").agg(F.percentile("cutoff", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("frames"))
     return q.select("track", "frames", *(n.r6(F.col("q")[k]).alias(f"q{25 * (k + 1)}") for k in range(3)))
 
@@ -98,7 +102,7 @@ def frame_cutoff_quartiles(spark, d):
 def verdicts(spark, d):
     z = spectrum.bins(_frames(spark, d), ["track", "t"])
     k = knee(z.groupBy("track", "bin").agg(F.avg(F.col("are") ** 2 + F.col("aim") ** 2).alias("p")), shift=2)
-    q = psycho.frame_cutoffs(z, below_db=15.0).groupBy("track").agg(F.percentile("cutoff", 0.5).alias("q50"), F.count("*").alias("frames"))
+    q = psycho.frame_cutoffs(_frames(spark, d), below_db=15.0).groupBy("track").agg(F.percentile("cutoff", 0.5).alias("q50"), F.count("*").alias("frames"))
     rows = k.join(q, "track").select("track", "frames", (F.col("q50") * RATE / 64).alias("cutoff_hz"), (F.col("knee_bin") * RATE / 64.0).alias("knee_hz"), (-F.col("drop_db")).alias("drop_db"))
     v = spectral_verdict(rows, nyquist_hz=RATE / 2)
     return v.select("track", "bucket", F.array_join("reasons", ",").alias("reasons"), F.array_join("counter", ",").alias("counter"))
@@ -110,30 +114,26 @@ def erb_layout(spark, d):
 
 
 def erb_band_energy(spark, d):
-    e = psycho.band_energies(spectrum.bins(_frames(spark, d), ["track", "t"]), psycho.erb_bands(spark, RATE, 64), F.col("are") ** 2 + F.col("aim") ** 2)
+    e = psycho.band_energies(_frames(spark, d), _erb(spark))
     return e.groupBy("track", "band").agg(n.r6(F.avg("e")).alias("energy"))
 
 
 def masking_threshold(spark, d):
-    z = spectrum.bins(_frames(spark, d), ["track", "t"]).withColumn("p", F.col("are") ** 2 + F.col("aim") ** 2)
-    thr = psycho.thresholds(z, psycho.erb_bands(spark, RATE, 64))
+    thr = psycho.thresholds(_frames(spark, d), _erb(spark))
     return thr.groupBy("track", "band").agg(n.r6(F.avg(n.db10(F.col("thr")))).alias("threshold_db"))
 
 
 def sfm_tonality(spark, d):
-    z = spectrum.bins(_frames(spark, d), ["track", "t"]).withColumn("p", F.greatest(F.col("are") ** 2 + F.col("aim") ** 2, F.lit(1e-30)))
-    f = z.groupBy("track", "t").agg((10 * F.log10(F.exp(F.avg(F.log("p"))) / F.avg("p"))).alias("sfm"))
+    f = psycho.flatness(_frames(spark, d))
     return f.select("track", "t", n.r6(F.col("sfm")).alias("sfm_db"), n.r6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("sfm") / -60))).alias("tonality"))
 
 
 def tonal_peaks(spark, d):
-    z = psycho.tonal_peaks(spectrum.bins(_frames(spark, d), ["track", "t"]).withColumn("p", F.greatest(F.col("are") ** 2 + F.col("aim") ** 2, F.lit(1e-30))))
-    return z.groupBy("track", "t").agg(F.count_if("peak").alias("peaks"), n.r6(F.sum(F.when(F.col("near"), F.col("p")).otherwise(0.0)) / F.sum("p")).alias("tonal_share"))
+    return psycho.tonal_peaks(_frames(spark, d)).select("track", "t", "peaks", n.r6(F.col("share")).alias("tonal_share"))
 
 
 def _nmr(spark, d):
-    z = spectrum.bins(_frames(spark, d), ["track", "t"])
-    return psycho.noise_to_mask(z, psycho.erb_bands(spark, RATE, 64), 0.8)
+    return psycho.noise_to_mask(_frames(spark, d), _erb(spark), 0.8)
 
 
 def nmr_per_frame(spark, d):
@@ -147,12 +147,12 @@ def nmr_histogram_quantile(spark, d):
 
 
 def nmr_time_grid(spark, d):
-    g = psycho.time_grid(_nmr(spark, d), 4)
+    g = psycho.time_grid(_nmr(spark, d), _erb(spark), 4)
     return g.select("track", "band", "col", n.r6(F.col("worst_db")).alias("worst_db"))
 
 
 def critical_window(spark, d):
-    g = psycho.time_grid(_nmr(spark, d), 4).groupBy("track", "col").agg(F.max("worst_db").alias("w"))
+    g = psycho.time_grid(_nmr(spark, d), _erb(spark), 4).groupBy("track", "col").agg(F.max("worst_db").alias("w"))
     w = Window.partitionBy("track").orderBy("col").rowsBetween(0, 2)
     m = g.select("track", "col", n.r6(F.when(F.count("w").over(w) == 3, F.avg("w").over(w))).alias("mean")).where("mean is not null")
     first = Window.partitionBy("track").orderBy(F.desc("mean"), "col")
@@ -161,8 +161,8 @@ def critical_window(spark, d):
 
 def gcc_phat_lag(spark, d):
     """Each frame against itself delayed by 5 samples, circularly: whitened correlation by DFT."""
-    f = roles.frames(spark, d).where("t < 8").select("track", "t", "a", F.transform("a", lambda _, i: F.element_at("a", ((i + 64 - 5) % 64 + 1).cast("int"))).alias("b"))
-    lags = psycho.phat_peaks(spectrum.bins(spectrum.spectra(f), ["track", "t"]), 64)
+    f = roles.frames(spark, d).select("track", "t", "a", F.transform("a", lambda _, i: F.element_at("a", ((i + 64 - 5) % 64 + 1).cast("int"))).alias("b"))
+    lags = psycho.phat_peaks(spectrum.spectra(f), 64)
     return lags.select("track", "t", "lag", n.r6(F.col("value")).alias("value"))
 
 
@@ -216,7 +216,7 @@ SQL = {
     "measurable_bands": f"""WITH {_STATS_SQL}, z AS (SELECT track, {_RATIO("greatest(0, total - incoherent)", "incoherent")} AS snr FROM q)
         SELECT track, count(*) FILTER (snr IS NOT NULL AND snr > 10) AS measurable, count(*) AS bands, {r6("min(snr)")} AS worst_db FROM z GROUP BY track""",
     "phase_shift": f"""WITH {FRAMES_SQL} SELECT track, t, bin, {r6("are * cos(2 * pi() * bin / 64 * 1.25) + aim * sin(2 * pi() * bin / 64 * 1.25)")} AS re,
-        {r6("aim * cos(2 * pi() * bin / 64 * 1.25) - are * sin(2 * pi() * bin / 64 * 1.25)")} AS im FROM sp WHERE t < 3""",
+        {r6("aim * cos(2 * pi() * bin / 64 * 1.25) - are * sin(2 * pi() * bin / 64 * 1.25)")} AS im FROM sp""",
     "ltas_knee": f"WITH {_LTAS_SQL} SELECT track, knee_bin, {r6('drop_db')} AS drop_db FROM kn",
     "frame_cutoff_quartiles": f"WITH {FRAMES_SQL}, {_CUT_SQL} SELECT track, count(*) AS frames, {', '.join(f'{r6(f'quantile_cont(cutoff, 0.{q})')} AS q{q}' for q in (25, 50, 75))} FROM fc GROUP BY track".replace("0.50)", "0.5)"),
     "spectral_verdict": f"""WITH {_LTAS_SQL}, {_CUT_SQL},
@@ -243,7 +243,7 @@ SQL = {
     "critical_window": f"""WITH {_NMR_SQL}, g AS (SELECT track, t // 4 AS col, max(10 * log10(ratio)) AS w FROM nm GROUP BY ALL),
         m AS (SELECT track, col, CASE WHEN count(*) OVER o = 3 THEN {r6("avg(w) OVER o")} END AS mean FROM g WINDOW o AS (PARTITION BY track ORDER BY col ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
         SELECT track, col AS start_col, mean AS mean_db FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY mean DESC, col) AS k FROM m WHERE mean IS NOT NULL) WHERE k = 1""",
-    "gcc_phat_lag": f"""WITH {FRAMES_SQL.replace("0.8::DOUBLE * embedding[i + 1]::DOUBLE + 0.01::DOUBLE * (((vec_id * 31 + i * 17) % 23) - 11)", "embedding[(i + 59) % 64 + 1]::DOUBLE").replace("FROM embeddings", "FROM embeddings QUALIFY t < 8")},
+    "gcc_phat_lag": f"""WITH {FRAMES_SQL.replace("0.8::DOUBLE * embedding[i + 1]::DOUBLE + 0.01::DOUBLE * (((vec_id * 31 + i * 17) % 23) - 11)", "embedding[(i + 59) % 64 + 1]::DOUBLE")},
         c AS (SELECT track, t, bin, (are * bre + aim * bim) AS re, (are * bim - aim * bre) AS im FROM sp),
         u AS (SELECT track, t, bin, CASE WHEN re * re + im * im > 1e-24 THEN re / sqrt(re * re + im * im) ELSE 0 END AS re, CASE WHEN re * re + im * im > 1e-24 THEN im / sqrt(re * re + im * im) ELSE 0 END AS im FROM c),
         v AS (SELECT track, t, lag, floor(sum((CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END) * (re * cos(2 * pi() * bin * lag / 64) - im * sin(2 * pi() * bin * lag / 64))) / 64 * 1e9 + 0.5) / 1e9 AS value FROM u, (SELECT unnest(range(-32, 32)) AS lag) GROUP BY ALL)

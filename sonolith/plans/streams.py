@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
+from ..operators.shared import shared_dir
 from ..streaming import frames
 from .alignment import SQL as _BATCH
+from .roles import r6
 
 
 def _events(spark, d):
@@ -18,8 +19,7 @@ def _events(spark, d):
 
 
 def _drained(spark, stream):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sonolith-')}"
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return frames.drain(stream, f"{at}/out", f"{at}/log")
 
 
@@ -28,15 +28,24 @@ def stft_stream(spark, d):
     return _drained(spark, frames.stft_energy(s, 64, 32)).select("t", n.r6(F.col("energy")).alias("energy"))
 
 
+def envelope_stream(spark, d):
+    """Each channel's part of the signal as a segment of its own: framing starts anew, nothing crosses from one to the next."""
+    e = _events(spark, d).select(F.floor(F.col("event_id") / 1000).cast("long").alias("segment"), (F.col("event_id") % 1000).alias("pos"), F.col("value").alias("x"))
+    return _drained(spark, frames.envelope(e, 20, 10, key="segment")).select("segment", "t", n.r6(F.col("energy")).alias("energy"))
+
+
 def gate_stream(spark, d):
     """Events by type, kept where they and their neighbours in time are not among the largest values."""
-    s = _events(spark, d).select(F.col("event_type").alias("ch"), F.col("event_id").alias("block"), (F.col("value") < 60).alias("ok"), F.lit(False).alias("last"))
+    ends = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("ch")).agg(F.max("event_id").alias("end"))  # a row for each type
+    s = _events(spark, d).select(F.col("event_type").alias("ch"), F.col("event_id").alias("block"), (F.col("value") < 60).alias("ok")).join(F.broadcast(ends), "ch")
+    s = s.select("ch", "block", "ok", (F.col("block") == F.col("end")).alias("last"))
     return _drained(spark, frames.gate(s, key="ch", block="block", ok="ok", last="last"))
 
 
-QUERIES = {f.__name__: f for f in (stft_stream, gate_stream)}
+QUERIES = {f.__name__: f for f in (stft_stream, envelope_stream, gate_stream)}
 SQL = {
     "stft_stream": _BATCH["hann_frames_energy"],
-    "gate_stream": """SELECT ch, block, kept FROM (SELECT event_type AS ch, event_id AS block, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back,
-        min((value < 60)::INT) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS kept FROM events) WHERE back > 1""",
+    "envelope_stream": f"""WITH s AS (SELECT event_id // 1000 AS segment, event_id % 1000 AS pos, value FROM events)
+        SELECT segment, t, {r6("avg(value * value)")} AS energy FROM s, (SELECT unnest(range(100)) AS t) WHERE pos BETWEEN t * 10 AND t * 10 + 19 GROUP BY 1, 2 HAVING count(*) = 20""",
+    "gate_stream": """SELECT event_type AS ch, event_id AS block, min((value < 60)::INT) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS kept FROM events""",
 }

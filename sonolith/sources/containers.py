@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Extensions that a directory scan takes; fixed values.
-EXTENSIONS = ("flac", "wav", "aiff", "aif", "m4a", "alac", "ape", "wv", "tta", "tak", "caf", "w64", "mka", "mp3", "ogg", "opus")
+EXTENSIONS = ("flac", "wav", "wave", "w64", "aif", "aiff", "aifc", "m4a", "alac", "ape", "wv", "tta", "tak", "caf", "mka")
 _SYNC_WINDOW = 1 << 20
 
 

@@ -18,20 +18,22 @@ def write_guarded(reports: DataFrame, path: str, *, text_col: str = "text", secr
 
 def csv_rows(scan: DataFrame) -> DataFrame:
     """file, verdict, cutoff_khz and seconds with two decimals and blanks for unknown, stage, reason."""
-    two = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit(""))
-    return scan.select(privacy.basename(F.col("path")).alias("file"), F.col("bucket").alias("verdict"), F.when(F.col("cutoff_hz").isNull(), "").otherwise(two(F.col("cutoff_hz") / 1000)).alias("cutoff_khz"), "stage", F.coalesce("reason", F.lit("")).alias("reason"), two(F.col("seconds")).alias("seconds"))
+    two = lambda c: F.when(c.isNull(), "").otherwise(F.format_string("%.2f", c))
+    return scan.select(privacy.basename(F.col("path")).alias("file"), F.col("bucket").alias("verdict"), two(F.col("cutoff_hz") / 1000).alias("cutoff_khz"), "stage", F.coalesce("reason", F.lit("")).alias("reason"), two(F.col("seconds")).alias("seconds"))
 
 
 def unique_names(jobs: DataFrame, taken: DataFrame, base: Column, extension: Column, *, order: str) -> DataFrame:
     """Adds name: base.ext, or base_2.ext and so on, so that jobs avoid each other and what exists.
 
-    taken: (name). The numbers go on after the largest one in use.
+    taken: (name). Each job takes the first number that is free.
     """
     rows = jobs.withColumn("_b", base).withColumn("_e", extension)
-    used = taken.select(F.regexp_extract("name", r"^(.*?)(?:_(\d+))?\.([^.]+)$", 1).alias("_b"), F.regexp_extract("name", r"\.([^.]+)$", 1).alias("_e"), F.coalesce(F.regexp_extract("name", r"_(\d+)\.[^.]+$", 1).try_cast("long"), F.lit(1)).alias("_u"))
-    used = used.groupBy("_b", "_e").agg(F.max("_u").alias("_u"))
-    n = F.row_number().over(Window.partitionBy("_b", "_e").orderBy(order)) + F.coalesce("_u", F.lit(0))
-    return rows.join(used, ["_b", "_e"], "left").withColumn("name", F.concat("_b", F.when(n > 1, F.concat(F.lit("_"), n)).otherwise(""), F.lit("."), "_e")).drop("_b", "_e", "_u")
+    used = taken.select(F.regexp_extract("name", r"^(.*?)(?:_(\d+))?\.([^.]+)$", 1).alias("_b"), F.regexp_extract("name", r"\.([^.]+)$", 1).alias("_e"), F.coalesce(F.regexp_extract("name", r"_(\d+)\.[^.]+$", 1).try_cast("int"), F.lit(1)).alias("_u"))
+    used = used.groupBy("_b", "_e").agg(F.sort_array(F.collect_set("_u")).alias("_u"))
+    place = F.row_number().over(Window.partitionBy("_b", "_e").orderBy(order))
+    rows = rows.withColumn("_n", place).join(used, ["_b", "_e"], "left")
+    n = F.coalesce(F.aggregate("_u", F.col("_n"), lambda free, u: F.when(u <= free, free + 1).otherwise(free)), F.col("_n"))
+    return rows.withColumn("name", F.concat("_b", F.when(n > 1, F.concat(F.lit("_"), n)).otherwise(""), F.lit("."), "_e")).drop("_b", "_e", "_u", "_n")
 
 
 def session_log(sessions: DataFrame) -> DataFrame:

@@ -7,31 +7,55 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stft_energy(stream: DataFrame, size: int, hop: int, *, key: str = "track", pos: str = "pos", value: str = "x") -> DataFrame:
-    """(key, t, energy): energy of each whole Hann-windowed frame, emitted once its last sample came.
+def _whole_frames(stream: DataFrame, size: int, hop: int, weight: np.ndarray, key: str, pos: str, value: str, per: int) -> DataFrame:
+    """(key, t, energy) of frames of `size` samples, `hop` apart, emitted when all of a frame's samples have come.
 
-    State holds the samples of a track that later frames need, at most size - 1 and what arrived
-    ahead of a gap. Samples come in any order within a trigger, in order between triggers.
+    The state is keyed by runs of `per` frames, so a long track is many groups of bounded size:
+    a sample goes to the one or two runs that hold it. Samples may come in any order, within a
+    trigger and between triggers; what has been emitted and is of no more use leaves the state.
     """
-    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col(pos) - size + 1) / hop).cast("long"))
+    runs = F.sequence(F.floor(first / per).cast("long"), F.floor(F.col(pos) / hop / per).cast("long"))
+    dealt = stream.where(F.col(pos) >= 0).select(F.col(key), F.col(pos).cast("long").alias("pos"), F.col(value).cast("double").alias("x"), F.explode(runs).alias("run"))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, held = state.get if state.exists else (0, [])
-        new = pd.concat(batches).sort_values(pos)[value].tolist()
-        held = np.array(list(held) + new, float)
-        out = []
-        while len(held) >= size:
-            out.append((k[0], first // hop, float(((held[:size] * hann) ** 2).sum())))
-            held = held[hop:]
-            first += hop
-        state.update((int(first), held.tolist()))
-        yield pd.DataFrame(out, columns=[key, "t", "energy"])
+        origin, length = k[1] * per * hop, (per - 1) * hop + size
+        x = np.full(length, np.nan)
+        done = np.zeros(per, bool)
+        if state.exists:
+            at, held, emitted = state.get
+            x[np.asarray(at, np.int64)] = held
+            done[np.asarray(emitted, np.int64)] = True
+        for batch in batches:
+            place = batch["pos"].to_numpy() - origin
+            x[place] = batch["x"].to_numpy()
+        frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+        ready = ~np.isnan(frames).any(1) & ~done
+        energy = ((frames[ready] * weight) ** 2).sum(1)
+        done |= ready
+        wanted = np.zeros(length, bool)
+        for j in np.flatnonzero(~done):
+            wanted[j * hop : j * hop + size] = True
+        keep = np.flatnonzero(wanted & ~np.isnan(x))
+        state.update((keep.tolist(), x[keep].tolist(), np.flatnonzero(done).tolist()))
+        yield pd.DataFrame({key: pd.Series([k[0]] * int(ready.sum()), dtype=object), "t": k[1] * per + np.flatnonzero(ready), "energy": energy})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, t long, energy double", "first long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy(key, "run").applyInPandasWithState(step, f"{key} {kind}, t long, energy double", "at array<long>, held array<double>, emitted array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stft_energy(stream: DataFrame, size: int, hop: int, *, key: str = "track", pos: str = "pos", value: str = "x", per: int = 256) -> DataFrame:
+    """(key, t, energy): energy of each whole Hann-windowed frame."""
+    return _whole_frames(stream, size, hop, 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size), key, pos, value, per)
+
+
+def envelope(stream: DataFrame, size: int, hop: int, *, key: str = "track", pos: str = "pos", value: str = "x", per: int = 256) -> DataFrame:
+    """(key, t, energy): mean square of each whole frame. A `key` that names segments as well starts framing anew in each."""
+    return _whole_frames(stream, size, hop, np.full(size, size**-0.5), key, pos, value, per)
 
 
 def gate(stream: DataFrame, *, key: str, block: str, ok: str, last: str) -> DataFrame:

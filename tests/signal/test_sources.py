@@ -112,10 +112,10 @@ def test_wav_blocks_and_windows(spark):
 
 
 def test_discover(spark, tmp_path):
-    for name in ("a/b.FLAC", "a/.hidden/c.flac", "d.txt", "e.mp3"):
+    for name in ("a/b.FLAC", "a/.hidden/c.flac", "d.txt", "e.mp3", "f.wave", "g.x.aifc"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
-    assert sorted(r.path.rsplit("/", 1)[1] for r in wav.discover(spark, str(tmp_path)).select("path").collect()) == ["b.FLAC", "e.mp3"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in wav.discover(spark, str(tmp_path)).select("path").collect()) == ["b.FLAC", "f.wave", "g.x.aifc"]
 
 
 def test_guarded_write(spark, tmp_path):
@@ -130,7 +130,9 @@ def test_names_and_logs(spark):
     jobs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, base string")
     taken = spark.createDataFrame([("a.mp3",), ("a_4.mp3",), ("b.ogg",)], "name string")
     got = {r.id: r.name for r in sinks.unique_names(jobs, taken, F.col("base"), F.lit("mp3"), order="id").collect()}
-    assert got == {1: "a_5.mp3", 2: "a_6.mp3", 3: "b.mp3"}
+    assert got == {1: "a_2.mp3", 2: "a_3.mp3", 3: "b.mp3"}
+    more = spark.createDataFrame([(k, "a") for k in range(4)], "id long, base string")
+    assert [r.name for r in sinks.unique_names(more, taken.union(spark.createDataFrame([("a_2.mp3",)], "name string")), F.col("base"), F.lit("mp3"), order="id").orderBy("id").collect()] == ["a_3.mp3", "a_5.mp3", "a_6.mp3", "a_7.mp3"]
     s = spark.createDataFrame([(1, "fixed"), (2, "practice")], "id long, mode string")
     assert [r.value for r in sinks.session_log(s).collect()] == ['{"id":1,"mode":"fixed"}']
     scan = spark.createDataFrame([("/m/x.flac", "lossy", 16512.0, 1, "cutoff", 1.234), ("y.mp3", "error", None, 0, None, None)], "path string, bucket string, cutoff_hz double, stage int, reason string, seconds double")
