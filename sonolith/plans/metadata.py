@@ -44,7 +44,7 @@ def bitrate_three_tier(spark, d):
     """Orders as files, their lines as packets: the stated rate, the file's if it is alone, else packets around the middle."""
     o = roles.table(spark, d, "orders").groupBy("o_orderkey").agg(F.max("o_custkey").alias("c"))
     files = o.select("o_orderkey", (F.col("c") % 120).cast("double").alias("duration"), F.when(F.col("o_orderkey") % 3 == 0, F.col("c")).alias("stated"), (F.col("c") * 2).alias("container"), (F.col("o_orderkey") % 3 == 1).alias("only"))
-    packets = roles.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), ((F.col("l_linenumber") * 7 + F.col("l_partkey")) % 120).cast("double").alias("at"), F.floor("l_extendedprice").alias("size"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity") / 100).alias("span"))
+    packets = roles.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), ((F.col("l_linenumber") * 7 + F.col("l_partkey")) % 120).cast("double").alias("at"), F.floor("l_extendedprice").alias("size"), F.when(F.col("l_linenumber") > 1, F.col("l_quantity") / 64).alias("span"))
     j = files.join(metadata.sampled_rate(packets, files, "o_orderkey"), "o_orderkey", "left")
     tier, rate = metadata.bit_rate(F.col("stated"), F.col("container"), F.col("only"), F.col("sampled"))
     return j.select("o_orderkey", tier.alias("tier"), rate.alias("rate"))
@@ -172,7 +172,7 @@ SQL = {
         WITH o AS (SELECT o_orderkey, max(o_custkey) AS c FROM orders GROUP BY 1),
         w AS (SELECT *, (c % 120)::DOUBLE AS d, greatest(0, c % 120 / 2.0::DOUBLE - 15) AS start FROM o),
         x AS (SELECT *, CASE WHEN d > 1 AND least(30, d - start) > 1 THEN least(30, d - start) END AS len FROM w),
-        s AS (SELECT o_orderkey, sum(floor(l_extendedprice)) AS bytes, coalesce(sum(CASE WHEN l_linenumber > 1 THEN l_quantity / 100 END), 0) AS span, max(len) AS len
+        s AS (SELECT o_orderkey, sum(floor(l_extendedprice)) AS bytes, coalesce(sum(CASE WHEN l_linenumber > 1 THEN l_quantity / 64 END), 0) AS span, max(len) AS len
               FROM x JOIN lineitem ON l_orderkey = o_orderkey WHERE (l_linenumber * 7 + l_partkey) % 120 >= start AND (l_linenumber * 7 + l_partkey) % 120 < start + len GROUP BY 1),
         r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND c > 0 THEN c END AS stated, CASE WHEN o_orderkey % 3 = 1 AND c > 0 THEN c * 2 END AS whole, CASE WHEN bytes > 0 THEN trunc(bytes * 8 / CASE WHEN span > 0.5 THEN span ELSE s.len END)::BIGINT END AS sampled
               FROM x LEFT JOIN s USING (o_orderkey))

@@ -101,7 +101,7 @@ def bucket_summary(spark, d):
 
 def csv_projection(spark, d):
     f = _staged(spark, d)
-    rows = f.select(F.concat(F.lit("/music/"), F.col("codec"), F.lit("/"), F.col("path"), F.lit(".flac")).alias("path"), "bucket", F.when(F.col("quality").isNotNull(), F.col("size") * 3.5).alias("cutoff_hz"), "stage", F.when(F.col("path") % 3 == 0, F.concat(F.lit("cutoff, "), F.col("codec"))).alias("reason"), F.when(F.col("path") % 4 != 0, F.col("size") / 8).alias("seconds"))
+    rows = f.select(F.concat(F.lit("/music/"), F.col("codec"), F.lit("/"), F.col("path"), F.lit(".flac")).alias("path"), "bucket", F.when(F.col("quality").isNotNull(), F.col("size") * 3.5 + 0.25).alias("cutoff_hz"), "stage", F.when(F.col("path") % 3 == 0, F.concat(F.lit("cutoff, "), F.col("codec"))).alias("reason"), F.when(F.col("path") % 4 != 0, F.col("size") / 8).alias("seconds"))
     return sinks.csv_rows(rows)
 
 
@@ -266,7 +266,7 @@ SQL = {
     "cache_upsert_latest": f"WITH {_STAGED}, u AS (SELECT path, mtime_ns, 0::BIGINT AS seen FROM k UNION ALL SELECT path, mtime_ns, 1::BIGINT FROM f WHERE path % 2 = 0) SELECT path, arg_max(mtime_ns, seen) AS mtime_ns, max(seen) AS seen FROM u GROUP BY path",
     "staged_scan": f"WITH {_STAGED} SELECT path, bucket, stage FROM b",
     "bucket_summary": f"WITH {_STAGED} SELECT bucket, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (stage = 2) AS deep, {r6('count(*) / sum(count(*)) OVER ()')} AS share FROM b GROUP BY bucket",
-    "csv_projection": f"""WITH {_STAGED} SELECT path || '.flac' AS file, bucket AS verdict, CASE WHEN quality IS NULL THEN '' ELSE printf('%.2f', floor(size * 3.5::DOUBLE / 1000 * 100 + 0.5) / 100) END AS cutoff_khz, stage,
+    "csv_projection": f"""WITH {_STAGED} SELECT path || '.flac' AS file, bucket AS verdict, CASE WHEN quality IS NULL THEN '' ELSE printf('%.2f', floor((size * 3.5::DOUBLE + 0.25) / 1000 * 100 + 0.5) / 100) END AS cutoff_khz, stage,
         CASE WHEN path % 3 = 0 THEN 'cutoff, ' || codec ELSE '' END AS reason, CASE WHEN path % 4 <> 0 THEN printf('%.2f', floor(size / 8.0::DOUBLE * 100 + 0.5) / 100) ELSE '' END AS seconds FROM b""",
     "ladder_place": f"""WITH e AS (SELECT vec_id, embedding AS v FROM embeddings),
         r AS (SELECT vec_id, [64, 96, 128, 192, 256, 320][k + 1]::BIGINT AS kbps, v[k + 1]::DOUBLE * 40 + k * 6.0::DOUBLE AS value FROM e, (SELECT unnest(range(6)) AS k)),
