@@ -120,9 +120,8 @@ def training_rows(rows: DataFrame, labels: DataFrame, *, label_col: str = "quali
     several labels of a document the smallest holds.
     """
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col, modulus, remainder)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("double").alias("y"))
-    got = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "f", "y").toPandas().sort_values("doc_id")
-    x = np.array(got.f.tolist(), float).reshape(len(got), len(FEATURES))
-    return x, got.y.to_numpy(float)
+    got = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "f", "y").toArrow().sort_by("doc_id")
+    return got["f"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, len(FEATURES)), got["y"].to_numpy()
 
 
 def train(rows: DataFrame, labels: DataFrame, **more) -> Gam:
