@@ -15,15 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialise
-from .textstats import rule_stats
+from .textstats import FEATURES, RULE_STATS, all_stats
 
-#: Derived columns that rules may test, as SQL over the counts.
+#: Columns that rules may test: derived from the counts, as SQL, and the features of a text as they are.
 TESTS = {
     "words": "double(n_words)",
     "mean_word": "word_chars / double(greatest(n_words, 1))",
     "symbols_per_word": "n_symbols / double(greatest(n_words, 1))",
     "dup_lines_per_100_words": "100 * n_dup_lines / double(greatest(n_words, 1))",
     "repeat_share": "n_repeat_words / double(greatest(n_words, 1))",
+    **{name: name for name in FEATURES},
 }
 
 
@@ -116,8 +117,8 @@ def with_tests(stats: DataFrame) -> DataFrame:
 def training_rows(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", modulus: int = 5, remainder: int = 0, max_rows: int = 100_000) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Test values and bad marks of at most `max_rows` labelled rows, by the hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & ~held_out("doc_id", modulus, remainder)).groupBy("doc_id").agg(F.min(label_col).alias("y"))
-    rows = with_tests(stats).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", *TESTS, "y").toPandas()
-    return {k: rows[k].to_numpy(float) for k in TESTS}, rows.y.to_numpy() == 0
+    rows = with_tests(stats).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", *TESTS, "y").toArrow()
+    return {k: rows[k].to_numpy().astype(float) for k in TESTS}, rows["y"].to_numpy() == 0
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -138,9 +139,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     The list is learned from labelled documents that the base rules pass. Null and empty
     texts have zero counts and fail the base rules. Repeated rows are judged each.
     """
-    stats = materialise(rule_stats(docs, id_col=id_col, text_col=text_col), "rule-stats")
+    stats = materialise(all_stats(docs, id_col=id_col, text_col=text_col), "rule-stats")
     stats = stats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     x, bad = training_rows(stats.where("not base_failed"), labels.withColumnRenamed(id_col, "doc_id"), **more)
     rules = learn(x, bad)
     judged = with_tests(stats)
-    return judged.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules))).drop(*(k for k in TESTS))
+    return judged.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules))).select("doc_id", *RULE_STATS, "base_failed", "kept")

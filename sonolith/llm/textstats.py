@@ -126,3 +126,17 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     source = doc_texts(docs, id_col, text_col)
     return source.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, f array<double>").withColumn("doc_id", F.col("doc_id"))
+
+
+def all_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, *RULE_STATS, *FEATURES) of every whole text, in one pass; null and empty texts count zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4 << 20):
+            texts = batch["text"].to_pylist()
+            counts, values = zip(*map(rule_counts, texts), strict=True), zip(*map(features_of, texts), strict=True)
+            columns = [*(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.float64()) for c in values)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *RULE_STATS, *FEATURES])
+
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join([f"{c} long" for c in RULE_STATS] + [f"{c} double" for c in FEATURES])
+    return doc_texts(docs, id_col, text_col).mapInArrow(run, schema)
