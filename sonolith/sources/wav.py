@@ -1,4 +1,8 @@
-"""PCM from WAV files: a Spark data source that reads ranges of samples, and a directory listing."""
+"""PCM from WAV files in blocks, and a directory listing.
+
+A file is one row of Spark's `binaryFile` source, so a task holds a whole file; what leaves it
+are blocks of bounded size.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,25 @@ from pyspark.sql import functions as F
 
 from .containers import EXTENSIONS
 
-_KINDS = {(1, 16): "<i2", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}
+#: Sample types by format and depth; 24 bits are three bytes, which numpy has no type for.
+_KINDS = {(1, 8): "|u1", (1, 16): "<i2", (1, 24): "<i3", (1, 32): "<i4", (3, 32): "<f4", (3, 64): "<f8"}
+
+
+def _width(kind: str) -> int:
+    return int(kind[2:])
+
+
+def decoded(data: bytes, kind: str, count: int, at: int) -> np.ndarray:
+    """`count` samples from byte `at` on, integers as shares of full scale."""
+    if kind == "<i3":
+        raw = np.frombuffer(data, np.uint8, 3 * count, at).reshape(-1, 3)
+        wide = np.zeros((count, 4), np.uint8)
+        wide[:, 1:] = raw
+        return wide.view("<i4").ravel() / float(1 << 31)
+    x = np.frombuffer(data, kind, count, at).astype(np.float64)
+    if kind == "|u1":
+        return (x - 128) / 128
+    return x / float(1 << (8 * _width(kind) - 1)) if kind[1] == "i" else x
 
 
 def wav_layout(head: bytes) -> tuple[int, int, str, int, int]:
@@ -38,7 +60,7 @@ def wav_layout(head: bytes) -> tuple[int, int, str, int, int]:
 def read_blocks(files: DataFrame, *, block: int = 1 << 16, start_s: float = 0.0, duration_s: float | None = None) -> DataFrame:
     """(path, sample_rate, block_no, pos, pcm, nonfinite): blocks of frames, the last one short.
 
-    files: (path, content). pcm has an array for each frame, 16- and 32-bit integers as shares of
+    files: (path, content). pcm has an array for each frame, integers of 8 to 32 bits as shares of
     full scale; samples that are not finite become 0 and are counted. A cut-off frame is an error.
     """
     schema = "path string, sample_rate long, block_no long, pos long, pcm array<array<float>>, nonfinite long"
@@ -48,7 +70,7 @@ def read_blocks(files: DataFrame, *, block: int = 1 << 16, start_s: float = 0.0,
             for path, raw in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 data = raw.as_py()
                 rate, channels, kind, at, size = wav_layout(data)
-                width = np.dtype(kind).itemsize * channels
+                width = _width(kind) * channels
                 size = min(size, len(data) - at)
                 if size % width:
                     raise ValueError(f"{path}: a frame is cut off")
@@ -56,8 +78,7 @@ def read_blocks(files: DataFrame, *, block: int = 1 << 16, start_s: float = 0.0,
                 first = min(n, int(start_s * rate))
                 last = n if duration_s is None else min(n, first + int(duration_s * rate))
                 for k, p in enumerate(range(first, last, block)):
-                    x = np.frombuffer(data, kind, min(block, last - p) * channels, at + p * width).astype(np.float64)
-                    x = x / (1 << (8 * np.dtype(kind).itemsize - 1)) if kind[1] == "i" else x
+                    x = decoded(data, kind, min(block, last - p) * channels, at + p * width)
                     bad = ~np.isfinite(x)
                     x = np.where(bad, 0.0, x).astype(np.float32)
                     pcm = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, channels, dtype=np.int32)), pa.array(x))

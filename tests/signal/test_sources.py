@@ -111,6 +111,13 @@ def test_wav_blocks_and_windows(spark):
         wav.read_blocks(binary(spark, wav_bytes(x)[:-1])).count()
 
 
+def test_depths(spark):
+    """8 and 24 bits: zero, both ends of the scale and a quarter of it."""
+    for depth, raw in ((8, bytes([128, 0, 255, 160])), (24, b"\x00\x00\x00" + b"\x00\x00\x80" + b"\xff\xff\x7f" + b"\x00\x00\x20")):
+        x = wav.decoded(raw, wav._KINDS[1, depth], 4, 0)
+        assert np.allclose(x, [0, -1, 1, 0.25], atol=1 / (1 << (depth - 1)) + 1e-12)
+
+
 def test_discover(spark, tmp_path):
     for name in ("a/b.FLAC", "a/.hidden/c.flac", "d.txt", "e.mp3", "f.wave", "g.x.aifc"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
