@@ -1,14 +1,13 @@
 """Exact substring dedup: remove bytes covered by a long string that occurs more than once.
 
-Which suffixes share their first `window` bytes is decided by sampling and induction. The
-sample are the suffixes at content-defined places (the smallest gram hash of each window), so
-equal windows are sampled at equal places. Sampled suffixes are sorted by gram and by the
-string around them with Spark's external sort, whose runs spill to disk and are merged by a
-priority queue; a window's verdict is induced from its sampled suffix: if two occurrences have
-all their windows in common, that settles all of them at once. Where the members of a gram's
-group differ, one member of each class goes on to blocks of 32, of 4 and of single windows:
-blocks that agree are settled, and those that share what all their windows have in common are
-cut further. No step holds a gram's group or a class of copies in one task.
+This is no induced sort: README.md says why, with figures. Which suffixes share their first
+`window` bytes is decided by sampled places and hashes of what stands around them. The places are
+content-defined (the smallest gram hash of each window), so equal windows are sampled at equal
+places. Places are grouped by gram; if all places of a gram stand in equal strings, that settles
+all their windows at once. Where the members of a gram's group differ, one member of each class
+goes on to blocks of 32, of 4 and of single windows: blocks whose hashes agree are settled, and
+those that share what all their windows have in common are cut further. Groups are aggregates and
+joins over two 64-bit hashes, so that no step holds a gram's group or a class of copies in one task.
 """
 
 from __future__ import annotations
