@@ -11,27 +11,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from .chunks import asked, blocks, frame, stretch
+
+#: Taps on each side of a resampler, and the fractional positions that have taps of their own.
+HALF, PHASES = 32, 1024
 #: Known speed ratios and their labels, in order of preference; fixed values.
 KNOWN_RATIOS = [(25 / 24, "pal_up"), (24 / 25, "pal_down"), (30 / 29.97, "ntsc_up"), (29.97 / 30, "ntsc_down"), (1.0001, "1_0001")]
 
 
-def envelope(series: DataFrame, size: int, hop: int, *, pos: str = "pos", value: str = "x") -> DataFrame:
-    """(frame, e): mean square of `size` samples from frame * hop on, whole frames only.
+def envelope(series: DataFrame, size: int, hop: int, *, key: str | None = None, pos: str = "pos", value: str = "x") -> DataFrame:
+    """([key,] frame, e): mean square of `size` samples from frame * hop on, whole frames only.
 
     Each sample goes to the frames that hold it, so partial sums leave the map side.
     """
     last, first = F.floor(F.col(pos) / hop).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil((F.col(pos) - size + 1) / hop).cast("long"))
-    rows = series.select((F.col(value) * F.col(value)).alias("p"), F.explode(F.sequence(first, last)).alias("frame"))
-    return rows.groupBy("frame").agg(F.avg("p").alias("e"), F.count("*").alias("m")).where(F.col("m") == size).drop("m")
+    keys = [] if key is None else [key]
+    rows = series.select(*keys, (F.col(value) * F.col(value)).alias("p"), F.explode(F.sequence(first, last)).alias("frame"))
+    return rows.groupBy(*keys, "frame").agg(F.avg("p").alias("e"), F.count("*").alias("m")).where(F.col("m") == size).drop("m")
 
 
-def zscore_db(frames: DataFrame, value: str = "e", span_db: float = 80.0) -> DataFrame:
-    """Adds z: dB held within `span_db` of the peak, less its mean, over its population deviation."""
-    top = frames.agg(F.max(value).alias("top"))
+def zscore_db(frames: DataFrame, value: str = "e", span_db: float = 80.0, key: str | None = None) -> DataFrame:
+    """Adds z: dB held within `span_db` of the (key's) peak, less its mean, over its population deviation."""
+    keys = [] if key is None else [key]
+    joined = lambda rows, some: rows.join(F.broadcast(some), F.lit(True)) if not keys else rows.join(some, keys)
     db = 10 * F.log10(F.greatest(F.col(value), F.col("top") * 10 ** (-span_db / 10), F.lit(1e-30)))
-    rows = frames.join(F.broadcast(top), F.lit(True)).withColumn("db", db)
-    stats = rows.agg(F.avg("db").alias("mean"), F.stddev_pop("db").alias("sd"))
-    rows = rows.join(F.broadcast(stats), F.lit(True))
+    rows = joined(frames, frames.groupBy(*keys).agg(F.max(value).alias("top"))).withColumn("db", db)
+    rows = joined(rows, rows.groupBy(*keys).agg(F.avg("db").alias("mean"), F.stddev_pop("db").alias("sd")))
     return rows.withColumn("z", F.when(F.col("sd") > 0, (F.col("db") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))).otherwise(0.0)).drop("top", "mean", "sd")
 
 
@@ -46,17 +51,53 @@ def mostly_silent(frames: DataFrame, per: int, value: str = "z", most: float = 0
     return rows.select("block", "at_floor", "frames", (F.col("deep") & (F.col("at_floor") > most * F.col("frames"))).alias("silent"))
 
 
-def lag_correlations(ref: DataFrame, test: DataFrame, most: int, *, pos: str = "pos", value: str = "x") -> DataFrame:
-    """(lag, rho, overlap): Pearson correlation over the overlap at each lag up to `most`.
+def _keyed(series: DataFrame, key: str | None, pos: str, value: str) -> DataFrame:
+    return series.select((F.lit(0) if key is None else F.col(key)).alias("track"), F.col(pos).alias("pos"), F.col(value).alias("x"))
+
 
-    test[t] = ref[t - lag]. The range join is an equi-join on blocks of `most` + 1 positions,
-    so a row meets the two blocks around it, never the whole signal.
+def lag_correlations(ref: DataFrame, test: DataFrame, most: int, *, key: str | None = None, pos: str = "pos", value: str = "x", size: int = 1 << 16) -> DataFrame:
+    """([key,] lag, rho, overlap): Pearson correlation over the overlap at each lag up to `most`.
+
+    test[t] = ref[t - lag]. A block of the test and the reference around it give all their lags
+    at once, by transforms and running sums; a row a lag leaves each block, and those are added.
     """
-    size = most + 1
-    left = ref.select(F.col(pos).alias("p"), F.col(value).alias("a"), F.explode(F.array(*[F.floor(F.col(pos) / size) + k for k in (-1, 0, 1)])).alias("block"))
-    right = test.select(F.col(pos).alias("q"), F.col(value).alias("b"), F.floor(F.col(pos) / size).alias("block"))
-    lag = F.col("q") - F.col("p")
-    return left.join(right, "block").where(F.abs(lag) <= most).groupBy(lag.alias("lag")).agg(F.corr("a", "b").alias("rho"), F.count("*").alias("overlap"))
+    a, b = (blocks(_keyed(s, key, pos, value), size) for s in (ref, test))
+    rows = b.select("track", F.col("block").alias("chunk"), (F.col("start") - most).alias("lo"), (F.col("start") + F.size("x") + most).alias("hi"))
+    own = b.select("track", F.col("block").alias("chunk"), F.lit("test").alias("role"), "block", "start", "x")
+    sides = asked(rows, a, "ref", size, "lo", "hi", ["track", "chunk"]).unionByName(own)
+    names = ("n", "a", "b", "aa", "bb", "ab")
+
+    def sums(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        base, x = stretch(group, "ref")
+        first, y = stretch(group, "test")
+        if not len(x) or not len(y):
+            return frame({"track": [], "lag": [], **dict.fromkeys(names, [])})
+        lags = np.arange(-most, most + 1)
+        lo = np.clip(np.maximum(first, base + lags), first, first + len(y))  # the test's positions that have a partner
+        hi = np.clip(np.minimum(first + len(y), base + len(x) + lags), lo, first + len(y))
+        upto = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+        part = lambda v, at, to: upto(v)[np.clip(to, 0, len(v))] - upto(v)[np.clip(at, 0, len(v))]
+        mx, my = x.mean(), y.mean()  # sums of what is left of a mean lose no digits to it
+        u, w = x - mx, y - my
+        n = 1 << (len(x) + len(y) - 1).bit_length()
+        product = np.fft.irfft(np.conj(np.fft.rfft(u, n)) * np.fft.rfft(w, n), n)
+        ab = product[(lags + base - first) % n]
+        count = (hi - lo).astype(float)
+        sa, sb = part(u, lo - lags - base, hi - lags - base), part(w, lo - first, hi - first)
+        saa, sbb = part(u * u, lo - lags - base, hi - lags - base), part(w * w, lo - first, hi - first)
+        ab = ab + mx * sb + my * sa + mx * my * count
+        out = {"n": count, "a": sa + mx * count, "b": sb + my * count, "aa": saa + 2 * mx * sa + mx * mx * count, "bb": sbb + 2 * my * sb + my * my * count, "ab": ab}
+        some = count > 0
+        return frame({"track": [k[0]] * int(some.sum()), "lag": lags[some], **{c: v[some] for c, v in out.items()}})
+
+    kind = a.schema["track"].dataType.simpleString()
+    partial = sides.groupBy("track", "chunk").applyInPandas(sums, f"track {kind}, lag long, " + ", ".join(f"{c} double" for c in names))
+    s = partial.groupBy("track", "lag").agg(*(F.sum(c).alias(c) for c in names))
+    va, vb = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
+    cov = F.col("ab") - F.col("a") * F.col("b") / F.col("n")
+    rho = F.when((va > 0) & (vb > 0), cov / F.sqrt(F.when((va > 0) & (vb > 0), va * vb)))
+    out = s.select("track", "lag", rho.alias("rho"), F.col("n").cast("long").alias("overlap"))
+    return out.drop("track") if key is None else out.withColumnRenamed("track", key)
 
 
 def first_best(rows: DataFrame, value: Column, order: Column, keys: list[str]) -> DataFrame:
@@ -198,19 +239,47 @@ def kaiser_taps(phases: int, half: int = 32, beta: float = 10.0) -> np.ndarray:
     return np.sinc(t) * np.i0(beta * np.sqrt(np.maximum(0, 1 - (t / half) ** 2))) / np.i0(beta)
 
 
-def warp(series: DataFrame, slope: float, intercept: float, *, phases: int = 1024, half: int = 32, pos: str = "pos", value: str = "x") -> DataFrame:
-    """(pos, y): the series at positions p - (intercept + slope * p), by a windowed sinc.
+def sampled(x: np.ndarray, base: int, at: np.ndarray, taps: np.ndarray, *, nearest: bool = False) -> np.ndarray:
+    """Samples of x, whose first is at `base`, at fractional positions; NaN where taps are missing.
 
-    A range join with the taps: every sample is sent to the outputs that need it and the
-    products are summed, which combines before the shuffle. Outputs without all taps are left out.
+    Taps between two phases are read linearly, or those of the nearest phase are taken.
+    """
+    phases, half = taps.shape[0] - 1, taps.shape[1] // 2
+    whole = np.floor(at).astype(np.int64)
+    phase = (at - whole) * phases
+    low = np.rint(phase).astype(np.int64) if nearest else np.minimum(phase.astype(np.int64), phases - 1)
+    share = 0.0 * phase if nearest else phase - low
+    high = np.minimum(low + 1, phases)
+    first = whole - base - half + 1
+    ok = (first >= 0) & (first + 2 * half <= len(x))
+    out = np.full(len(at), np.nan)
+    for part in np.array_split(np.flatnonzero(ok), max(1, len(at) // 8192)):
+        near = x[first[part][:, None] + np.arange(2 * half)]
+        y = np.einsum("ij,ij->i", near, taps[low[part]])
+        out[part] = y if nearest else y + share[part] * (np.einsum("ij,ij->i", near, taps[high[part]]) - y)
+    return out
+
+
+def warp(series: DataFrame, slope: float, intercept: float, *, phases: int = PHASES, half: int = HALF, nearest: bool = False, key: str | None = None, pos: str = "pos", value: str = "x", size: int = 1 << 16) -> DataFrame:
+    """([key,] pos, y): the series at positions p - (intercept + slope * p), by a windowed sinc.
+
+    Blocks of the output ask for the blocks of samples around them. Outputs without all taps are left out.
     """
-    spark = series.sparkSession
     taps = kaiser_taps(phases, half)
-    table = spark.createDataFrame(pd.DataFrame({"phase": np.repeat(np.arange(phases + 1), 2 * half), "k": np.tile(np.arange(-half + 1, half + 1), phases + 1), "w": taps.ravel()}))
-    # output p reads around s(p) = p * (1 - slope) - intercept; the samples q within reach of it
-    lo = F.ceil((F.col(pos) - half + intercept) / (1 - slope)).cast("long") - 1
-    rows = series.select(F.col(pos).alias("q"), F.col(value).alias("v"), F.explode(F.sequence(lo, lo + 2 * half + 2)).alias("p"))
-    at = F.col("p") - (intercept + slope * F.col("p"))
-    rows = rows.withColumn("k", (F.col("q") - F.floor(at)).cast("long")).withColumn("phase", F.bround((at - F.floor(at)) * phases).cast("long"))
-    summed = rows.join(F.broadcast(table), ["phase", "k"]).groupBy("p").agg(F.sum(F.col("v") * F.col("w")).alias("y"), F.count("*").alias("m"))
-    return summed.where(F.col("m") == 2 * half).select(F.col("p").alias(pos), "y")
+    parts = blocks(_keyed(series, key, pos, value), size)
+    # the outputs that read a block lie around where it is moved to
+    begin, end = F.col("start"), F.col("start") + F.size("x")
+    reach = lambda p, by: F.floor((p + by + intercept) / (1 - slope) / size).cast("long")
+    chunk = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), reach(begin, -half - 1)), F.greatest(F.lit(0).cast("long"), reach(end, half + 1))))
+    rows = parts.select("track", chunk.alias("chunk"), F.lit("ref").alias("role"), "block", "start", "x")
+
+    def run(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        base, x = stretch(group, "ref")
+        p = k[1] * size + np.arange(size)
+        y = sampled(x, base, p - (intercept + slope * p), taps, nearest=nearest)
+        ok = ~np.isnan(y)
+        return frame({"track": [k[0]] * int(ok.sum()), "pos": p[ok], "y": y[ok]})
+
+    kind = parts.schema["track"].dataType.simpleString()
+    out = rows.groupBy("track", "chunk").applyInPandas(run, f"track {kind}, pos long, y double").withColumnRenamed("pos", pos)
+    return out.drop("track") if key is None else out.withColumnRenamed("track", key)

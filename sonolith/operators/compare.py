@@ -1,6 +1,6 @@
 """Comparing tracks of any length: blocks of samples, drift between them, and their aligned spectra.
 
-A track is rows (track, block, x): block k holds the samples from k * size on. A chunk of work is
+A track is rows (track, block, start, x) as `blocks` makes them. A chunk of work is
 one block of the test, with a halo of its own and the blocks of the reference that it needs. These
 come to it by an equi-join on the block number, so that memory depends on the block's size alone
 and all tracks of a table are compared in one job. A delay model is rows (track, slope, intercept):
@@ -17,59 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import align
+from .chunks import asked as _asked
+from .chunks import blocks, frame, lengths, stretch
 from .shared import written
 
-HALF, PHASES = 32, 1024
+HALF, PHASES = align.HALF, align.PHASES
 #: Anchors: seconds of a window, how much drift widens the search, the least correlation, and how many make an estimate; fixed values.
 WINDOW_S, MAX_DRIFT, LEAST_R, MIN_ANCHORS = 0.25, 2e-3, 0.3, 12
 #: Residuals and delays agree within these; fixed values.
 MAX_RESIDUAL_MS, NEGLIGIBLE_PPM, MAX_AMBIGUITY, MIN_PERIODIC = 20.0, 5.0, 0.5, 5
 
 
-def blocks(series: DataFrame, size: int, *, key: str = "track", pos: str = "pos", value: str = "x") -> DataFrame:
-    """(track, block, x): positions from 0 on without gaps; the last block may be shorter."""
-    rows = series.select(F.col(key).alias("track"), F.floor(F.col(pos) / size).cast("long").alias("block"), F.struct(F.col(pos).alias("p"), F.col(value).cast("double").alias("v")).alias("s"))
-    return rows.groupBy("track", "block").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["v"]).alias("x"))
-
-
-def lengths(parts: DataFrame, size: int) -> DataFrame:
-    """(track, n): samples of each track."""
-    return parts.groupBy("track").agg(F.max(F.col("block") * size + F.size("x")).alias("n"))
-
-
-def _asked(wanted: DataFrame, parts: DataFrame, role: str, size: int, lo: str, hi: str, keys: list[str]) -> DataFrame:
-    """(keys, role, block, x): the blocks of `parts` that hold samples lo .. hi - 1 of each row's track."""
-    first, last = F.floor(F.greatest(F.col(lo), F.lit(0)) / size).cast("long"), F.floor((F.col(hi) - 1) / size).cast("long")
-    asks = wanted.where(F.col(hi) > F.greatest(F.col(lo), F.lit(0))).select(*keys, F.explode(F.sequence(first, last)).alias("block"))
-    return asks.join(parts, ["track", "block"]).select(*keys, F.lit(role).alias("role"), "block", "x")
-
-
-def _frame(columns: dict) -> pd.DataFrame:
-    """Plain columns: text as objects, which is what Arrow takes whatever pandas infers."""
-    return pd.DataFrame({k: pd.Series(v, dtype=object if k in ("track", "x", "sums") else float if k != "block" else np.int64) for k, v in columns.items()})
-
-
-def _stretch(rows: pd.DataFrame, role: str, size: int) -> tuple[int, np.ndarray]:
-    """The first position and the samples of one side of a group; blocks that lie apart end it."""
-    mine = rows[rows.role == role].drop_duplicates("block").sort_values("block")
-    if mine.empty:
-        return 0, np.zeros(0)
-    run = mine[(mine.block - mine.block.iloc[0]).to_numpy() == np.arange(len(mine))]
-    return int(run.block.iloc[0]) * size, np.concatenate([np.asarray(x, float) for x in run.x])
-
-
-def sampled(x: np.ndarray, base: int, at: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    """Samples of x, whose first is at `base`, at fractional positions; NaN where taps are missing."""
-    whole = np.floor(at).astype(np.int64)
-    phase = np.rint((at - whole) * PHASES).astype(np.int64)
-    first = whole - base - HALF + 1
-    ok = (first >= 0) & (first + 2 * HALF <= len(x))
-    out = np.full(len(at), np.nan)
-    for part in np.array_split(np.flatnonzero(ok), max(1, len(at) // 8192)):
-        out[part] = np.einsum("ij,ij->i", x[first[part][:, None] + np.arange(2 * HALF)], taps[phase[part]])
-    return out
-
-
 def _chunks(ref: DataFrame, test: DataFrame, model: DataFrame, size: int, tail: int) -> DataFrame:
     """(track, chunk, slope, intercept, role, block, x): what each block of the test needs, `tail` samples beyond it included."""
     rows = test.select("track", F.col("block").alias("chunk")).join(model, "track")
@@ -81,19 +39,19 @@ def _chunks(ref: DataFrame, test: DataFrame, model: DataFrame, size: int, tail:
 
 
 def warped(ref: DataFrame, like: DataFrame, model: DataFrame, size: int) -> DataFrame:
-    """(track, block, x): the reference resampled to the test's time by the model; what it lacks is silence."""
+    """(track, block, start, x): the reference resampled to the test's time by the model; what it lacks is silence."""
     taps = align.kaiser_taps(PHASES, HALF)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         track, chunk, slope, intercept = key
-        base, x = _stretch(rows, "ref", size)
-        _, own = _stretch(rows[rows.block == chunk], "test", size)
+        base, x = stretch(rows, "ref")
+        _, own = stretch(rows[rows.block == chunk], "test")
         t = chunk * size + np.arange(len(own))
-        y = sampled(x, base, t - (intercept + slope * t), taps)
-        return _frame({"track": [track], "block": [chunk], "x": [np.nan_to_num(y)]})
+        y = align.sampled(x, base, t - (intercept + slope * t), taps)
+        return frame({"track": [track], "block": [chunk], "start": [chunk * size], "x": [np.nan_to_num(y)]})
 
     kind = like.schema["track"].dataType.simpleString()
-    return _chunks(ref, like, model, size, 0).groupBy("track", "chunk", "slope", "intercept").applyInPandas(run, f"track {kind}, block long, x array<double>")
+    return _chunks(ref, like, model, size, 0).groupBy("track", "chunk", "slope", "intercept").applyInPandas(run, f"track {kind}, block long, start long, x array<double>")
 
 
 def cross_spectrum(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: int, fft: int, hop: int, windowed: bool = True) -> DataFrame:
@@ -108,9 +66,9 @@ def cross_spectrum(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: i
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         track, chunk, slope, intercept = key
-        base, x = _stretch(rows, "ref", size)
-        first, b = _stretch(rows, "test", size)
-        none = _frame({"track": [], "sums": []})
+        base, x = stretch(rows, "ref")
+        first, b = stretch(rows, "test")
+        none = frame({"track": [], "sums": []})
         if first != chunk * size or len(b) < fft:
             return none
         b = b[: size + fft - hop]
@@ -119,7 +77,7 @@ def cross_spectrum(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: i
             at = t - int(intercept) - base
             a = np.where((at >= 0) & (at < len(x)), x[np.clip(at, 0, max(len(x) - 1, 0))], np.nan) if len(x) else np.full(len(b), np.nan)
         else:
-            a = sampled(x, base, t - (intercept + slope * t), taps)
+            a = align.sampled(x, base, t - (intercept + slope * t), taps)
         cut = lambda v: np.lib.stride_tricks.sliding_window_view(v, fft)[::hop]
         fa, fb = cut(a), cut(b)
         good = ~np.isnan(fa).any(1)
@@ -128,7 +86,7 @@ def cross_spectrum(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: i
         za, zb = (np.fft.rfft(f[good] * window, axis=1) for f in (fa, fb))
         cross = np.conj(za) * zb
         sums = np.concatenate([(np.abs(za) ** 2).sum(0), (np.abs(zb) ** 2).sum(0), cross.real.sum(0), cross.imag.sum(0), [good.sum()]])
-        return _frame({"track": [track], "sums": [sums]})
+        return frame({"track": [track], "sums": [sums]})
 
     kind = test.schema["track"].dataType.simpleString()
     partial = _chunks(ref, test, model, size, fft).groupBy("track", "chunk", "slope", "intercept").applyInPandas(run, f"track {kind}, sums array<double>")
@@ -177,25 +135,25 @@ def anchors(ref: DataFrame, test: DataFrame, speeds: list[float], *, size: int,
     Places whose correlation is below `least` in magnitude are left out. coarse: (track, lag_s).
     """
     n_window = int(window_s * rate)
-    sizes = lengths(test, size).join(lengths(ref, size).withColumnRenamed("n", "n_ref"), "track")
+    sizes = lengths(test).join(lengths(ref).withColumnRenamed("n", "n_ref"), "track")
     sizes = sizes.join(coarse, "track", "left") if coarse is not None else sizes.withColumn("lag_s", F.lit(0.0))
     rows = sizes.select("track", F.col("n").alias("n_test"), "n_ref", F.coalesce("lag_s", F.lit(0.0)).alias("lag_s"), F.explode(F.array(*map(F.lit, speeds))).alias("speed"), F.lit(count).alias("count"))
     room = F.floor(F.col("n_test") / F.col("speed")) - n_window - 1
     rows = rows.where((room > 0) & (F.col("n_ref") >= n_window)).select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"), room.alias("room"))
     start = F.floor(F.col("i") * F.col("room") / (count - 1)).cast("long")
-    rows = rows.select("track", "speed", "i", "n_ref", start.alias("start"), "lag_s")
-    radius = ((window_s + MAX_DRIFT * (F.col("start") + n_window / 2) / rate) * rate).cast("long")
-    centre = F.col("start") - (F.col("lag_s") * rate).cast("long")
+    rows = rows.select("track", "speed", "i", "n_ref", start.alias("place"), "lag_s")
+    radius = ((window_s + MAX_DRIFT * (F.col("place") + n_window / 2) / rate) * rate).cast("long")
+    centre = F.col("place") - (F.col("lag_s") * rate).cast("long")
     rows = rows.select("*", F.greatest(F.lit(0), centre - radius).alias("ref_lo"), F.least(F.col("n_ref"), centre + n_window + radius).alias("ref_hi"))
-    rows = rows.select("*", F.floor(F.col("start") * F.col("speed")).cast("long").alias("lo"), (F.ceil((F.col("start") + n_window) * F.col("speed")) + 1).cast("long").alias("hi"))
-    keys = ["track", "speed", "i", "start", "ref_lo", "ref_hi"]
+    rows = rows.select("*", F.floor(F.col("place") * F.col("speed")).cast("long").alias("lo"), (F.ceil((F.col("place") + n_window) * F.col("speed")) + 1).cast("long").alias("hi"))
+    keys = ["track", "speed", "i", "place", "ref_lo", "ref_hi"]
     sides = _asked(rows, test, "test", size, "lo", "hi", keys).unionByName(_asked(rows, ref, "ref", size, "ref_lo", "ref_hi", keys))
 
     def probe(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         track, speed, _, start, lo, hi = key
         out = {"track": [], "speed": [], "position_s": [], "lag_s": [], "r": [], "psr": [], "ambiguity": []}
-        base, x = _stretch(group, "ref", size)
-        first, y = _stretch(group, "test", size)
+        base, x = stretch(group, "ref")
+        first, y = stretch(group, "test")
         a = x[max(0, lo - base) : hi - base]
         at = (start + np.arange(n_window)) * speed - first
         if len(a) >= n_window and len(y) and at[-1] <= len(y) - 1:
@@ -206,7 +164,7 @@ def anchors(ref: DataFrame, test: DataFrame, speeds: list[float], *, size: int,
                 if abs(r) >= least:
                     for name, v in zip(out, (track, speed, (start + n_window / 2) / rate, (lag + start - lo) / rate, r, psr, ambiguity), strict=True):
                         out[name].append(v)
-        return _frame(out)
+        return frame(out)
 
     kind = test.schema["track"].dataType.simpleString()
     return sides.groupBy(*keys).applyInPandas(probe, f"track {kind}, speed double, position_s double, lag_s double, r double, psr double, ambiguity double")
@@ -250,29 +208,29 @@ def tracked(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: int, rat
 
     def residual(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         track, slope, intercept, _, start = key
-        base, x = _stretch(rows, "ref", size)
-        first, y = _stretch(rows, "test", size)
+        base, x = stretch(rows, "ref")
+        first, y = stretch(rows, "test")
         b = y[start - first : start - first + n_window]
         t = start + np.arange(len(b))
-        a = sampled(x, base, t - (intercept + slope * t), taps) if len(x) else np.full(len(b), np.nan)
+        a = align.sampled(x, base, t - (intercept + slope * t), taps) if len(x) else np.full(len(b), np.nan)
         out = {"track": [], "at": [], "residual": []}
         if len(b) == n_window and not np.isnan(a).any():
             delay, r, _ = align.refined(a[None], b[None], search=4.0)
             if abs(r[0]) >= 0.6:
                 out = {"track": [track], "at": [start + n_window / 2], "residual": [float(delay[0])]}
-        return _frame(out)
+        return frame(out)
 
-    n = lengths(test, size).withColumnRenamed("n", "n_test").join(lengths(ref, size).withColumnRenamed("n", "n_ref"), "track")
+    n = lengths(test).withColumnRenamed("n", "n_test").join(lengths(ref).withColumnRenamed("n", "n_ref"), "track")
     for _ in range(rounds):
         rows = model.join(n, "track")
         lo = F.ceil(F.greatest(F.lit(0.0), (F.col("intercept") + HALF) / (1 - F.col("slope"))))
         hi = F.floor(F.least(F.col("n_test").cast("double"), (F.col("n_ref") - HALF - 2 + F.col("intercept")) / (1 - F.col("slope")))) - n_window
         rows = rows.select("track", "slope", "intercept", lo.alias("a"), hi.alias("z")).where("z > a")
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-        rows = rows.select("track", "slope", "intercept", "i", (F.col("a") + F.floor(F.col("i") * (F.col("z") - F.col("a")) / (points - 1))).cast("long").alias("start"))
+        rows = rows.select("track", "slope", "intercept", "i", (F.col("a") + F.floor(F.col("i") * (F.col("z") - F.col("a")) / (points - 1))).cast("long").alias("place"))
         source = lambda p: p - (F.col("intercept") + F.col("slope") * p)
-        rows = rows.select("*", F.col("start").alias("lo"), (F.col("start") + n_window).alias("hi"), (F.floor(source(F.col("start"))) - HALF).alias("ref_lo"), (F.ceil(source(F.col("start") + n_window)) + HALF + 1).alias("ref_hi"))
-        keys = ["track", "slope", "intercept", "i", "start"]
+        rows = rows.select("*", F.col("place").alias("lo"), (F.col("place") + n_window).alias("hi"), (F.floor(source(F.col("place"))) - HALF).alias("ref_lo"), (F.ceil(source(F.col("place") + n_window)) + HALF + 1).alias("ref_hi"))
+        keys = ["track", "slope", "intercept", "i", "place"]
         sides = _asked(rows, test, "test", size, "lo", "hi", keys).unionByName(_asked(rows, ref, "ref", size, "ref_lo", "ref_hi", keys))
         left = sides.groupBy(*keys).applyInPandas(residual, f"track {kind}, at double, residual double")
         fit = left.groupBy("track").agg(F.regr_slope("residual", "at").alias("ds"), F.regr_intercept("residual", "at").alias("di"), F.count("*").alias("m")).where("m >= 3").drop("m")

@@ -99,7 +99,7 @@ def refine_delay(spark, d):
 
 def warp_resample(spark, d):
     s = roles.series(spark, d)
-    return align.warp(s, 0.0002, 0.25, phases=64, half=4).select("pos", n.r6(F.col("y")).alias("y"))
+    return align.warp(s, 0.0002, 0.25, phases=64, half=4, nearest=True).select("pos", n.r6(F.col("y")).alias("y"))
 
 
 def anchor_drift(spark, d):

@@ -29,7 +29,7 @@ def resampled(x, at):
 
 
 def table(spark, tracks):
-    return spark.createDataFrame(pd.DataFrame([{"track": k, "block": i, "x": x[i * SIZE : (i + 1) * SIZE].tolist()} for k, x in tracks.items() for i in range(-(-len(x) // SIZE))]), "track string, block long, x array<double>").cache()
+    return spark.createDataFrame(pd.DataFrame([{"track": k, "block": i, "start": i * SIZE, "x": x[i * SIZE : (i + 1) * SIZE].tolist()} for k, x in tracks.items() for i in range(-(-len(x) // SIZE))]), "track string, block long, start long, x array<double>").cache()
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +104,29 @@ def test_refined_delays():
     assert np.isnan(align.refined(np.zeros((1, 64)), np.ones((1, 64)))[0][0])
 
 
+def test_lags_of_several_tracks(spark):
+    """All lags of two tracks in small blocks equal numpy's correlation over the overlap."""
+    r = np.random.default_rng(2)
+    x = {k: 5 + r.normal(size=700) for k in "ab"}
+    y = {"a": np.roll(x["a"], 9)[9:] * -2, "b": r.normal(size=650)}
+    rows = lambda s: spark.createDataFrame([(k, i, float(v)) for k, z in s.items() for i, v in enumerate(z)], "k string, pos long, x double")
+    got = align.lag_correlations(rows(x), rows(y), 20, key="k", size=128).collect()
+    assert len(got) == 82
+    for g in got:
+        a, b = x[g.k], y[g.k]
+        t = np.arange(max(0, g.lag), min(len(b), len(a) + g.lag))
+        assert g.overlap == len(t) and g.rho == pytest.approx(np.corrcoef(a[t - g.lag], b[t])[0, 1], abs=1e-9)
+
+
+def test_warp_in_blocks(spark):
+    x = music(4000, 5)
+    s = spark.createDataFrame([("t", i, float(v)) for i, v in enumerate(x)], "k string, pos long, x double")
+    a, b = (align.warp(s, 3e-4, -7.25, key="k", size=size).orderBy("pos").toPandas() for size in (512, 1 << 16))
+    assert (a.pos == b.pos).all() and np.allclose(a.y, b.y)
+    at = a.pos.to_numpy() - (-7.25 + 3e-4 * a.pos.to_numpy())
+    assert np.sqrt(np.mean((a.y - resampled(x, at))[100:-100] ** 2)) < 1e-3 * x.std()
+
+
 def test_too_many_anchors_are_an_error(spark):
     points = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("x"), F.col("id").alias("y"))
     with pytest.raises(Exception, match="more than 64 anchors"):
