@@ -204,6 +204,20 @@ def refined(a: np.ndarray, b: np.ndarray, *, search: float = 1.0, tolerance: flo
     return np.where(silent | (np.abs(delay) >= search - 10 * tolerance), np.nan, delay), np.where(silent, 0.0, r), sharp
 
 
+def phase_slopes(a: np.ndarray, b: np.ndarray, band: tuple[float, float] = (0.02, 0.4)) -> np.ndarray:
+    """The delay of each row of b against a by the slope of the unwrapped phase, weighted by amplitude; for small delays only."""
+    n = a.shape[1]
+    f = np.fft.rfftfreq(n)
+    inside = (f >= band[0]) & (f <= band[1])
+    cross = (np.fft.rfft(b, axis=1) * np.conj(np.fft.rfft(a, axis=1)))[:, inside]
+    w, x, y = np.abs(cross), f[inside], np.unwrap(np.angle(cross), axis=1)
+    total = np.maximum(w.sum(1), 1e-300)
+    mx, my = (w * x).sum(1) / total, (w * y).sum(1) / total
+    dx = x - mx[:, None]
+    slope = (w * dx * (y - my[:, None])).sum(1) / np.maximum((w * dx * dx).sum(1), 1e-300)
+    return -slope / (2 * np.pi)
+
+
 def refine_delays(pairs: DataFrame, key: str) -> DataFrame:
     """(key, delay, correlation, sharpness, status) of rows (key, a, b) of equal lengths: sub-sample delay of b against a."""
 

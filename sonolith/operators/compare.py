@@ -239,6 +239,36 @@ def tracked(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: int, rat
     return model
 
 
+def excerpt_pairs(ref: DataFrame, test: DataFrame, model: DataFrame, starts: DataFrame, *, size: int, length: int, peak: float = 0.98) -> DataFrame:
+    """(track, start, a, b): excerpts for listening, aligned, equally loud and of one polarity.
+
+    model: (track, slope, intercept, gain); starts: (track, start), where the test's excerpt of
+    `length` samples begins. The test is divided by its gain, and both are lowered together if
+    either exceeds `peak`. Excerpts that either side does not wholly have are left out.
+    """
+    taps = align.kaiser_taps(PHASES, HALF)
+    rows = model.join(starts.select("track", F.col("start").alias("place")), "track").where("gain <> 0")
+    source = lambda p: p - (F.col("intercept") + F.col("slope") * p)
+    rows = rows.select("*", F.col("place").alias("lo"), (F.col("place") + length).alias("hi"), (F.floor(source(F.col("place"))) - HALF).alias("ref_lo"), (F.ceil(source(F.col("place") + length)) + HALF + 1).alias("ref_hi"))
+    keys = ["track", "slope", "intercept", "gain", "place"]
+    sides = _asked(rows, test, "test", size, "lo", "hi", keys).unionByName(_asked(rows, ref, "ref", size, "ref_lo", "ref_hi", keys))
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        track, slope, intercept, gain, place = key
+        base, x = stretch(group, "ref")
+        first, y = stretch(group, "test")
+        t = place + np.arange(length)
+        a = align.sampled(x, base, t - (intercept + slope * t), taps) if len(x) else np.full(length, np.nan)
+        b = y[place - first : place - first + length] / gain
+        if len(b) < length or np.isnan(a).any():
+            return pd.DataFrame({"track": pd.Series([], dtype=object), "start": pd.Series([], dtype=np.int64), "a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
+        scale = min(1.0, peak / max(np.abs(a).max(), np.abs(b).max(), 1e-30))
+        return pd.DataFrame({"track": pd.Series([track], dtype=object), "start": [place], "a": [a * scale], "b": [b * scale]})
+
+    kind = test.schema["track"].dataType.simpleString()
+    return sides.groupBy(*keys).applyInPandas(run, f"track {kind}, start long, a array<double>, b array<double>")
+
+
 def fan_out(frames: DataFrame, *sinks: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
     """One pass over what makes `frames`, into several aggregates."""
     frames = written(frames, "frames")

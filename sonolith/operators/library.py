@@ -59,3 +59,18 @@ def excerpt_starts(duration: Column, length: float) -> Column:
     room = duration - length
     fits = F.transform(F.array(*map(F.lit, (0.5, 0.25, 0.75, 0.1, 0.9))), lambda f: f * room)
     return F.when(duration.isNull(), F.array(F.lit(None).cast("double"))).when(room <= 0, F.array(F.lit(0.0))).otherwise(fits)
+
+
+def verify_starts(duration: Column, length: float = 30.0, edge: float = 0.05) -> Column:
+    """Where the excerpts of a file that is verified by itself start: the centre first, then four more places, all off the edges."""
+    lo, hi = edge * duration, (1 - edge) * duration - length
+    places = F.transform(F.array(*map(F.lit, (0.5, 0.25, 0.75, 0.0, 1.0))), lambda f: lo + f * (hi - lo))
+    return F.when(duration.isNull() | (hi <= lo), F.array(F.lit(0.0))).otherwise(places)
+
+
+def first_usable(excerpts: DataFrame, key: str, order: str, frames: str, least: int = 40) -> DataFrame:
+    """The first excerpt of each file with `least` active frames; without one, that with the most, the first of equals."""
+    enough = F.col(frames) >= least
+    rank = F.struct(enough.cast("int").alias("a"), F.when(enough, F.lit(0)).otherwise(F.col(frames)).alias("b"), (-F.col(order)).alias("c"))
+    best = excerpts.groupBy(key).agg(F.max_by(F.struct(*(c for c in excerpts.columns if c != key)), rank).alias("e"), F.count("*").alias("tried"))
+    return best.select(key, "e.*", "tried")

@@ -138,3 +138,21 @@ def reassembled(segments: DataFrame, key: str, order: str, size: str) -> DataFra
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     packet = F.coalesce(F.sum((F.col(size) < 255).cast("long")).over(before), F.lit(0).cast("long"))
     return segments.withColumn("packet", packet).groupBy(key, "packet").agg(F.sum(size).alias("bytes"), F.count("*").alias("segments"), F.bool_or(F.col(size) < 255).alias("complete"))
+
+
+def regions(size: Column, limit: int = 128 << 20, most: int = 8 << 20, count: int = 5) -> Column:
+    """struct(parts, sampled): the byte ranges (start, length) of a file that are read.
+
+    All of it up to `limit`; of a larger one `count` ranges of at most `most` bytes, the first
+    at its beginning, the last at its end, the others evenly between, and `sampled` says so.
+    """
+    length = F.least(F.lit(most).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(size / count).cast("long")))
+    some = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(F.floor((size - length) * i / (count - 1)).cast("long").alias("start"), length.alias("length")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.cast("long").alias("length")))
+    return F.struct(F.when(size <= limit, whole).otherwise(some).alias("parts"), (size > limit).alias("sampled"))
+
+
+def pcm_matches(pcm: Column, stated_md5: Column, depth: Column) -> Column:
+    """Whether the bytes of the samples at their native depth have the stated MD5 (hex); NULL if none is stated or the depth has no bytes of its own."""
+    known = depth.isin(8, 16, 24, 32) & ~stated_md5.rlike("^0*$") & pcm.isNotNull()
+    return F.when(known, F.md5(pcm) == F.lower(stated_md5))

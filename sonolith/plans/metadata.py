@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
-from ..operators import compare, metadata, present
+from ..operators import compare, library, metadata, present
 from . import roles
 from .roles import r6
 
@@ -147,7 +147,28 @@ def pair_arrays(spark, d):
     return e.select("vec_id", F.col("size").cast("long").alias("size"), finite.alias("finite"), (power == 0).alias("silent"), n.r6(power).alias("power"), n.r6(scale).alias("scale"))
 
 
-QUERIES = {f.__name__: f for f in (probe_json, default_stream, bitrate_three_tier, variable_rates, container_ratios, scan_choices, encoder_settings, ladder_rates, result_texts, excerpt_starts, class_calibration, offset_frame_join, pair_arrays)}
+def file_regions(spark, d):
+    """What is read of files of very different sizes."""
+    p = roles.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * F.col("p_partkey") * 997).alias("size"))
+    r = p.select("k", "size", metadata.regions(F.col("size"), 1 << 20, 1 << 16).alias("r"))
+    return r.select("k", "r.sampled", F.posexplode("r.parts").alias("part", "x")).select("k", "sampled", F.col("part").cast("long").alias("part"), "x.start", "x.length")
+
+
+def verified_excerpts(spark, d):
+    """Places of excerpts of documents as recordings, and the first with enough active frames."""
+    f = roles.table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 10.0).alias("duration"))
+    e = f.select("doc_id", F.posexplode(library.verify_starts(F.col("duration"))).alias("ord", "start")).select("doc_id", F.col("ord").cast("long").alias("ord"), "start", ((F.col("doc_id") * 7 + F.col("ord") * 13) % 60).alias("frames"))
+    return library.first_usable(e, "doc_id", "ord", "frames").select("doc_id", "ord", n.r6(F.col("start")).alias("start"), "frames", "tried")
+
+
+def pcm_checks(spark, d):
+    """Texts as samples against a stated MD5 that is theirs, another's, or none."""
+    t = roles.table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("pcm"))
+    stated = F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("0"), F.lit(32))).when(F.col("doc_id") % 3 == 0, F.md5(F.lit("x").cast("binary"))).otherwise(F.upper(F.md5("pcm")))
+    return t.select("doc_id", metadata.pcm_matches(F.col("pcm"), stated, F.when(F.col("doc_id") % 7 == 0, 20).otherwise(16)).alias("matches"))
+
+
+QUERIES = {f.__name__: f for f in (probe_json, default_stream, bitrate_three_tier, variable_rates, container_ratios, scan_choices, encoder_settings, ladder_rates, result_texts, excerpt_starts, class_calibration, offset_frame_join, pair_arrays, file_regions, verified_excerpts, pcm_checks)}
 
 _CODECS_SQL = "codecs AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', {('[' + ', '.join(map(str, r)) + ']') if r else '[]::INT[]'}, {'NULL' if lo is None else lo}, {'NULL' if hi is None else hi}, {'NULL' if m is None else repr(m)})" for c, r, lo, hi, m in present.CODECS
@@ -219,4 +240,14 @@ SQL = {
         x AS (SELECT vec_id, n, i, (embedding[i + 1]::DOUBLE + (0.8::DOUBLE * embedding[i + 1]::DOUBLE + 0.01::DOUBLE * (((vec_id * 31 + i * 17) % 23) - 11))) / 2 AS m, 0.5 - 0.5 * cos(2 * pi() * i / n) AS w FROM f, (SELECT unnest(range(64)) AS i) WHERE i < n),
         g AS (SELECT vec_id, n, sum(m * m) AS power, sum(w * w) AS ww FROM x GROUP BY ALL)
         SELECT vec_id, n AS size, true AS finite, power = 0 AS silent, {r6("power")} AS power, {r6("CASE WHEN n > 1 AND ww > 0 THEN 4 / (n * ww) END")} AS scale FROM g""",
+    "file_regions": """
+        WITH p AS (SELECT p_partkey AS k, p_partkey * p_partkey * 997 AS size FROM part), r AS (SELECT *, least(65536, greatest(1, size // 5)) AS len FROM p)
+        SELECT k, size > 1048576 AS sampled, i AS part, CASE WHEN size > 1048576 THEN (size - len) * i // 4 ELSE 0 END AS start, CASE WHEN size > 1048576 THEN len ELSE size END AS length
+        FROM r, (SELECT unnest(range(5)) AS i) WHERE i = 0 OR size > 1048576""",
+    "verified_excerpts": f"""
+        WITH f AS (SELECT doc_id, n_chars / 10.0::DOUBLE AS d FROM documents), e AS (SELECT doc_id, i AS ord, CASE WHEN 0.95 * d - 30 <= 0.05 * d THEN 0 ELSE 0.05 * d + list_extract([0.5, 0.25, 0.75, 0.0, 1.0]::DOUBLE[], i + 1) * (0.95 * d - 30 - 0.05 * d) END AS start,
+                     (doc_id * 7 + i * 13) % 60 AS frames, d FROM f, (SELECT unnest(range(5)) AS i) WHERE i = 0 OR 0.95 * d - 30 > 0.05 * d)
+        SELECT doc_id, ord, {r6("start")} AS start, frames, tried FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS tried,
+               row_number() OVER (PARTITION BY doc_id ORDER BY (frames >= 40) DESC, CASE WHEN frames >= 40 THEN 0 ELSE -frames END, ord) AS r FROM e) WHERE r = 1""",
+    "pcm_checks": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN doc_id % 3 <> 0 END AS matches FROM documents",
 }

@@ -127,6 +127,24 @@ def test_warp_in_blocks(spark):
     assert np.sqrt(np.mean((a.y - resampled(x, at))[100:-100] ** 2)) < 1e-3 * x.std()
 
 
+def test_phase_slopes():
+    r = np.random.default_rng(3)
+    x = np.fft.irfft(np.where(np.arange(257) < 210, np.fft.rfft(r.normal(size=(20, 512)), axis=1), 0), 512, axis=1)
+    want = r.uniform(-0.8, 0.8, 20)
+    assert np.abs(align.phase_slopes(x, np.stack([align.fractional_shift(a, d) for a, d in zip(x, want, strict=True)])) - want).max() < 1e-6
+
+
+def test_excerpt_pairs(spark, pairs):
+    ref, test = pairs
+    model = spark.createDataFrame([("later", 0.0, 2960.0, 0.5), ("noisy", 0.0, 0.0, -2.0), ("slow", 204.08e-6, 12.25, 1.0)], "track string, slope double, intercept double, gain double")
+    starts = spark.createDataFrame([("later", 30_000), ("noisy", 40_000), ("slow", 16_000), ("later", 10)], "track string, start long")
+    got = {(r.track, r.start): (np.array(r.a), np.array(r.b)) for r in compare.excerpt_pairs(ref, test, model, starts, size=SIZE, length=4000).collect()}
+    assert set(got) == {("later", 30_000), ("noisy", 40_000), ("slow", 16_000)}
+    for (track, _), (a, b) in got.items():
+        assert max(np.abs(a).max(), np.abs(b).max()) <= 0.98 + 1e-9
+        assert np.std(a - b) < (0.15 if track == "noisy" else 0.01) * np.std(a)
+
+
 def test_too_many_anchors_are_an_error(spark):
     points = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("x"), F.col("id").alias("y"))
     with pytest.raises(Exception, match="more than 64 anchors"):
