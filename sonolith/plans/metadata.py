@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
@@ -168,7 +169,20 @@ def pcm_checks(spark, d):
     return t.select("doc_id", metadata.pcm_matches(F.col("pcm"), stated, F.when(F.col("doc_id") % 7 == 0, 20).otherwise(16)).alias("matches"))
 
 
-QUERIES = {f.__name__: f for f in (probe_json, default_stream, bitrate_three_tier, variable_rates, container_ratios, scan_choices, encoder_settings, ladder_rates, result_texts, excerpt_starts, class_calibration, offset_frame_join, pair_arrays, file_regions, verified_excerpts, pcm_checks)}
+def scalar_formulas(spark, d):
+    """Levels, frame sizes and auditory scales of the parts' numbers."""
+    p = roles.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("x"))
+    return p.select("k", n.r6(n.db20(F.when(F.col("k") % 5 == 0, F.lit(0.0)).otherwise(F.col("x") / 1000))).alias("db"), n.next_power_of_two(F.col("k")).alias("size"), n.r6(n.erb_bandwidth(F.col("x"))).alias("erb_hz"), n.r6(n.erb_number(F.col("x"))).alias("erb"))
+
+
+def scan_order(spark, d):
+    """Entries of each source by their seconds, those without any last."""
+    e = roles.table(spark, d, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("n_chars") / 10.0).alias("seconds"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.asc_nulls_last("seconds"), "doc_id"))
+    return e.select("source", "doc_id", "seconds", place.cast("long").alias("place"))
+
+
+QUERIES = {f.__name__: f for f in (probe_json, default_stream, bitrate_three_tier, variable_rates, container_ratios, scan_choices, encoder_settings, ladder_rates, result_texts, excerpt_starts, class_calibration, offset_frame_join, pair_arrays, file_regions, verified_excerpts, pcm_checks, scalar_formulas, scan_order)}
 
 _CODECS_SQL = "codecs AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', {('[' + ', '.join(map(str, r)) + ']') if r else '[]::INT[]'}, {'NULL' if lo is None else lo}, {'NULL' if hi is None else hi}, {'NULL' if m is None else repr(m)})" for c, r, lo, hi, m in present.CODECS
@@ -250,4 +264,7 @@ SQL = {
         SELECT doc_id, ord, {r6("start")} AS start, frames, tried FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS tried,
                row_number() OVER (PARTITION BY doc_id ORDER BY (frames >= 40) DESC, CASE WHEN frames >= 40 THEN 0 ELSE -frames END, ord) AS r FROM e) WHERE r = 1""",
     "pcm_checks": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 THEN doc_id % 3 <> 0 END AS matches FROM documents",
+    "scalar_formulas": f"""SELECT p_partkey AS k, {r6("CASE WHEN p_partkey % 5 = 0 THEN -300.0::DOUBLE ELSE greatest(-300, 20 * log10(p_retailprice / 1000)) END")} AS db,
+        CASE WHEN p_partkey <= 1 THEN 1 ELSE pow(2, ceil(log2(p_partkey - 0.5::DOUBLE)))::BIGINT END AS size, {r6("24.7 * (4.37::DOUBLE * p_retailprice / 1000 + 1)")} AS erb_hz, {r6("21.4 * log10(4.37::DOUBLE * p_retailprice / 1000 + 1)")} AS erb FROM part""",
+    "scan_order": "SELECT source, doc_id, CASE WHEN doc_id % 4 <> 0 THEN n_chars / 10.0::DOUBLE END AS seconds, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN doc_id % 4 <> 0 THEN n_chars / 10.0::DOUBLE END ASC NULLS LAST, doc_id) AS place FROM documents",
 }
