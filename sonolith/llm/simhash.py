@@ -139,8 +139,9 @@ def keep_one(docs: DataFrame, *, width: int = 3, id_col: str = "doc_id", text_co
     classes = materialise(prints.groupBy("fp").agg(F.min("k").alias("least")), "classes")
     reach = components(links(classes.select("fp"), crowd=crowd))
     heads = classes.join(reach.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(F.min("least").alias("k"))
-    heads = heads.select(F.col("k.id").alias("_near_id"), F.col("k.th").alias("_near_head"))
-    kept = docs.withColumn("_near_th", th).join(heads, F.col(id_col).eqNullSafe(F.col("_near_id")) & (F.col("_near_th") == F.col("_near_head")), "left_semi")
+    heads = heads.select(F.col("k.id").alias("id"), F.col("k.th").alias("head"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("own"), th.alias("th"))  # columns of any name
+    kept = rows.join(heads, F.col("own").eqNullSafe(F.col("id")) & (F.col("th") == F.col("head")), "left_semi")
     if not prints.groupBy("k").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "_near_th"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["own", "th"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -63,3 +63,23 @@ def test_run_equals_the_stages(spark, tables):
         docs = stage(spark, docs, sf_dir)
     key = lambda d: sorted((x.doc_id, x.piece, x.ids_crc32) for x in d.collect())
     assert key(corpus_pipeline.run(spark, sf_dir)) == key(docs)
+
+
+def test_empty_tables(spark, docs, tmp_path):
+    docs([]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns(spark, tables):
+    """Columns that the stages use themselves are passed on as they are."""
+    sf_dir, _ = tables
+    names = ("h1", "th", "key", "id", "n", "start", "fp", "_near_th", "_line_th", "score", "f", "x", "spans")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 30 or doc_id >= 300")
+    for k in names:
+        table = table.withColumn(k, table["doc_id"] % 7)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, table, sf_dir)
+        assert kept.columns == table.columns, name
+        assert kept.where(" or ".join(f"not (`{k}` <=> doc_id % 7)" for k in names)).count() == 0 < kept.count(), name
