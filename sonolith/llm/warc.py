@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_dir, small_batches
+from .common import materialise, scratch_dir, shuffles_dropped, small_batches
 
 SEGMENT_BYTES = 16_384
 RECORDS_PER_FILE = 1_024
@@ -111,7 +111,8 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     records = rows.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    with shuffles_dropped(pages.sparkSession):
+        records.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
