@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, gam, linededup, rulelists, secretscan, simhash, suffixdedup, suffixtree, tokenpack, warc
+from . import decontaminate, divergence, gam, linededup, pieces, resample, rulelists, secretscan, simhash, suffixdedup, suffixtree, tokenpack, warc
 from .common import held_out
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +71,20 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), flag.alias("contaminated"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"), F.xxhash64("begins", "ends").alias("spans_xxh64"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_warc_segments": op2_warc_segments,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decision_lists": op8_decision_lists,
     "op9_induced_suffixes": op9_induced_suffixes,
     "op10_suffix_automaton": op10_suffix_automaton,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_piece_spans": op12_piece_spans,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -115,4 +133,39 @@ ORACLE_SQL: dict[str, str] = {
         SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM w LEFT JOIN cov ON id = cov.doc_id LEFT JOIN its ON id = its.doc_id WHERE kind = 'doc'""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+        ln AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS cnt, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gn.n + ln.v) AS p
+              FROM gn JOIN kept USING (lang) JOIN ln USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN (SELECT a.lang, a.source AS s1, b.source AS s2, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+                            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND x.s1 = a.source AND x.s2 = b.source),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (total + 1)) // (ln.n + ln.v) AS q FROM kept JOIN ln USING (lang)),
+        t AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE cnt > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM t))
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op13_importance_resampling": r"""
+        WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM range(256) r(i)),
+        x AS (SELECT 'd' AS side, row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, coalesce(text, '') FROM benchmark),
+        w AS (SELECT side, k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+        o AS (SELECT side, k, unnest(w) AS term FROM w),
+        h AS (SELECT term, hex(encode(term)) AS x FROM (SELECT DISTINCT term FROM o)),
+        b AS (SELECT term, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i::INT + 1, 2))::BIGINT)),
+                     lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, tab),
+        n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM o JOIN b USING (term) GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sa + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (ta + 10000)::DOUBLE)))::BIGINT AS gain FROM n, (SELECT sum(s) AS sa, sum(t) AS ta FROM n)),
+        m AS (SELECT k, count(*) AS c, sum(gain)::BIGINT AS g FROM o JOIN b USING (term) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY k),
+        z AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce((g - ((g % c) + c) % c) // c, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+              FROM w LEFT JOIN m USING (k) WHERE side = 'd'),
+        s AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM z),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM s WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)""",
 }
