@@ -11,6 +11,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -192,23 +193,27 @@ class Model:
         self.known: dict[str, int] = {}
         self.ids, self.starts = array("i"), array("q", [0])
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Merge what is new of the stretches of some texts."""
+    def places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Where the codes of each text's stretches are kept; what is new is merged first."""
         if len(self.known) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
             self.forget()
-        new = list(set().union(*texts).difference(self.known))
+        found = [np.fromiter(map(self.known.get, text, repeat(-1)), np.int64, len(text)) for text in texts]
+        gaps = [np.flatnonzero(at < 0) for at in found]
+        new = list({text[k] for text, gap in zip(texts, gaps, strict=True) for k in gap.tolist()})
         for stretch, ids in zip(new, self.merges.encode(new, num_threads=1), strict=True):
             self.known[stretch] = len(self.starts) - 1
             self.ids.extend(ids)
             self.starts.append(len(self.ids))
+        for text, at, gap in zip(texts, found, gaps, strict=True):
+            at[gap] = [self.known[text[k]] for k in gap.tolist()]
+        return found
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its ids, and the first and end byte of each in the text."""
         cut = [self.stretch.findall(self.normaliser.text(text)) for text in texts]
-        self.learn(cut)
+        held = self.places(cut)
         starts, known, out = np.frombuffer(self.starts, np.int64), np.frombuffer(self.ids, np.int32), []
-        for text, stretches in zip(texts, cut, strict=True):
-            places = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+        for text, places in zip(texts, held, strict=True):
             count = starts[places + 1] - starts[places]
             at = np.repeat(starts[places] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             if not len(at):
@@ -228,33 +233,40 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@lru_cache(2)
+def _library(path: str) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def _text(path: str, ids: list[int]) -> str:
+    return _library(path).decode(ids) if ids else ""
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Ids of every whole text without begin and end marks, and the original bytes that each piece stands for.
 
+    With `decoded` there is a column of that name with the text that the ids decode to.
+
     Returns one row for each row of `docs`: doc_id, ids, begins and ends (byte offsets in the text's
     UTF-8, end exclusive). The first piece of a text starts with a space mark that stands for no
     byte; a character that the map rewrites is covered whole by each piece that holds a part of its
     replacement. A null or empty text has empty arrays; ids may repeat or be null and are passed on;
     other columns are not read. A text of any length is encoded whole.
     """
-    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *(StructField(n, ArrayType(IntegerType())) for n in ("ids", "begins", "ends"))])
+    schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *(StructField(n, ArrayType(IntegerType())) for n in ("ids", "begins", "ends")), *([StructField("decoded", StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model(model_path)
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 1 << 20):
             coded = held.encode(batch.column(1).to_pylist())
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(c[0]) for c in coded])]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c[k] for c in coded]), pa.int32())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "ids", "begins", "ends"])
+            texts = [pa.array([_text(model_path, c[0].tolist()) for c in coded], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists, *texts], names=schema.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-@lru_cache(2)
-def _library(path: str):
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """`coded` with the text of its ids as `name`; no ids, or null, give an empty text. A column of that name is replaced."""
     kept = coded.drop(name)
@@ -262,9 +274,8 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", name: str =
     at = kept.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _library(model_path)
-        for batch in small_batches(batches, 8 << 20):
-            texts = [held.decode(ids) if ids else "" for ids in batch.column(at).to_pylist()]
+        for batch in small_batches(batches, 1 << 20):
+            texts = [_text(model_path, ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return kept.mapInArrow(run, schema)

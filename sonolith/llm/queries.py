@@ -76,7 +76,7 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    coded = pieces.encode(table(spark, sf_dir, "documents"), PIECES, decoded=True)
     digest = lambda x: F.sha2(x.cast("binary"), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"), F.xxhash64("begins", "ends").alias("spans_xxh64"))
 
