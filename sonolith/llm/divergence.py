@@ -43,7 +43,7 @@ def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", most: int = HELD) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term, and a row without a term for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                 one.discard(b"")
                 seen.update(one)
                 entries += len(n) - before
-                if entries > HELD:
+                if entries > most:
                     yield from passed_on()
                     entries = 0
         yield from passed_on()
@@ -158,7 +158,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(sources), pa.string()), pa.array(sources, pa.string()), pa.array(peers, pa.string()), pa.array(values, pa.int64())], names=["lang", "source", "item", "value"])
 
 
-def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, per_slot: int = 8, block_terms: int = 32_768, block_entries: int = 100_000, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, per_slot: int = 8, block_terms: int = 32_768, block_entries: int = 100_000, held: int = HELD, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Divergence of every ordered pair of a language's sources, and the best `top` terms of each source against its language.
 
     Terms are runs of ASCII letters, in lower case, and of characters beyond ASCII; a language keeps
@@ -181,7 +181,7 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, per_slot: int = 8,
     as documents. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    counts = materialise(term_counts(docs, lang_col, source_col, text_col), "terms")
+    counts = materialise(term_counts(docs, lang_col, source_col, text_col, held), "terms")
     groups = counts.where("term is null").select("lang", "source")
     kept = materialise(counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.count("*").alias("spread")).where(F.col("docs") >= min_docs).drop("docs"), "kept")
     langs = groups.groupBy("lang").agg(F.count("*").alias("n_sources")).join(kept.groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("total").alias("n_lang"), F.sum("spread").alias("entries")), "lang", "left").fillna(0)

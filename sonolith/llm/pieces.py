@@ -65,18 +65,22 @@ def compiled_map(blob: bytes) -> dict[str, str]:
     size = int.from_bytes(blob[:4], "little")
     units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
     labels, leaf, below = units & 0x800000FF, (units >> 8) & 1, (units >> 10) << ((units & 512) >> 6)
-    found, todo, every = {}, [(int(below[0]), b"")], np.arange(1, 256)
-    while todo:
-        node, prefix = todo.pop()
-        near = node ^ every
-        fits = near < len(units)
-        for place, byte in zip(near[fits].tolist(), every[fits].tolist(), strict=True):
-            if labels[place] == byte:
-                child, source = place ^ int(below[place]), prefix + bytes([byte])
-                if leaf[place]:
-                    start = int(units[child]) & 0x7FFFFFFF
-                    found[source] = texts[start : texts.index(b"\0", start)]
-                todo.append((child, source))
+    found, every = {}, np.arange(1, 256)
+    nodes, prefixes = below[:1], [b""]
+    while len(nodes):  # a level of the trie at a time
+        children, names = [], []
+        for k in range(0, len(nodes), 10_000):
+            near = nodes[k : k + 10_000, None] ^ every
+            parent, byte = np.nonzero((near < len(units)) & (labels[np.minimum(near, len(units) - 1)] == every))
+            place = near[parent, byte]
+            child = place ^ below[place]
+            sources = [prefixes[k + p] + bytes([b]) for p, b in zip(parent.tolist(), every[byte].tolist(), strict=True)]
+            for j in np.flatnonzero(leaf[place]).tolist():
+                start = int(units[child[j]]) & 0x7FFFFFFF
+                found[sources[j]] = texts[start : texts.index(b"\0", start)]
+            children.append(child)
+            names += sources
+        nodes, prefixes = np.concatenate(children), names
     return {k.decode(): v.decode() for k, v in found.items()}
 
 

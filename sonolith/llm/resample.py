@@ -23,11 +23,11 @@ def words(text: Column) -> Column:
 
 def grams(tokens: Column, longest: int) -> Column:
     """All runs of 1 to `longest` consecutive words, joined by one space, repeats included."""
-    found = [tokens]
-    for n in range(2, longest + 1):
+    def runs(n: int) -> Column:
         places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(places, lambda k, n=n: F.array_join(F.slice(tokens, k, n), " ")))
-    return F.concat(*found) if longest > 1 else tokens
+        return F.transform(places, lambda k: F.array_join(F.slice(tokens, k, n), " "))
+
+    return F.concat(tokens, *map(runs, range(2, longest + 1))) if longest > 1 else tokens
 
 
 def hashed(docs: DataFrame, text: Column, keep: dict[str, Column], longest: int, buckets: int) -> DataFrame:
