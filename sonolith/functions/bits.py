@@ -23,10 +23,16 @@ def bits(value: Column, shift: int, width: int) -> Column:
     return F.shiftright(value.cast("long"), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def toc(byte: Column) -> Column:
-    """struct(mode, frame_ms, stereo, code) of a packet's first byte."""
+def toc(byte: Column, second: Column) -> Column:
+    """struct(mode, frame_ms, stereo, code, frames) of a packet's first two bytes.
+
+    Codes 0 to 2 stand for one or two frames; with code 3 the low six bits of the second byte count
+    them. A packet of none, or without that byte, can't be decoded: NULL.
+    """
     config = bits(byte, 3, 5)
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
     mode = F.when(config < 12, "silk").when(config < 16, "hybrid").otherwise("celt")
     ms = F.when(config < 12, pick(SILK_MS, config % 4)).when(config < 16, pick(HYBRID_MS, config % 2)).otherwise(pick(CELT_MS, config % 4))
-    return F.struct(mode.alias("mode"), ms.alias("frame_ms"), (bits(byte, 2, 1) == 1).alias("stereo"), bits(byte, 0, 2).alias("code"))
+    code = bits(byte, 0, 2)
+    frames = F.when(code == 0, F.lit(1).cast("long")).when(code < 3, F.lit(2).cast("long")).otherwise(bits(second, 0, 6))
+    return F.when(frames > 0, F.struct(mode.alias("mode"), ms.alias("frame_ms"), (bits(byte, 2, 1) == 1).alias("stereo"), code.alias("code"), frames.alias("frames")))

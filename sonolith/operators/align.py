@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .chunks import asked, blocks, frame, stretch
+from .quantiles import medians
 
 #: Taps on each side of a resampler, and the fractional positions that have taps of their own.
 HALF, PHASES = 32, 1024
@@ -45,7 +46,7 @@ def mostly_silent(frames: DataFrame, per: int, value: str = "z", most: float = 0
 
     Without a floor that is at least 1 below the median nothing is silent.
     """
-    levels = frames.agg(F.min(value).alias("low"), F.percentile(value, 0.5).alias("mid"))
+    levels = frames.agg(F.min(value).alias("low")).join(F.broadcast(medians(frames, [], value, "mid")), F.lit(True))  # a row each
     rows = frames.join(F.broadcast(levels), F.lit(True)).groupBy(F.floor(F.col("frame") / per).cast("long").alias("block"))
     rows = rows.agg(F.count_if(F.col(value) <= F.col("low") + 1e-3).alias("at_floor"), F.count("*").alias("frames"), F.bool_and(F.col("low") <= F.col("mid") - 1).alias("deep"))
     return rows.select("block", "at_floor", "frames", (F.col("deep") & (F.col("at_floor") > most * F.col("frames"))).alias("silent"))
@@ -119,28 +120,6 @@ def eroded_blocks(blocks: DataFrame, ok: str, *, key: str, order: str) -> DataFr
     return blocks.withColumn("kept", F.min(F.coalesce(F.col(ok).cast("int"), F.lit(1))).over(w) == 1)
 
 
-def theil_sen(points: DataFrame, key: str, x: str, y: str, most: int = 2048) -> DataFrame:
-    """(key, slope, intercept): median of pairwise slopes, median of what is left.
-
-    points: a few anchors a key (some thirty). Pairs are made within a key only; one with more
-    than `most` points is an error, since its pairs would grow with their square.
-    """
-    size = F.count("*").over(Window.partitionBy(key))
-    few = F.when(size <= most, True).otherwise(F.raise_error(F.lit(f"more than {most} anchors of a key")).cast("boolean"))
-    points = points.withColumn("_few", few).where("_few").drop("_few")
-    a, b = points.select(key, F.col(x).alias("x1"), F.col(y).alias("y1")), points.select(key, F.col(x).alias("x2"), F.col(y).alias("y2"))
-    slopes = a.join(b, key).where("x1 < x2").groupBy(key).agg(F.percentile((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")), 0.5).alias("slope"))
-    rest = points.join(slopes, key).groupBy(key, "slope").agg(F.percentile(F.col(y) - F.col("slope") * F.col(x), 0.5).alias("intercept"))
-    return rest.select(key, "slope", "intercept")
-
-
-def mad(points: DataFrame, fit: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, mad, points): median absolute deviation of residuals from their median."""
-    rows = points.join(fit, key).withColumn("r", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
-    centre = rows.groupBy(key).agg(F.percentile("r", 0.5).alias("c"))
-    return rows.join(centre, key).groupBy(key).agg(F.percentile(F.abs(F.col("r") - F.col("c")), 0.5).alias("mad"), F.count("*").alias("points"))
-
-
 def line_fit(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """(key, slope, intercept, max_residual) by least squares."""
     fit = points.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def blocks(series: DataFrame, size: int, *, key: str = "track", pos: str = "pos", value: str = "x") -> DataFrame:
-    """(track, block, start, x) of samples (key, pos, value), which have no gaps."""
+    """(track, block, start, x) of samples (key, pos, value); a gap, or a position twice, within a block is an error."""
     rows = series.select(F.col(key).alias("track"), F.floor(F.col(pos) / size).cast("long").alias("block"), F.struct(F.col(pos).cast("long").alias("p"), F.col(value).cast("double").alias("v")).alias("s"))
-    return rows.groupBy("track", "block").agg(F.min("s.p").alias("start"), F.transform(F.sort_array(F.collect_list("s")), lambda s: s["v"]).alias("x"))
+    held = rows.groupBy("track", "block").agg(F.min("s.p").alias("start"), F.max("s.p").alias("last"), F.sort_array(F.collect_list("s")).alias("s"))
+    whole = F.col("last") - F.col("start") + 1 == F.size("s")
+    x = F.when(whole, F.transform("s", lambda s: s["v"])).otherwise(F.raise_error(F.concat(F.lit("samples are missing, or there twice, from "), F.col("start"))).cast("array<double>"))
+    return held.select("track", "block", "start", x.alias("x"))
 
 
 def lengths(parts: DataFrame) -> DataFrame:

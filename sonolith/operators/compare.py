@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import align
+from . import align, robust
 from .chunks import asked as _asked
 from .chunks import blocks, frame, lengths, stretch
 from .shared import written
@@ -170,7 +170,7 @@ def anchors(ref: DataFrame, test: DataFrame, speeds: list[float], *, size: int,
     return sides.groupBy(*keys).applyInPandas(probe, f"track {kind}, speed double, position_s double, lag_s double, r double, psr double, ambiguity double")
 
 
-def drift(found: DataFrame, most: int = 64) -> DataFrame:
+def drift(found: DataFrame) -> DataFrame:
     """(track, status, speed, label, slope, offset_s, anchors, residual_ms, periodic) of `anchors`.
 
     Of the speeds with enough anchors the one with the largest median correlation is taken; what
@@ -182,8 +182,8 @@ def drift(found: DataFrame, most: int = 64) -> DataFrame:
     periodic = groups.where((F.col("speed") == 1.0) & (F.col("m") >= MIN_PERIODIC) & (F.col("ambiguity") > MAX_AMBIGUITY)).select("track", F.lit(True).alias("periodic"))
     best = groups.where(F.col("m") >= MIN_ANCHORS).groupBy("track").agg(F.max_by(F.struct("speed", "m"), F.struct("score", -F.abs(F.col("speed") - 1))).alias("b")).select("track", "b.speed", F.col("b.m").alias("anchors"))
     points = found.join(best.select("track", "speed"), ["track", "speed"]).select("track", "position_s", "lag_s")
-    line = align.theil_sen(points, "track", "position_s", "lag_s", most=most)
-    spread = align.mad(points, line, "track", "position_s", "lag_s").select("track", (F.col("mad") * 1000).alias("residual_ms"))
+    line = robust.theil_sen(points, "track", "position_s", "lag_s")
+    spread = robust.mad(points, line, "track", "position_s", "lag_s").select("track", (F.col("mad") * 1000).alias("residual_ms"))
     rows = found.select("track").distinct().join(best, "track", "left").join(line, "track", "left").join(spread, "track", "left").join(periodic, "track", "left")
     ratio = F.col("speed") / (1 - F.col("slope"))
     known, label = align.snap(ratio)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import medians
+
 DASH = "–"
 #: Rates of the standard quality ladder in kbps; fixed values.
 LADDER_KBPS = (96, 128, 160, 192, 256)
@@ -120,4 +122,6 @@ def rejudge_rate(rate: Column, frames: Column, cutoff_hz: Column, source_rate: C
 
 def calibration(rows: DataFrame, label: str, value: str, decided: Column) -> DataFrame:
     """(label, least, median, most, rows, decided): how a measure falls out in each class."""
-    return rows.groupBy(label).agg(F.min(value).alias("least"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("most"), F.count("*").alias("rows"), F.count_if(decided).alias("decided"))
+    counts = rows.groupBy(label).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("rows"), F.count_if(decided).alias("decided"))
+    middle = medians(rows, [label], value).withColumnRenamed(label, "_label")
+    return counts.join(middle, F.col(label).eqNullSafe(F.col("_label")), "left").select(label, "least", "median", "most", "rows", "decided")

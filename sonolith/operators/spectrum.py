@@ -98,7 +98,7 @@ def band_stats(cross: DataFrame, bands: DataFrame, gains: DataFrame, key: str =
     """
     inside = (F.col("bin") >= F.col("lo")) & (F.col("bin") < F.col("hi"))
     coherent = F.when(F.col("saa") > 0, (F.col("sab_re") ** 2 + F.col("sab_im") ** 2) / F.col("saa")).otherwise(0.0)
-    rows = cross.join(F.broadcast(bands), inside).join(F.broadcast(gains), key)
+    rows = cross.join(F.broadcast(bands), inside).join(gains, key)
     per = rows.withColumn("raw", F.greatest(F.col("sbb") - coherent, F.lit(0.0))).groupBy(key, "band").agg(
         F.max("frames").alias("k"), F.sum("raw").alias("raw"), F.sum("sbb").alias("total"), F.sum("saa").alias("saa"), F.sum("sab_re").alias("sab_re"), F.first("gain").alias("g"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
-from ..operators import align, spectrum
+from ..operators import align, robust, spectrum
 from . import roles
 from .roles import r6
 
@@ -68,12 +68,12 @@ f AS (SELECT ch, slope, median(y - slope * x) AS intercept FROM a JOIN sl USING
 
 
 def theil_sen_by_type(spark, d):
-    return align.theil_sen(_anchors(spark, d), "ch", "x", "y").select("ch", n.r6(F.col("slope")).alias("slope"), n.r6(F.col("intercept")).alias("intercept"))
+    return robust.theil_sen(_anchors(spark, d), "ch", "x", "y").select("ch", n.r6(F.col("slope")).alias("slope"), n.r6(F.col("intercept")).alias("intercept"))
 
 
 def mad_residual_status(spark, d):
     p = _anchors(spark, d)
-    m = align.mad(p, align.theil_sen(p, "ch", "x", "y"), "ch", "x", "y")
+    m = robust.mad(p, robust.theil_sen(p, "ch", "x", "y"), "ch", "x", "y")
     return m.select("ch", "points", n.r6(F.col("mad")).alias("mad"), F.when(F.col("points") < 12, "few").when(F.col("mad") > 20, "unreliable").otherwise("ok").alias("status"))
 
 
@@ -107,7 +107,7 @@ def anchor_drift(spark, d):
     k, key = F.col("p_partkey"), F.floor(F.col("p_partkey") / 40).cast("long").alias("track")
     a = roles.table(spark, d, "part").select(key, (k * 2.0).alias("x"), (0.5 - 0.0002 * (k * 2.0) + F.when(k % 7 == 3, 3.0).otherwise(0.0)).alias("y"))
     enough = a.groupBy("track").agg(F.count("*").alias("m")).where("m >= 12").select("track")
-    f = align.theil_sen(a.join(enough, "track"), "track", "x", "y")
+    f = robust.theil_sen(a.join(enough, "track"), "track", "x", "y")
     return f.select("track", n.r6((-F.col("slope")) * 1e6).alias("ppm"), n.r6(1 - F.col("slope")).alias("ratio"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
 from ..operators.shared import shared_dir
-from ..sources import ranges
+from ..sources import containers, ranges
 from . import roles
 from .roles import r6
 
@@ -43,10 +44,41 @@ def wav_mono_energy(spark, d):
     return rows.select(_file(), "block_no", F.size("pcm").cast("long").alias("frames"), "bytes", n.r6(energy).alias("energy"))
 
 
-QUERIES = {f.__name__: f for f in (wav_window, wav_mono_energy)}
+_STREAM = 100  # orders a file
+
+
+def _stream(orders: list[int]) -> bytes:
+    """A page for each order; after every seventeenth number something that looks like a page and is none."""
+    out = []
+    for k, order in enumerate(orders):
+        out.append(containers.ogg_page(bytes([order % 251]) * (order % 700), serial=order // _STREAM, sequence=k, granule=order * 960))
+        if order % 17 == 0:
+            out.append(b"-OggS\0" + bytes(21) + b"\2\xff\xff" if order % 2 else b"-OggS, not a page")
+    return b"".join(out)
+
+
+def ogg_pages(spark, d):
+    """Pages parsed from streams of bytes that are built from the orders, with false pages between them."""
+    o = roles.table(spark, d, "orders").select(F.expr(f"o_orderkey div {_STREAM}").alias("file"), F.col("o_orderkey").alias("k")).distinct()
+    lists = o.groupBy("file").agg(F.sort_array(F.collect_list("k")).alias("ks"))  # a hundred a file at most
+
+    def built(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["file"], pa.array([_stream(ks) for ks in batch["ks"].to_pylist()], pa.binary())], names=["file", "content"])
+
+    pages = containers.read_ogg_pages(lists.mapInArrow(built, "file long, content binary"), "file")
+    size = F.aggregate("lacing", F.lit(0).cast("long"), lambda s, x: s + x)
+    return pages.select(F.col("path").cast("long").alias("file"), "sequence", "offset", "serial", "granule", size.alias("bytes"), F.size("lacing").cast("long").alias("parts"), "crc_ok")
+
+
+QUERIES = {f.__name__: f for f in (wav_window, wav_mono_energy, ogg_pages)}
 
 _SAMPLES = f"s AS (SELECT event_id // {_FRAMES} AS file, event_id % {_FRAMES} AS pos, floor(value * 64) / 32768 AS l, (event_id * 7919 % 65536 - 32768) / 32768 AS r FROM events)"
 SQL = {
     "wav_window": f"WITH {_SAMPLES} SELECT file, pos, {r6('l')} AS left, {r6('r')} AS right FROM s WHERE pos BETWEEN 1000 AND 2999",
+    "ogg_pages": f"""WITH o AS (SELECT DISTINCT o_orderkey // {_STREAM} AS file, o_orderkey AS k FROM orders),
+        p AS (SELECT *, row_number() OVER w - 1 AS sequence, 27 + k % 700 // 255 + 1 + k % 700 AS size, CASE WHEN k % 17 <> 0 THEN 0 WHEN k % 2 = 1 THEN 30 ELSE 17 END AS junk, lag(k) OVER w AS before FROM o WINDOW w AS (PARTITION BY file ORDER BY k))
+        SELECT file, sequence, coalesce(sum(size + junk) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", file AS serial, k * 960 AS granule, k % 700 AS bytes, k % 700 // 255 + 1 AS parts,
+               CASE WHEN sequence < 16 OR sequence % 64 = 0 OR before % 17 = 0 THEN true END AS crc_ok FROM p""",
     "wav_mono_energy": f"WITH {_SAMPLES} SELECT file, pos // 500 - 3 AS block_no, count(*) AS frames, 4 * count(*) AS bytes, {r6('sum(pow((l + r) / 2, 2))')} AS energy FROM s WHERE pos >= 1500 GROUP BY 1, 2",
 }

@@ -192,10 +192,11 @@ def packet_reassembly(spark, d):
 
 
 def toc_histogram(spark, d):
-    e = roles.table(spark, d, "events").select((F.get_json_object("props", "$.k").cast("long") * 5 % 256).alias("byte"), "event_id")
-    t = e.select("event_id", bits.toc(F.col("byte")).alias("t")).select("event_id", "t.*")
-    frames = F.when(F.col("code") == 0, 1).otherwise(2)
-    return t.groupBy("mode", "frame_ms", "stereo").agg(F.count("*").alias("packets"), F.sum(frames).cast("long").alias("frames"), n.r6(F.sum(frames * F.col("frame_ms"))).alias("ms"), F.min("event_id").alias("first_seen"))
+    """Packets by kind; every fifth second byte is missing, and packets that can't be decoded are a kind of their own."""
+    second = F.when(F.col("event_id") % 5 != 0, F.col("event_id") * 37 % 256)
+    e = roles.table(spark, d, "events").select((F.get_json_object("props", "$.k").cast("long") * 5 % 256).alias("byte"), second.alias("second"), "event_id")
+    t = e.select("event_id", bits.toc(F.col("byte"), F.col("second")).alias("t")).select("event_id", "t.*")
+    return t.groupBy("mode", "frame_ms", "stereo").agg(F.count("*").alias("packets"), F.sum("frames").alias("frames"), n.r6(F.sum(F.col("frames") * F.col("frame_ms"))).alias("ms"), F.min("event_id").alias("first_seen"))
 
 
 def synchsafe_and_bitunpack(spark, d):
@@ -293,8 +294,10 @@ SQL = {
     "packet_reassembly": """WITH s AS (SELECT user_id, event_id, CASE WHEN json_extract(props, '$.k')::BIGINT < 40 THEN 255 ELSE json_extract(props, '$.k')::BIGINT END AS v FROM events),
         p AS (SELECT *, coalesce(sum((v < 255)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS packet FROM s)
         SELECT user_id, packet, sum(v)::BIGINT AS bytes, count(*) AS segments, bool_or(v < 255) AS complete FROM p GROUP BY 1, 2""",
-    "toc_histogram": f"""WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT * 5 % 256 AS b FROM events), c AS (SELECT event_id, b >> 3 AS c, (b >> 2) & 1 = 1 AS stereo, CASE WHEN b & 3 = 0 THEN 1 ELSE 2 END AS frames FROM e),
-        t AS (SELECT *, CASE WHEN c < 12 THEN 'silk' WHEN c < 16 THEN 'hybrid' ELSE 'celt' END AS mode, (CASE WHEN c < 12 THEN [10.0, 20.0, 40.0, 60.0][c % 4 + 1] WHEN c < 16 THEN [10.0, 20.0][c % 2 + 1] ELSE [2.5, 5.0, 10.0, 20.0][c % 4 + 1] END)::DOUBLE AS frame_ms FROM c)
+    "toc_histogram": f"""WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT * 5 % 256 AS b FROM events),
+        g AS (SELECT event_id, b, nullif(CASE b & 3 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 ELSE CASE WHEN event_id % 5 <> 0 THEN (event_id * 37 % 256) & 63 END END, 0) AS frames FROM e),
+        c AS (SELECT event_id, frames, CASE WHEN frames > 0 THEN b >> 3 END AS c, CASE WHEN frames > 0 THEN (b >> 2) & 1 = 1 END AS stereo FROM g),
+        t AS (SELECT *, CASE WHEN c IS NULL THEN NULL WHEN c < 12 THEN 'silk' WHEN c < 16 THEN 'hybrid' ELSE 'celt' END AS mode, (CASE WHEN c IS NULL THEN NULL WHEN c < 12 THEN [10.0, 20.0, 40.0, 60.0][c % 4 + 1] WHEN c < 16 THEN [10.0, 20.0][c % 2 + 1] ELSE [2.5, 5.0, 10.0, 20.0][c % 4 + 1] END)::DOUBLE AS frame_ms FROM c)
         SELECT mode, frame_ms, stereo, count(*) AS packets, sum(frames)::BIGINT AS frames, {r6("sum(frames * frame_ms)")} AS ms, min(event_id) AS first_seen FROM t GROUP BY mode, frame_ms, stereo""",
     "synchsafe_and_bitunpack": "WITH k AS (SELECT DISTINCT o_orderkey, o_orderkey * 977 % 268435456 AS k FROM orders) SELECT o_orderkey, k AS value, (k >> 21) || '.' || ((k >> 14) & 127) || '.' || ((k >> 7) & 127) || '.' || (k & 127) AS coded, (k >> 12) & 65535 AS field FROM k",
     "rate_choice": "SELECT p_partkey, p_size::BIGINT * 1000 AS source, coalesce(list_min(list_filter([8000, 12000, 16000, 24000, 48000]::BIGINT[], lambda r: r >= p_size::BIGINT * 1000)), 48000) AS rate FROM part",

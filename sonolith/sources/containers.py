@@ -8,8 +8,8 @@ DataFrame operations on what comes out.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,47 +19,53 @@ EXTENSIONS = ("flac", "wav", "wave", "w64", "aif", "aiff", "aifc", "m4a", "alac"
 _SYNC_WINDOW = 1 << 20
 
 
-@cache
-def _crc_table() -> list[int]:
-    """Table of the unreflected CRC-32 with polynomial 0x04C11DB7."""
-    table = []
-    for byte in range(256):
-        crc = byte << 24
-        for _ in range(8):
-            crc = (crc << 1) ^ (0x04C11DB7 if crc & 0x80000000 else 0)
-        table.append(crc & 0xFFFFFFFF)
-    return table
+#: Bytes with their bits in reverse.
+_REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
 def ogg_crc(page: bytes) -> int:
-    """Checksum of a page whose own checksum field counts as zero."""
-    table, crc = _crc_table(), 0
-    for byte in page[:22] + bytes(4) + page[26:]:
-        crc = ((crc << 8) & 0xFFFFFFFF) ^ table[(crc >> 24) ^ byte]
-    return crc
+    """Checksum of a page whose own checksum field counts as zero: CRC-32 with polynomial 0x04C11DB7.
+
+    It reads bits from the other end than zlib's and starts and ends with zero; so bits are turned.
+    """
+    turned = (page[:22] + bytes(4) + page[26:]).translate(_REVERSED)
+    return int(f"{zlib.crc32(turned, 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
+
+
+def ogg_page(body: bytes, *, serial: int, sequence: int, granule: int = 0, flags: int = 0) -> bytes:
+    """A page with one whole packet of at most 65,024 bytes."""
+    lacing = bytes([255] * (len(body) // 255) + [len(body) % 255])
+    if len(lacing) > 255:
+        raise ValueError("a page holds 255 parts at most")
+    page = struct.pack("<4sBBqIIIB", b"OggS", 0, flags, granule, serial, sequence, 0, len(lacing)) + lacing + body
+    return page[:22] + struct.pack("<I", ogg_crc(page)) + page[26:]
 
 
 def ogg_pages(data: bytes, *, check_first: int = 16, check_every: int = 64) -> Iterator[dict]:
-    """Pages in order. The checksum of the first pages and of some later ones is verified; where
-    no page starts, the next one with a good checksum is sought. A cut-off page ends the scan."""
-    at, number = 0, 0
-    while (at := data.find(b"OggS", at)) >= 0:
-        if at + 27 > len(data) or data[at + 4] != 0 or at + 27 + data[at + 26] > len(data):
-            at += 4
-            continue
-        flags, granule, serial, sequence, crc, n = struct.unpack_from("<BqIIIB", data, at + 5)
-        lacing = data[at + 27 : at + 27 + n]
-        end = at + 27 + n + sum(lacing)
-        if end > len(data):
+    """Pages in order. The checksum of the first pages and of some later ones is verified.
+
+    A page that does not begin where the one before it ends is taken only if its version and its
+    checksum are right, whatever its number, since its marker may be chance; what looks like a page
+    and is none is passed by, also if it would run past the end.
+    """
+    at, number, seeking = 0, 0, False
+    while at < len(data):
+        if seeking and (at := data.find(b"OggS", at)) < 0:
             return
-        checked = number < check_first or number % check_every == 0
-        good = ogg_crc(data[at:end]) == crc if checked else None
-        if good is False and number and previous_end != at:
-            at += 4
+        head = data[at : at + 27]
+        lacing = data[at + 27 : at + 27 + head[26]] if len(head) == 27 else b""
+        body = at + 27 + len(lacing)
+        end = body + sum(lacing)
+        sound = len(head) == 27 and head[:4] == b"OggS" and len(lacing) == head[26] and end <= len(data)
+        good = None
+        if sound and (seeking or number < check_first or number % check_every == 0):
+            good = struct.unpack_from("<I", head, 22)[0] == ogg_crc(data[at:end])
+        if not sound or seeking and not (good and head[4] == 0):
+            at, seeking = at + 1, True
             continue
-        yield {"offset": at, "flags": flags, "granule": granule, "serial": serial, "sequence": sequence, "crc_ok": good, "lacing": list(lacing), "body": data[at + 27 + n : end]}
-        number += 1
-        at = previous_end = end
+        flags, granule, serial, sequence = struct.unpack_from("<BqII", head, 5)
+        yield {"offset": at, "flags": flags, "granule": granule, "serial": serial, "sequence": sequence, "crc_ok": good, "lacing": list(lacing), "body": data[body:end]}
+        at, number, seeking = end, number + 1, False
 
 
 def ogg_packets(pages: Iterator[dict]) -> Iterator[tuple[bytes, int]]:

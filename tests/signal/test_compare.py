@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sonolith.operators import align, compare, spectrum
+from sonolith.operators import align, chunks, compare, spectrum
 
 RATE, SIZE, FFT, HOP = 8000, 16_384, 512, 256
 
@@ -145,7 +145,8 @@ def test_excerpt_pairs(spark, pairs):
         assert np.std(a - b) < (0.15 if track == "noisy" else 0.01) * np.std(a)
 
 
-def test_too_many_anchors_are_an_error(spark):
-    points = spark.range(100).select(F.lit(1).alias("k"), F.col("id").alias("x"), F.col("id").alias("y"))
-    with pytest.raises(Exception, match="more than 64 anchors"):
-        align.theil_sen(points, "k", "x", "y", most=64).collect()
+def test_a_gap_in_a_block_is_an_error(spark):
+    rows = spark.range(100).where("id <> 37").selectExpr("'a' track", "id pos", "1.0 x")
+    assert chunks.blocks(rows.where("pos > 37"), 16).count() == 5
+    with pytest.raises(Exception, match="samples are missing"):
+        chunks.blocks(rows, 16).collect()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sonolith.functions import numeric as n
 from sonolith.functions import privacy
-from sonolith.operators import align, library, psycho, spectrum, trials
+from sonolith.operators import align, library, psycho, robust, spectrum, trials
 
 
 def frames_of(spark, a, b, size=256):
@@ -68,8 +68,8 @@ def test_warp_follows_a_sine(spark):
 def test_robust_line_ignores_outliers(spark):
     pts = [("k", float(i), 2 - 0.01 * i + (50 if i % 4 == 1 else 0)) for i in range(24)]
     p = spark.createDataFrame(pts, "key string, x double, y double")
-    fit = align.theil_sen(p, "key", "x", "y")
-    assert fit.first().slope == pytest.approx(-0.01) and align.mad(p, fit, "key", "x", "y").first().mad < 1e-9
+    fit = robust.theil_sen(p, "key", "x", "y")
+    assert fit.first().slope == pytest.approx(-0.01) and robust.mad(p, fit, "key", "x", "y").first().mad < 1e-9
 
 
 def test_block_gate(spark):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sonolith.functions import bits
 from sonolith.sources import containers as c
 from sonolith.sources import sinks, wav
 
@@ -57,6 +58,43 @@ def test_packets_over_pages_and_damage():
     assert list(c.ogg_pages(page(b"aaaa", [4])[:-1])) == []
 
 
+def test_resynchronisation():
+    """After a gap a page counts only with a good checksum, whatever its number; a false header past the end stops nothing."""
+    pages = [c.ogg_page(b"x" * (k * 13 % 300), serial=1, sequence=k) for k in range(24)]
+    false = b"OggS\0" + bytes(17) + struct.pack("<IB", 12345, 1) + b"\3abc"
+    past = b"OggS\0" + bytes(17) + struct.pack("<IB", 12345, 255) + b"\xff" * 255
+    for junk in (b"garbage" + false, past, b"OggS", b"OggS" + past):
+        found = list(c.ogg_pages(b"".join(pages[:20]) + junk + b"".join(pages[20:])))
+        assert [p["sequence"] for p in found] == list(range(24)), junk
+        assert [p["crc_ok"] for p in found] == [True] * 16 + [None] * 4 + [True] + [None] * 3
+    damaged = bytearray(b"".join(pages[:3]))
+    damaged[len(pages[0]) + 30] ^= 1
+    assert [p["crc_ok"] for p in c.ogg_pages(bytes(damaged))] == [True, False, True]
+    assert list(c.ogg_pages(false)) != [] and list(c.ogg_pages(b"x" + false)) == [] and list(c.ogg_pages(b"")) == []
+
+
+def test_fast_checksum():
+    def slow(page):
+        crc = 0
+        for byte in page[:22] + bytes(4) + page[26:]:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1) ^ (0x104C11DB7 if crc & 0x80000000 else 0)
+        return crc
+
+    for n in (27, 28, 100, 1000):
+        page = bytes(k * k % 251 for k in range(n))
+        assert c.ogg_crc(page) == slow(page)
+
+
+def test_toc_of_any_number_of_frames(spark):
+    packets = [(byte, second) for byte in range(256) for second in (None, 0, 1, 48, 64 + 3)]
+    rows = spark.createDataFrame(packets, "b int, s int").select("b", "s", bits.toc(F.col("b"), F.col("s")).alias("t")).collect()
+    for r in rows:
+        want = c.opus_toc(bytes([r.b] if r.s is None else [r.b, r.s]))
+        assert (r.t and (r.t.mode, r.t.frame_ms, r.t.stereo, r.t.frames)) == want
+
+
 def test_vorbis(spark):
     head = b"\1vorbis" + struct.pack("<IBiiiB", 0, 2, 44100, 0, -1, 0) + b"\xb8\1"
     head = b"\1vorbis" + struct.pack("<I", 0) + struct.pack("<BiiiiB", 2, 44100, 0, 128000, -1, 0xB8) + b"\1"
