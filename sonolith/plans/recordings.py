@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import numeric as n
+from ..operators import chunks, rates
 from ..operators.shared import shared_dir
 from ..sources import containers, ranges
 from . import roles
@@ -71,10 +72,23 @@ def ogg_pages(spark, d):
     return pages.select(F.col("path").cast("long").alias("file"), "sequence", "offset", "serial", "granule", size.alias("bytes"), F.size("lacing").cast("long").alias("parts"), "crc_ok")
 
 
-QUERIES = {f.__name__: f for f in (wav_window, wav_mono_energy, ogg_pages)}
+def resampled_envelope(spark, d):
+    """Envelopes of stretches of 4,096 events at a sixth of their rate, from blocks to blocks to sums."""
+    e = roles.table(spark, d, "events").select(F.expr(f"event_id div {_FRAMES}").alias("file"), (F.col("event_id") % _FRAMES).alias("at"), "value")
+    slow = rates.resampled(chunks.blocks(e, 1024, key="file", pos="at", value="value"), 1, 6, 1024, 256, slope=_SLOPE)
+    return rates.envelope(slow, 32, 16).select(F.col("track").alias("file"), "frame", n.r6(F.col("e")).alias("energy"))
+
+
+_SLOPE = 0.25
+QUERIES = {f.__name__: f for f in (resampled_envelope, wav_window, wav_mono_energy, ogg_pages)}
 
 _SAMPLES = f"s AS (SELECT event_id // {_FRAMES} AS file, event_id % {_FRAMES} AS pos, floor(value * 64) / 32768 AS l, (event_id * 7919 % 65536 - 32768) / 32768 AS r FROM events)"
+_TAPS = rates.low_pass(1, 6, _SLOPE).tolist()
 SQL = {
+    "resampled_envelope": f"""WITH h AS (SELECT unnest(range({len(_TAPS)})) - {len(_TAPS) // 2} AS m, unnest([{", ".join(f"{t!r}::DOUBLE" for t in _TAPS)}]) AS h), e AS (SELECT event_id // {_FRAMES} AS file, event_id % {_FRAMES} AS pos, value FROM events),
+        y AS (SELECT file, (pos + m) // 6 AS p, sum(h * value) AS y FROM e, h WHERE (pos + m) % 6 = 0 AND pos + m >= 0 GROUP BY ALL),
+        z AS (SELECT * FROM y JOIN (SELECT file, (max(pos) + 6) // 6 AS n FROM e GROUP BY file) USING (file) WHERE p < n)
+        SELECT file, f AS frame, {r6("avg(y * y)")} AS energy FROM z, LATERAL (SELECT unnest(range(greatest(0, (p - 31 + 15) // 16), p // 16 + 1)) AS f) GROUP BY file, f HAVING count(*) = 32""",
     "wav_window": f"WITH {_SAMPLES} SELECT file, pos, {r6('l')} AS left, {r6('r')} AS right FROM s WHERE pos BETWEEN 1000 AND 2999",
     "ogg_pages": f"""WITH o AS (SELECT DISTINCT o_orderkey // {_STREAM} AS file, o_orderkey AS k FROM orders),
         p AS (SELECT *, row_number() OVER w - 1 AS sequence, 27 + k % 700 // 255 + 1 + k % 700 AS size, CASE WHEN k % 17 <> 0 THEN 0 WHEN k % 2 = 1 THEN 30 ELSE 17 END AS junk, lag(k) OVER w AS before FROM o WINDOW w AS (PARTITION BY file ORDER BY k))

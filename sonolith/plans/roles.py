@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,17 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(track, t, vec_id, a, b): embeddings as reference frames, and a noisy copy as test frames."""
+    """(track, t, vec_id, a, b): embeddings as reference frames, and a noisy copy as test frames; the number is the time."""
     e = table(spark, sf_dir, "embeddings")
-    t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     noisy = F.transform("a", lambda x, i: 0.8 * x + 0.01 * (((F.col("vec_id") * 31 + i * 17) % 23) - 11))
-    rows = e.select(F.col("label").cast("long").alias("track"), t.cast("long").alias("t"), "vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    rows = e.select(F.col("label").cast("long").alias("track"), F.col("vec_id").alias("t"), "vec_id", F.col("embedding").cast("array<double>").alias("a"))
     return rows.withColumn("b", noisy)
 
 
 #: The same in SQL, down to one-sided spectra of 33 bins.
 FRAMES_SQL = """
-fr AS (SELECT label::BIGINT AS track, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, vec_id, embedding FROM embeddings),
+fr AS (SELECT label::BIGINT AS track, vec_id AS t, vec_id, embedding FROM embeddings),
 s AS (SELECT track, t, i, embedding[i + 1]::DOUBLE AS a, 0.8::DOUBLE * embedding[i + 1]::DOUBLE + 0.01::DOUBLE * (((vec_id * 31 + i * 17) % 23) - 11) AS b
       FROM fr, (SELECT unnest(range(64)) AS i)),
 sp AS (SELECT track, t, f AS bin, sum(a * cos(2 * pi() * f * i / 64)) AS are, -sum(a * sin(2 * pi() * f * i / 64)) AS aim,
