@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, metadata, recordings, records, rules, spectral, streams
+from . import alignment, evidences, metadata, recordings, records, rules, spectral, streams
 
-_PARTS = (spectral, alignment, records, rules, metadata, streams, recordings)
+_PARTS = (spectral, alignment, records, rules, metadata, streams, recordings, evidences)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}

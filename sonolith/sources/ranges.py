@@ -108,7 +108,8 @@ class PcmReader(DataSourceReader):
     """Blocks of frames of all WAV files below a path.
 
     Options: `path` (a file or a folder, read with its subfolders), `block` (frames a row),
-    `start_s` and `duration_s` (a window of each file, also as `first` and `count` in frames), `mono`
+    `start_s` and `duration_s` (a window of each file, also as `first` and `count` in frames, and `at`
+    as a share of its length from which on it starts), `mono`
     (channels averaged), `split_bytes` (bytes a task), `paths` (a JSON list of the paths to read, of
     those below `path`). What these leave out is never opened, or never read. They are options and not
     filters that Spark hands down, since Spark 4.1 keeps the narrowed partitions for every other plan
@@ -120,14 +121,15 @@ class PcmReader(DataSourceReader):
         self.block, self.split = int(options.get("block", 1 << 16)), int(options.get("split_bytes", 64 << 20))
         self.start_s, self.first = float(options.get("start_s", 0)), int(options.get("first", 0))
         self.duration_s, self.count = (None if options.get(k) is None else kind(options[k]) for k, kind in (("duration_s", float), ("count", int)))
+        self.at = float(options.get("at", 0))
         self.mono = str(options.get("mono", "false")).lower() == "true"
-        if self.block < 1 or min(self.start_s, self.first, self.duration_s or 0, self.count or 0) < 0:
+        if self.block < 1 or min(self.start_s, self.first, self.at, self.duration_s or 0, self.count or 0) < 0:
             raise ValueError("a window does not start before its file, and nothing is of negative length")
         self.paths = set(json.loads(options["paths"])) if "paths" in options else None
 
     def window(self, form: Layout) -> tuple[int, int]:
         """First and end frame that the options ask for."""
-        first = min(form.frames, max(self.first, int(self.start_s * form.rate)))
+        first = min(form.frames, max(self.first, int(self.start_s * form.rate), int(self.at * form.frames)))
         ends = [form.frames, *(first + n for n in (None if self.duration_s is None else int(self.duration_s * form.rate), self.count) if n is not None)]
         return first, min(ends)
 
@@ -139,7 +141,7 @@ class PcmReader(DataSourceReader):
             raise FileNotFoundError(self.root)
         found = sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.base_name[0] not in "._" and (self.paths is None or f.path in self.paths))
         spans = [(path, size, 0, size) for path, size in found]
-        if self.start_s or self.first or self.duration_s is not None or self.count is not None:
+        if self.start_s or self.first or self.at or self.duration_s is not None or self.count is not None:
 
             def narrowed(span: tuple[str, int, int, int]) -> tuple[str, int, int, int]:
                 path, size, _, _ = span
