@@ -35,11 +35,13 @@ def envelope_stream(spark, d):
 
 
 def gate_stream(spark, d):
-    """Events by type, kept where they and their neighbours in time are not among the largest values."""
-    ends = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("ch")).agg(F.max("event_id").alias("end"))  # a row for each type
-    s = _events(spark, d).select(F.col("event_type").alias("ch"), F.col("event_id").alias("block"), (F.col("value") < 60).alias("ok")).join(F.broadcast(ends), "ch")
-    s = s.select("ch", "block", "ok", (F.col("block") == F.col("end")).alias("last"))
-    return _drained(spark, frames.gate(s, key="ch", block="block", ok="ok", last="last"))
+    """Each thousand events as a track of blocks, kept where they and their neighbours are not among the largest values.
+
+    The last block of a track that is not full yet waits for its successor.
+    """
+    at = F.col("event_id") % 1000
+    s = _events(spark, d).select(F.floor(F.col("event_id") / 1000).cast("long").alias("segment"), at.alias("block"), (F.col("value") < 60).alias("ok"), (at == 999).alias("last"))
+    return _drained(spark, frames.gate(s, key="segment", block="block", ok="ok", last="last", per=256))
 
 
 QUERIES = {f.__name__: f for f in (stft_stream, envelope_stream, gate_stream)}
@@ -47,5 +49,6 @@ SQL = {
     "stft_stream": _BATCH["hann_frames_energy"],
     "envelope_stream": f"""WITH s AS (SELECT event_id // 1000 AS segment, event_id % 1000 AS pos, value FROM events)
         SELECT segment, t, {r6("avg(value * value)")} AS energy FROM s, (SELECT unnest(range(100)) AS t) WHERE pos BETWEEN t * 10 AND t * 10 + 19 GROUP BY 1, 2 HAVING count(*) = 20""",
-    "gate_stream": """SELECT event_type AS ch, event_id AS block, min((value < 60)::INT) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS kept FROM events""",
+    "gate_stream": """SELECT segment, block, kept FROM (SELECT event_id // 1000 AS segment, event_id % 1000 AS block, min((value < 60)::INT) OVER w = 1 AS kept, lead(event_id) OVER w IS NULL AND event_id % 1000 < 999 AS waits
+        FROM events WINDOW w AS (PARTITION BY event_id // 1000 ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) WHERE NOT waits""",
 }

@@ -58,31 +58,47 @@ def envelope(stream: DataFrame, size: int, hop: int, *, key: str = "track", pos:
     return _whole_frames(stream, size, hop, np.full(size, size**-0.5), key, pos, value, per)
 
 
-def gate(stream: DataFrame, *, key: str, block: str, ok: str, last: str) -> DataFrame:
-    """(key, block, kept): a block stays if it and its neighbours are aligned.
-
-    A decision waits for the next block. `last` marks the final row of a key, which has no
-    successor: a stream has no end of its own, so the source says it.
+def gate(stream: DataFrame, *, key: str, block: str, ok: str, last: str, per: int = 4096) -> DataFrame:
+    """(key, block, kept): a block stays if it and its neighbours are aligned; one whose `ok` is null counts as aligned.
+
+    Blocks are numbered from 0 without gaps and may come in any order, within a trigger and between
+    triggers. A decision waits for both neighbours; `last` marks the final block of a key, which has
+    no successor: a stream has no end of its own, so the source says it, and until then the last
+    block is undecided. The state is keyed by runs of `per` blocks, and holds of a run only what
+    undecided blocks need.
     """
+    number = F.col(block).cast("long")
+    runs = F.sequence(F.floor(F.greatest(number - 1, F.lit(0)) / per).cast("long"), F.floor((number + 1) / per).cast("long"))
+    dealt = stream.where(number >= 0).select(F.col(key), number.alias("b"), F.coalesce(F.col(ok), F.lit(True)).alias("good"), F.coalesce(F.col(last), F.lit(False)).alias("end"), F.explode(runs).alias("run"))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, held, held_ok = state.get if state.exists else (True, None, True)
-        out = []
-        for r in pd.concat(batches).sort_values(block).itertuples(index=False):
-            b, good = int(getattr(r, block)), getattr(r, ok)
-            good = True if pd.isna(good) else bool(good)
-            if held is not None:
-                out.append((k[0], held, bool(before and held_ok and good)))
-                before = held_ok
-            held, held_ok = b, good
-            if getattr(r, last):
-                out.append((k[0], held, bool(before and held_ok)))
-                before, held, held_ok = True, None, True
-        state.update((bool(before), held, bool(held_ok)))
-        yield pd.DataFrame(out, columns=[key, block, "kept"])
+        origin = k[1] * per - 1
+        known = np.full(per + 2, -1, np.int8)  # not there yet, not aligned, aligned
+        done = np.zeros(per, bool)
+        if state.exists:
+            at, held, decided = state.get
+            known[np.asarray(at, np.int64)] = held
+            done[np.asarray(decided, np.int64)] = True
+        if k[1] == 0:
+            known[0] = 1
+        for batch in batches:
+            place, good, end = batch["b"].to_numpy() - origin, batch["good"].to_numpy().astype(np.int8), batch["end"].to_numpy().astype(bool)
+            inside = (place >= 0) & (place < per + 2)
+            known[place[inside]] = good[inside]
+            after = place[end] + 1
+            known[after[(after >= 0) & (after < per + 2)]] = 1
+        near = np.lib.stride_tricks.sliding_window_view(known, 3)
+        ready = (near >= 0).all(1) & ~done
+        done |= ready
+        wanted = np.zeros(per + 2, bool)
+        for shift in range(3):
+            wanted[shift : shift + per] |= ~done
+        keep = np.flatnonzero(wanted & (known >= 0))
+        state.update((keep.tolist(), known[keep].tolist(), np.flatnonzero(done).tolist()))
+        yield pd.DataFrame({key: pd.Series([k[0]] * int(ready.sum()), dtype=object), block: k[1] * per + np.flatnonzero(ready), "kept": near[ready].min(axis=1) > 0 if ready.any() else np.zeros(0, bool)})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {block} long, kept boolean", "before boolean, held long, held_ok boolean", "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy(key, "run").applyInPandasWithState(step, f"{key} {kind}, {block} long, kept boolean", "at array<long>, held array<long>, decided array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
