@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as n
 from ..operators import chunks, rates
 from ..operators.shared import shared_dir
-from ..sources import containers, ranges
+from ..sources import cache, containers, ranges
 from . import roles
 from .roles import r6
 
@@ -79,8 +79,22 @@ def resampled_envelope(spark, d):
     return rates.envelope(slow, 32, 16).select(F.col("track").alias("file"), "frame", n.r6(F.col("e")).alias("energy"))
 
 
+def cache_documents(spark, d):
+    """A cache of two documents in three, some of them damaged, is read, gets one in five anew, and is read again."""
+    t = roles.table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id")).alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 1_000_003 + 1).alias("mtime_ns"), F.lit("r1").alias("rules"), F.lit("old").alias("bucket"), F.lit(1).cast("long").alias("seen"))
+    old, k = t.where("k % 3 <> 0"), F.col("k")
+    rules = F.when(k % 17 == 0, F.lit("r0")).otherwise(F.col("rules"))
+    texts = old.withColumn("rules", rules).select("k", F.struct(F.lit(1).alias("format"), *cache.FIELDS).alias("s")).select("k", F.to_json("s").alias("value"))
+    value = F.when(k % 7 == 0, F.expr("left(value, 30)")).when(k % 11 == 0, F.regexp_replace("value", r'"size":(\d+)', '"size":"$1"')).when(k % 13 == 0, F.regexp_replace("value", '"format":1', '"format":2')).otherwise(F.col("value"))
+    folder = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    cache.publish(texts.select(value.alias("value")), folder)
+    cache.update(spark, folder, t.where("k % 5 = 0").withColumns({"bucket": F.lit("new"), "seen": F.lit(2).cast("long")}), "r1")
+    cache.update(spark, folder, t.where("k < 0"), "r1")
+    return cache.read(spark, folder, "r1").withColumn("versions", F.lit(len(cache.pointers(folder))).cast("long"))
+
+
 _SLOPE = 0.25
-QUERIES = {f.__name__: f for f in (resampled_envelope, wav_window, wav_mono_energy, ogg_pages)}
+QUERIES = {f.__name__: f for f in (resampled_envelope, cache_documents, wav_window, wav_mono_energy, ogg_pages)}
 
 _SAMPLES = f"s AS (SELECT event_id // {_FRAMES} AS file, event_id % {_FRAMES} AS pos, floor(value * 64) / 32768 AS l, (event_id * 7919 % 65536 - 32768) / 32768 AS r FROM events)"
 _TAPS = rates.low_pass(1, 6, _SLOPE).tolist()
@@ -89,6 +103,9 @@ SQL = {
         y AS (SELECT file, (pos + m) // 6 AS p, sum(h * value) AS y FROM e, h WHERE (pos + m) % 6 = 0 AND pos + m >= 0 GROUP BY ALL),
         z AS (SELECT * FROM y JOIN (SELECT file, (max(pos) + 6) // 6 AS n FROM e GROUP BY file) USING (file) WHERE p < n)
         SELECT file, f AS frame, {r6("avg(y * y)")} AS energy FROM z, LATERAL (SELECT unnest(range(greatest(0, (p - 31 + 15) // 16), p // 16 + 1)) AS f) GROUP BY file, f HAVING count(*) = 32""",
+    "cache_documents": """WITH t AS (SELECT doc_id AS k, '/' || source || '/' || doc_id AS path, n_chars AS size, doc_id * 1000003 + 1 AS mtime_ns FROM documents)
+        SELECT path, size, mtime_ns, 'r1' AS rules, CASE WHEN k % 5 = 0 THEN 'new' ELSE 'old' END AS bucket, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS seen, 2::BIGINT AS versions
+        FROM t WHERE k % 5 = 0 OR (k % 3 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0)""",
     "wav_window": f"WITH {_SAMPLES} SELECT file, pos, {r6('l')} AS left, {r6('r')} AS right FROM s WHERE pos BETWEEN 1000 AND 2999",
     "ogg_pages": f"""WITH o AS (SELECT DISTINCT o_orderkey // {_STREAM} AS file, o_orderkey AS k FROM orders),
         p AS (SELECT *, row_number() OVER w - 1 AS sequence, 27 + k % 700 // 255 + 1 + k % 700 AS size, CASE WHEN k % 17 <> 0 THEN 0 WHEN k % 2 = 1 THEN 30 ELSE 17 END AS junk, lag(k) OVER w AS before FROM o WINDOW w AS (PARTITION BY file ORDER BY k))
