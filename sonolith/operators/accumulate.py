@@ -68,20 +68,24 @@ def _power(x: np.ndarray, rules: Rules) -> np.ndarray:
     return (z.real**2 + z.imag**2) * (4 / (rules.size * (window**2).sum()))
 
 
-def of_excerpt(mid: np.ndarray, side: np.ndarray | None, rules: Rules) -> dict[str, np.ndarray | int] | None:
-    """The state of one excerpt: its frames are its own, and those that are silent count for nothing."""
-    if len(mid) < rules.size:
-        return None
-    power = _power(mid, rules)
+def of_power(power: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(active, power, last): which frames are not silent, and of those the power and the bin where they end."""
     level = 10 * np.log10(np.maximum(power[:, rules.in_reference].mean(axis=1), 1e-30))
     active = level > rules.silent_db
-    if not active.any():
-        return None
     power, level = power[active], level[active]
     db = _smoothed(10 * np.log10(np.maximum(power, 1e-30)), rules.smooth)
     limit = db.shape[1] - rules.drop_bins
     loud = db[:, :limit] > level[:, None] - rules.cutoff_db
-    last = np.where(loud.any(1), limit - 1 - loud[:, ::-1].argmax(1) + rules.smooth // 2, 0)
+    return active, power, np.where(loud.any(1), limit - 1 - loud[:, ::-1].argmax(1) + rules.smooth // 2, 0)
+
+
+def of_excerpt(mid: np.ndarray, side: np.ndarray | None, rules: Rules) -> dict[str, np.ndarray | int] | None:
+    """The state of one excerpt: its frames are its own, and those that are silent count for nothing."""
+    if len(mid) < rules.size:
+        return None
+    active, power, last = of_power(_power(mid, rules), rules)
+    if not active.any():
+        return None
     sides = np.full(power.shape[1], np.nan) if side is None else _power(side, rules)[active].sum(axis=0)
     return {"frames": len(power), "mid": power.sum(axis=0), "side": sides, "cut": np.bincount(last, minlength=power.shape[1])}
 
