@@ -92,10 +92,11 @@ def encoder_settings(spark, d):
 
 
 def ladder_rates(spark, d):
-    """The rates of each codec that the documents' languages stand for, on the ladder or spread over its own."""
-    langs = roles.table(spark, d, "documents").groupBy(F.xxhash64("lang").isNull().alias("x")).agg(F.count("*").alias("files"))
+    """The rates of the codec that each document stands for, on the ladder or spread over its own, and how many documents and characters each codec has."""
+    codec = F.get(F.array(*map(F.lit, _RATED)), (F.col("doc_id") % len(_RATED)).cast("int"))
+    files = roles.table(spark, d, "documents").groupBy(codec.alias("codec")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
     c = present.codecs(spark).where(F.size("rates") > 0)
-    return c.crossJoin(F.broadcast(langs)).select("codec", F.array_join(present.ladder_rates(F.col("rates")), " ").alias("rates"), "files")
+    return files.join(F.broadcast(c), "codec").select("codec", F.array_join(present.ladder_rates(F.col("rates")), " ").alias("rates"), "files", "chars")
 
 
 def result_texts(spark, d):
@@ -184,6 +185,7 @@ def scan_order(spark, d):
 
 QUERIES = {f.__name__: f for f in (probe_json, default_stream, bitrate_three_tier, variable_rates, container_ratios, scan_choices, encoder_settings, ladder_rates, result_texts, excerpt_starts, class_calibration, offset_frame_join, pair_arrays, file_regions, verified_excerpts, pcm_checks, scalar_formulas, scan_order)}
 
+_RATED = [c for c, rates, *_ in present.CODECS if rates]
 _CODECS_SQL = "codecs AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', {('[' + ', '.join(map(str, r)) + ']') if r else '[]::INT[]'}, {'NULL' if lo is None else lo}, {'NULL' if hi is None else hi}, {'NULL' if m is None else repr(m)})" for c, r, lo, hi, m in present.CODECS
 ) + ") v(codec, rates, low, high, mark))"
@@ -231,7 +233,8 @@ SQL = {
         SELECT k, error, CASE WHEN error IS NULL THEN codec || CASE mode WHEN 'bitrate' THEN kbps || 'k' WHEN 'quality' THEN mark || q ELSE '' END END AS label FROM e""",
     "ladder_rates": f"""
         WITH {_CODECS_SQL}, c AS (SELECT codec, rates, list_filter([96, 128, 160, 192, 256], lambda k: list_contains(rates, k)) AS common FROM codecs WHERE len(rates) > 0)
-        SELECT codec, array_to_string(CASE WHEN len(common) >= 3 THEN common WHEN len(rates) <= 5 THEN rates ELSE list_transform([0, 1, 2, 3, 4], lambda i: rates[round_even(i * (len(rates) - 1) / 4.0, 0)::INT + 1]) END, ' ') AS rates, (SELECT count(*) FROM documents) AS files FROM c""",
+        SELECT codec, array_to_string(CASE WHEN len(common) >= 3 THEN common WHEN len(rates) <= 5 THEN rates ELSE list_transform([0, 1, 2, 3, 4], lambda i: rates[round_even(i * (len(rates) - 1) / 4.0, 0)::INT + 1]) END, ' ') AS rates, count(*) AS files, sum(n_chars)::BIGINT AS chars
+        FROM documents JOIN c ON codec = [{", ".join(f"'{c}'" for c in _RATED)}][doc_id % {len(_RATED)} + 1] GROUP BY codec, rates, common""",
     "result_texts": f"""
         WITH o AS (SELECT o_orderkey AS k, [20.0, 50, 999, 1000, 1500, 4000, 16000, 21800]::DOUBLE[] AS hz, CASE WHEN o_orderkey % 19 <> 0 THEN (o_orderkey % 4001 - 2000) / 4.0::DOUBLE END AS s FROM orders),
         t AS (SELECT k, s, {_HZ("hz[k % 7 + 1]")} AS lo, {_HZ("hz[k % 7 + 2]")} AS hi FROM o)

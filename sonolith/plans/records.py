@@ -34,11 +34,14 @@ def abx_counts_flags(spark, d):
 
 
 def abx_binomial_power(spark, d):
-    """Sizes up to 40: the least significant score, its chance, and the power at 3 in 4."""
-    null, alt = trials.binomial_tails(spark, 40), trials.binomial_tails(spark, 40, 0.75).withColumnRenamed("tail", "power")
+    """For the trials of each session and kind, a hundred at most: the least significant score, its chance, the power at 3 in 4, and whether it was reached."""
+    null, alt = trials.binomial_tails(spark, 100), trials.binomial_tails(spark, 100, 0.75).withColumnRenamed("tail", "power")
     least = null.where("tail < 0.05").groupBy("n").agg(F.min("k").alias("k"))
-    rows = least.join(null, ["n", "k"]).join(alt, ["n", "k"])
-    return rows.select("n", F.col("k").alias("least_correct"), n.r6(F.col("tail")).alias("p"), n.r6(F.col("power")).alias("power"))
+    dim = least.join(null, ["n", "k"]).join(alt, ["n", "k"])
+    e = roles.table(spark, d, "events")
+    held = e.groupBy(F.col("user_id").alias("session"), F.col("event_type").alias("kind")).agg(F.least(F.count("*"), F.lit(100)).alias("n"), F.count_if(F.col("value") < 60).alias("correct"))
+    rows = held.join(F.broadcast(dim), "n", "left")
+    return rows.select("session", "kind", "n", F.col("k").alias("least_correct"), n.r6(F.col("tail")).alias("p"), n.r6(F.col("power")).alias("power"), (F.col("correct") >= F.col("k")).alias("reached"))
 
 
 def abx_wilson_sidak(spark, d):
@@ -254,7 +257,9 @@ _INJ = "inj AS (SELECT doc_id, coalesce(text, '') || ' \"' || [" + ", ".join("'"
 SQL = {
     "abx_counts_flags": f"""WITH {_TRIALS} SELECT session, count(*) AS n, count(*) FILTER (correct) AS correct, sum(switches)::BIGINT AS switches, count(*) FILTER (switches = 0) AS unheard,
         count(*) FILTER (switches = 0) * 2 > count(*) AS rushed FROM t GROUP BY session""",
-    "abx_binomial_power": f"WITH {_TAIL.format(most=40)} SELECT n, k AS least_correct, {r6('tail')} AS p, {r6('power')} AS power FROM tl WHERE tail < 0.05 QUALIFY row_number() OVER (PARTITION BY n ORDER BY k) = 1",
+    "abx_binomial_power": f"""WITH {_TAIL.format(most=100)}, dm AS (SELECT * FROM tl WHERE tail < 0.05 QUALIFY row_number() OVER (PARTITION BY n ORDER BY k) = 1),
+        h AS (SELECT user_id AS session, event_type AS kind, least(count(*), 100) AS n, count(*) FILTER (value < 60) AS correct FROM events GROUP BY ALL)
+        SELECT session, kind, n, k AS least_correct, {r6('tail')} AS p, {r6('power')} AS power, correct >= k AS reached FROM h LEFT JOIN dm USING (n)""",
     "abx_wilson_sidak": f"WITH {_COUNTS} SELECT session, n, k, {r6(_LOW)} AS low, {r6(_HIGH)} AS high, {r6('CASE WHEN session % 5 <= 1 THEN 0.05 ELSE 1 - pow(0.95::DOUBLE, 1.0::DOUBLE / (session % 5)) END')} AS alpha FROM c",
     "abx_sprt": f"""WITH {_TRIALS}, l AS (SELECT session, trial, sum(CASE WHEN correct THEN {_R!r}::DOUBLE ELSE {_W!r}::DOUBLE END) OVER (PARTITION BY session ORDER BY trial) AS llr FROM t WHERE trial <= 50 ORDER BY session, trial),
         s AS (SELECT *, CASE WHEN llr >= {_UP!r} THEN 'shown' WHEN llr <= {_LO!r} THEN 'not_shown' WHEN trial = 50 THEN 'inconclusive' END AS said FROM l),

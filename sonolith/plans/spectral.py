@@ -72,9 +72,15 @@ def pair_gain_polarity(spark, d):
     return s.select("track", n.r6(F.col("ab") / F.col("aa")).alias("gain"), n.r6(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("correlation"), F.when(F.col("ab") < 0, -1).otherwise(1).cast("long").alias("polarity"), n.r6(F.sqrt(F.col("bb") / F.col("m"))).alias("rms"))
 
 
+def _tones(spark, d):
+    """(o_orderkey, hz, bin): a frequency for each order, some above half the sample rate."""
+    hz = roles.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 50.5 % 20_000).alias("hz"))
+    return hz.withColumn("bin", F.least(F.greatest(F.bround(F.col("hz") * 64 / RATE), F.lit(0.0)), F.lit(32.0)).cast("long"))
+
+
 def hz_to_bin_dim(spark, d):
-    hz = spark.range(0, 400).select((F.col("id") * 50.5).alias("hz"))
-    return hz.select("hz", F.least(F.greatest(F.bround(F.col("hz") * 64 / RATE), F.lit(0.0)), F.lit(32.0)).cast("long").alias("bin"))
+    """How many orders' frequencies fall on each bin, and the range that these have."""
+    return _tones(spark, d).groupBy("bin").agg(F.count("*").alias("tones"), n.r6(F.min("hz")).alias("lowest_hz"), n.r6(F.max("hz")).alias("highest_hz"))
 
 
 def measurable_bands(spark, d):
@@ -109,8 +115,11 @@ def verdicts(spark, d):
 
 
 def erb_layout(spark, d):
+    """The auditory bands, and how many orders' frequencies lie in each."""
     b = psycho.erb_bands(spark, RATE, 64)
-    return b.select("band", "lo", "hi", n.r6(F.col("centre_hz")).alias("centre_hz"), n.r6(n.bark(F.col("centre_hz"))).alias("centre_bark"))
+    counts = _tones(spark, d).groupBy("bin").agg(F.count("*").alias("tones"))
+    held = b.join(F.broadcast(counts), (F.col("bin") >= F.col("lo")) & (F.col("bin") < F.col("hi")), "left").groupBy("band", "lo", "hi", "centre_hz").agg(F.coalesce(F.sum("tones"), F.lit(0)).alias("tones"))
+    return held.select("band", "lo", "hi", "tones", n.r6(F.col("centre_hz")).alias("centre_hz"), n.r6(n.bark(F.col("centre_hz"))).alias("centre_bark"))
 
 
 def erb_band_energy(spark, d):
@@ -175,6 +184,7 @@ _ERB_SQL = f"""
 ed AS (SELECT k AS band, (pow(10.0, (k + {_FIRST!r}::DOUBLE) / 21.4) - 1) / 4.37 * 1000 AS hz FROM (SELECT unnest(range({int(_LAST - _FIRST + 1e-9) + 1})) AS k)),
 ei AS (SELECT band, least(round_even(hz / {RATE / 64}, 0), 33)::BIGINT AS lo, least(round_even(coalesce(lead(hz) OVER (ORDER BY band), {RATE / 2}) / {RATE / 64}, 0), 33)::BIGINT AS hi FROM ed),
 el AS (SELECT band, lo, hi, (lo + hi - 1) / 2.0::DOUBLE * {RATE / 64}::DOUBLE AS centre_hz FROM ei WHERE hi > lo)"""
+_TONES = f"tn AS (SELECT o_orderkey, hz, least(greatest(round_even(hz * 64 / {RATE}, 0), 0), 32)::BIGINT AS bin FROM (SELECT o_orderkey, (o_orderkey * 50.5::DOUBLE) % 20000 AS hz FROM orders))"
 _BARK = "(13.0 * atan(0.00076 * {0}) + 3.5 * atan(pow({0} / 7500.0, 2)))"
 _PEAK_SQL = """
 pp AS (SELECT track, t, bin, greatest(are * are + aim * aim, 1e-30) AS p FROM sp),
@@ -212,7 +222,7 @@ SQL = {
         SELECT track, CASE WHEN band < 0 THEN 'broadband' ELSE 'band ' || band END AS scope, {r6("total")} AS power, {r6(_RATIO("greatest(0, total - incoherent)", "incoherent"))} AS snr_db FROM q""",
     "pair_gain_polarity": f"""WITH {FRAMES_SQL}, k AS (SELECT track, sum(a * b) AS ab, sum(a * a) AS aa, sum(b * b) AS bb, count(*) AS m FROM s GROUP BY track)
         SELECT track, {r6("ab / aa")} AS gain, {r6("ab / sqrt(aa * bb)")} AS correlation, (CASE WHEN ab < 0 THEN -1 ELSE 1 END)::BIGINT AS polarity, {r6("sqrt(bb / m)")} AS rms FROM k""",
-    "hz_to_bin_dim": f"SELECT (i * 50.5)::DOUBLE AS hz, least(greatest(round_even((i * 50.5)::DOUBLE * 64 / {RATE}, 0), 0), 32)::BIGINT AS bin FROM (SELECT unnest(range(400)) AS i)",
+    "hz_to_bin_dim": f"WITH {_TONES} SELECT bin, count(*) AS tones, {r6('min(hz)')} AS lowest_hz, {r6('max(hz)')} AS highest_hz FROM tn GROUP BY bin",
     "measurable_bands": f"""WITH {_STATS_SQL}, z AS (SELECT track, {_RATIO("greatest(0, total - incoherent)", "incoherent")} AS snr FROM q)
         SELECT track, count(*) FILTER (snr IS NOT NULL AND snr > 10) AS measurable, count(*) AS bands, {r6("min(snr)")} AS worst_db FROM z GROUP BY track""",
     "phase_shift": f"""WITH {FRAMES_SQL} SELECT track, t, bin, {r6("are * cos(2 * pi() * bin / 64 * 1.25) + aim * sin(2 * pi() * bin / 64 * 1.25)")} AS re,
@@ -226,7 +236,7 @@ SQL = {
                list_filter([CASE WHEN frames >= 40 AND NOT low THEN 'full band' END, CASE WHEN frames >= 40 AND low AND NOT wall AND dd < 14 THEN 'gentle' END], lambda x: x IS NOT NULL) AS counter FROM fl)
         SELECT track, CASE WHEN len(reasons) > 0 AND len(counter) = 0 THEN 'lossy' WHEN len(reasons) = 0 AND len(counter) > 0 THEN 'lossless' ELSE 'undetermined' END AS bucket,
                array_to_string(reasons, ',') AS reasons, array_to_string(counter, ',') AS counter FROM ru""",
-    "erb_layout": f"WITH {_ERB_SQL} SELECT band, lo, hi, {r6('centre_hz')} AS centre_hz, {r6(_BARK.format('centre_hz'))} AS centre_bark FROM el",
+    "erb_layout": f"WITH {_ERB_SQL}, {_TONES} SELECT band, lo, hi, count(bin) AS tones, {r6('centre_hz')} AS centre_hz, {r6(_BARK.format('centre_hz'))} AS centre_bark FROM el LEFT JOIN tn ON bin >= lo AND bin < hi GROUP BY band, lo, hi, centre_hz",
     "erb_band_energy": f"WITH {FRAMES_SQL}, {_ERB_SQL}, {_THR_SQL} SELECT track, band, {r6('avg(e)')} AS energy FROM be GROUP BY track, band",
     "masking_threshold": f"WITH {FRAMES_SQL}, {_ERB_SQL}, {_THR_SQL} SELECT track, band, {r6('avg(10 * log10(greatest(thr, 1e-30)))')} AS threshold_db FROM th GROUP BY track, band",
     "sfm_tonality": f"""WITH {FRAMES_SQL}, p AS (SELECT track, t, 10 * log10(exp(avg(ln(greatest(are * are + aim * aim, 1e-30)))) / avg(greatest(are * are + aim * aim, 1e-30))) AS sfm FROM sp GROUP BY track, t)
