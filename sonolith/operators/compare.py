@@ -198,10 +198,13 @@ def model_of(estimates: DataFrame, rate: int) -> DataFrame:
     return estimates.where("status <> 'unreliable'").select("track", (1 - 1 / F.col("speed")).alias("slope"), (F.col("offset_s") * rate).alias("intercept"))
 
 
-def tracked(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: int, rate: int, points: int = 9, window_s: float = 0.5, rounds: int = 3) -> DataFrame:
-    """The model after the delays that it leaves at `points` windows of each track are fitted by a line, `rounds` times.
+def tracked(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: int, rate: int, points: int = 9, window_s: float = 0.5, rounds: int = 5, settled: float = 1e-5) -> DataFrame:
+    """(track, slope, intercept, rounds): the model after the delays that it leaves at `points` windows are fitted by a line, again and again.
 
-    Windows whose delay is not certain are left out; a track with fewer than three of them keeps its model.
+    A track is done when a round changes its delay by no more than `settled` samples anywhere, or
+    after `rounds` of them; tracks that are done are not read again. `rounds` of the result says how
+    many changed a track. Windows whose delay is not certain are left out; a track with fewer than
+    three of them keeps its model and is done.
     """
     taps, n_window = align.kaiser_taps(PHASES, HALF), int(window_s * rate)
     kind = test.schema["track"].dataType.simpleString()
@@ -221,8 +224,12 @@ def tracked(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: int, rat
         return frame(out)
 
     n = lengths(test).withColumnRenamed("n", "n_test").join(lengths(ref).withColumnRenamed("n", "n_ref"), "track")
+    model = written(model.select("track", "slope", "intercept", F.lit(0).alias("rounds"), F.lit(True).alias("open")), "delays")
     for _ in range(rounds):
-        rows = model.join(n, "track")
+        todo = model.where("open")
+        if todo.isEmpty():
+            break
+        rows = todo.join(n, "track")
         lo = F.ceil(F.greatest(F.lit(0.0), (F.col("intercept") + HALF) / (1 - F.col("slope"))))
         hi = F.floor(F.least(F.col("n_test").cast("double"), (F.col("n_ref") - HALF - 2 + F.col("intercept")) / (1 - F.col("slope")))) - n_window
         rows = rows.select("track", "slope", "intercept", lo.alias("a"), hi.alias("z")).where("z > a")
@@ -233,10 +240,14 @@ def tracked(ref: DataFrame, test: DataFrame, model: DataFrame, *, size: int, rat
         keys = ["track", "slope", "intercept", "i", "place"]
         sides = _asked(rows, test, "test", size, "lo", "hi", keys).unionByName(_asked(rows, ref, "ref", size, "ref_lo", "ref_hi", keys))
         left = sides.groupBy(*keys).applyInPandas(residual, f"track {kind}, at double, residual double")
-        fit = left.groupBy("track").agg(F.regr_slope("residual", "at").alias("ds"), F.regr_intercept("residual", "at").alias("di"), F.count("*").alias("m")).where("m >= 3").drop("m")
-        model = model.join(fit, "track", "left").select("track", (F.col("slope") + F.coalesce("ds", F.lit(0.0))).alias("slope"), (F.col("intercept") + F.coalesce("di", F.lit(0.0))).alias("intercept"))
+        fit = left.groupBy("track").agg(F.regr_slope("residual", "at").alias("ds"), F.regr_intercept("residual", "at").alias("di"), F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("m")).where("m >= 3").drop("m")
+        change = F.greatest(*(F.abs(F.col("di") + F.col("ds") * F.col(c)) for c in ("first", "last")))
+        model = model.join(fit, "track", "left").select(
+            "track", (F.col("slope") + F.coalesce("ds", F.lit(0.0))).alias("slope"), (F.col("intercept") + F.coalesce("di", F.lit(0.0))).alias("intercept"),
+            (F.col("rounds") + F.when(F.col("ds").isNotNull(), 1).otherwise(0)).alias("rounds"), (F.coalesce(change, F.lit(0.0)) > settled).alias("open"),
+        )
         model = written(model, "delays")  # a row for each track
-    return model
+    return model.drop("open")
 
 
 def excerpt_pairs(ref: DataFrame, test: DataFrame, model: DataFrame, starts: DataFrame, *, size: int, length: int, peak: float = 0.98) -> DataFrame:

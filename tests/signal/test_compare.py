@@ -69,6 +69,11 @@ def test_aligned_spectra(spark, pairs, estimates):
     ref, test = pairs
     model = compare.model_of(estimates, RATE).cache()
     better = compare.tracked(ref, test, model, size=SIZE, rate=RATE).cache()
+    rounds = {r.track: r.rounds for r in better.collect()}
+    again = {r.track: r for r in compare.tracked(ref, test, better, size=SIZE, rate=RATE).collect()}
+    assert set(rounds) == set(again) and all(1 <= n <= 5 for n in rounds.values())
+    # a model that is settled is left after the round that shows it
+    assert all(again[r.track].rounds == 1 and abs(again[r.track].intercept - r.intercept) < 1e-4 for r in better.collect() if r.rounds < 5)
     slope, intercept = better.where("track = 'slow'").select("slope", "intercept").first()
     assert slope * 1e6 == pytest.approx(204.08, abs=0.3) and intercept == pytest.approx(12.25, abs=0.05)
     assert better.where("track = 'later'").first().intercept == pytest.approx(2960, abs=0.01)
