@@ -14,14 +14,14 @@ from ..sources import cache, containers, ranges
 from . import roles
 from .roles import r6
 
-_FRAMES, _RATE = 4096, 8000
+_FRAMES, _RATE = 1000, 8000
 
 
 def _recorded(spark, d) -> str:
-    """The folder of files of 4,096 frames: the value on the left, a sawtooth of the number on the right."""
+    """The folder of files of 1,000 frames: the value on the left, a sawtooth of the number on the right."""
     e = roles.table(spark, d, "events").select(F.expr(f"event_id div {_FRAMES}").alias("file"), (F.col("event_id") % _FRAMES).alias("at"), F.floor(F.col("value") * 64).alias("l"), (F.col("event_id") * 7919 % 65536 - 32768).alias("r"))
     frame = F.struct(F.col("at"), F.array(*((F.col(c) / 32768).cast("float") for c in "lr")).alias("x"))
-    blocks = e.groupBy(F.col("file").cast("string").alias("name"), F.expr("at div 512").alias("b")).agg(F.min("at").alias("pos"), F.transform(F.sort_array(F.collect_list(frame)), lambda s: s["x"]).alias("pcm"))
+    blocks = e.groupBy(F.col("file").cast("string").alias("name"), F.expr("at div 128").alias("b")).agg(F.min("at").alias("pos"), F.transform(F.sort_array(F.collect_list(frame)), lambda s: s["x"]).alias("pcm"))
     folder = f"{shared_dir(spark)}/wav-{uuid.uuid4().hex}"
     ranges.write_wav(blocks, folder, _RATE)
     return folder
@@ -32,15 +32,15 @@ def _file():
 
 
 def wav_window(spark, d):
-    """A quarter of a second of each file, from an eighth of a second on, frame by frame."""
-    rows = ranges.read_pcm(spark, _recorded(spark, d), start_s=0.125, duration_s=0.25, block=300)
+    """A sixteenth of a second of each file, from a thirty-second part on, frame by frame."""
+    rows = ranges.read_pcm(spark, _recorded(spark, d), start_s=0.03125, duration_s=0.0625, block=150)
     rows = rows.select(_file(), "pos", F.posexplode("pcm").alias("k", "x"))
     return rows.select("file", (F.col("pos") + F.col("k")).alias("pos"), n.r6(F.col("x")[0].cast("double")).alias("left"), n.r6(F.col("x")[1].cast("double")).alias("right"))
 
 
 def wav_mono_energy(spark, d):
-    """Energy of the mean of both channels in blocks of 500 frames from frame 1,500 on, and the bytes that were read for each."""
-    rows = ranges.read_pcm(spark, _recorded(spark, d), first=1500, block=500, mono="true", split_bytes=4000)
+    """Energy of the mean of both channels in blocks of 100 frames from frame 300 on, and the bytes that were read for each."""
+    rows = ranges.read_pcm(spark, _recorded(spark, d), first=300, block=100, mono="true", split_bytes=4000)
     energy = F.aggregate("pcm", F.lit(0.0), lambda s, x: s + x[0].cast("double") * x[0].cast("double"))
     return rows.select(_file(), "block_no", F.size("pcm").cast("long").alias("frames"), "bytes", n.r6(energy).alias("energy"))
 
@@ -73,7 +73,7 @@ def ogg_pages(spark, d):
 
 
 def resampled_envelope(spark, d):
-    """Envelopes of stretches of 4,096 events at a sixth of their rate, from blocks to blocks to sums."""
+    """Envelopes of stretches of 1,000 events at a sixth of their rate, from blocks to blocks to sums."""
     e = roles.table(spark, d, "events").select(F.expr(f"event_id div {_FRAMES}").alias("file"), (F.col("event_id") % _FRAMES).alias("at"), "value")
     slow = rates.resampled(chunks.blocks(e, 1024, key="file", pos="at", value="value"), 1, 6, 1024, 256, slope=_SLOPE)
     return rates.envelope(slow, 32, 16).select(F.col("track").alias("file"), "frame", n.r6(F.col("e")).alias("energy"))
@@ -106,10 +106,10 @@ SQL = {
     "cache_documents": """WITH t AS (SELECT doc_id AS k, '/' || source || '/' || doc_id AS path, n_chars AS size, doc_id * 1000003 + 1 AS mtime_ns FROM documents)
         SELECT path, size, mtime_ns, 'r1' AS rules, CASE WHEN k % 5 = 0 THEN 'new' ELSE 'old' END AS bucket, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS seen, 2::BIGINT AS versions
         FROM t WHERE k % 5 = 0 OR (k % 3 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0)""",
-    "wav_window": f"WITH {_SAMPLES} SELECT file, pos, {r6('l')} AS left, {r6('r')} AS right FROM s WHERE pos BETWEEN 1000 AND 2999",
+    "wav_window": f"WITH {_SAMPLES} SELECT file, pos, {r6('l')} AS left, {r6('r')} AS right FROM s WHERE pos BETWEEN 250 AND 749",
     "ogg_pages": f"""WITH o AS (SELECT DISTINCT o_orderkey // {_STREAM} AS file, o_orderkey AS k FROM orders),
         p AS (SELECT *, row_number() OVER w - 1 AS sequence, 27 + k % 700 // 255 + 1 + k % 700 AS size, CASE WHEN k % 17 <> 0 THEN 0 WHEN k % 2 = 1 THEN 30 ELSE 17 END AS junk, lag(k) OVER w AS before FROM o WINDOW w AS (PARTITION BY file ORDER BY k))
         SELECT file, sequence, coalesce(sum(size + junk) OVER (PARTITION BY file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", file AS serial, k * 960 AS granule, k % 700 AS bytes, k % 700 // 255 + 1 AS parts,
                CASE WHEN sequence < 16 OR sequence % 64 = 0 OR before % 17 = 0 THEN true END AS crc_ok FROM p""",
-    "wav_mono_energy": f"WITH {_SAMPLES} SELECT file, pos // 500 - 3 AS block_no, count(*) AS frames, 4 * count(*) AS bytes, {r6('sum(pow((l + r) / 2, 2))')} AS energy FROM s WHERE pos >= 1500 GROUP BY 1, 2",
+    "wav_mono_energy": f"WITH {_SAMPLES} SELECT file, pos // 100 - 3 AS block_no, count(*) AS frames, 4 * count(*) AS bytes, {r6('sum(pow((l + r) / 2, 2))')} AS energy FROM s WHERE pos >= 300 GROUP BY 1, 2",
 }
