@@ -83,10 +83,11 @@ def layout(read: Callable[[int, int], bytes], size: int) -> Layout:
     raise ValueError("no samples")
 
 
-def header(frames: int, channels: int, rate: int) -> bytes:
-    """What precedes 16-bit samples; RF64 where 32 bits do not hold their size."""
-    size = frames * channels * 2
-    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16)
+def header(frames: int, channels: int, rate: int, kind: str = "<i2") -> bytes:
+    """What precedes samples of 16 bits, or of 32-bit floats ("<f4"); RF64 where 32 bits do not hold their size."""
+    width = _width(kind) * channels
+    size = frames * width
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 3 if kind[1] == "f" else 1, channels, rate, rate * width, width, 8 * _width(kind))
     if size + 36 < 0xFFFFFFFF:
         return struct.pack("<4sI4s", b"RIFF", 36 + size, b"WAVE") + form + struct.pack("<4sI", b"data", size)
     wide = struct.pack("<4sIQQQI", b"ds64", 28, 72 + size, size, frames, 0)
@@ -213,13 +214,15 @@ def read_pcm(spark: SparkSession, path: str, paths: list[str] | None = None, **o
     return reader.load()
 
 
-def write_wav(blocks: DataFrame, folder: str, rate: int, *, name: str = "name", pos: str = "pos", pcm: str = "pcm") -> None:
-    """16-bit WAV files, one for each name, from blocks (name, pos, pcm) that leave no gaps.
+def write_wav(blocks: DataFrame, folder: str, rate: int, *, name: str = "name", pos: str = "pos", pcm: str = "pcm", kind: str = "<i2") -> None:
+    """WAV files, one for each name, from blocks (name, pos, pcm) that leave no gaps: of 16 bits, or of 32-bit floats ("<f4").
 
     A file's blocks come to one task in order and go through it one batch at a time. It is written
-    under a name of its own and moved when it is whole, so that a task may run twice. pcm beyond full
-    scale is held to it. A gap, or a change in the number of channels, is an error.
+    under a name of its own and moved when it is whole, so that a task may run twice. 16 bits hold pcm
+    beyond full scale to it, floats keep it. A gap, or a change in the number of channels, is an error.
     """
+    if kind not in ("<i2", "<f4"):
+        raise ValueError(f"no samples of {kind} are written")
     sizes = blocks.groupBy(F.col(name).alias("name")).agg(F.sum(F.size(pcm)).alias("frames"))
     rows = blocks.select(F.col(name).alias("name"), F.col(pos).cast("long").alias("pos"), F.col(pcm).cast("array<array<float>>").alias("pcm"))
     rows = rows.join(sizes, "name").repartition("name").sortWithinPartitions("name", "pos")
@@ -246,10 +249,10 @@ def write_wav(blocks: DataFrame, folder: str, rate: int, *, name: str = "name",
                     open_name, at, due, wide = key, 0, total, channels
                     temp = f"{root}/.{key}-{uuid.uuid4().hex}"
                     out = files.open_output_stream(temp)
-                    out.write(header(total, channels, rate))
+                    out.write(header(total, channels, rate, kind))
                 if first != at or len(x) != len(flat) * wide:
                     raise ValueError(f"{key}: block at {first} where {at} is due, or another number of channels")
-                out.write(np.clip(np.rint(x * 32768.0), -32768, 32767).astype("<i2").tobytes())
+                out.write((x if kind == "<f4" else np.clip(np.rint(x * 32768.0), -32768, 32767)).astype(kind).tobytes())
                 at += len(flat)
         if out is not None:
             closed()
