@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sonolith.plans import catalogue, roles
 from tests.signal.test_oracles import SF, canonical
 
-RANKED = ["sfm_tonality", "tonal_peaks", "nmr_per_frame", "nmr_time_grid", "critical_window", "gcc_phat_lag"]
+RANKED = ["sfm_tonality", "tonal_peaks", "nmr_per_frame", "nmr_time_grid", "critical_window", "gcc_phat_lag", "phase_shift"]
 
 
 @pytest.mark.parametrize("name", RANKED)
