@@ -10,7 +10,10 @@ Up to `FEW` lines under a key are compared with each other. A larger group's key
 longer, bin by bin around the signature, and in each group that is still larger every line is
 held against two centres, the one with the most and the one with the fewest companions. A group
 whose lines are all surely near a centre is settled; others go on to the next length. So rows
-stay at a few for each line, whatever a group's size.
+stay at a few for each line, whatever a group's size. What this leaves open is then compared in
+full: under every key of a large group, lines that are not yet in one component are held against
+each other in blocks, so that no candidate of any group is dropped. That work grows with the
+square of such lines under one key, but not with those of the group's largest component.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -30,6 +33,8 @@ BINS, ROWS = 32, 4
 LONGER = (6, 9, 13, 18, 24)
 #: Groups of so many lines give all their pairs.
 FEW = 8
+#: Lines of a group that one task holds against as many others.
+BLOCK = 2048
 #: How many of a line's hashes reach the aggregation, on average; a longer line's others are too large to be smallest.
 SAMPLE = 64
 
@@ -147,12 +152,20 @@ def _small(df: DataFrame, rows: int = 250_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Those pairs (a, b) of line ids whose lines reach the similarity over all their shingles."""
+def _verified(pairs: DataFrame, lines: DataFrame, threshold: float, width: int, often: bool = False) -> DataFrame:
+    """Those pairs (a, b) of line ids whose lines reach the similarity over all their shingles.
+
+    With `often`, a line is hashed once for all its pairs, and its hashes travel instead of it.
+    """
+    if often:
+        lines = materialise(lines.select("id", _hashed_shingles(F.col("line"), width).alias("line")), "shingles")
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    both = _held(both, "a", "b", x=_hashed_shingles(F.col("x"), width), y=_hashed_shingles(F.col("y"), width))
+    if often:
+        both = both.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
+    else:
+        both = _held(both, "a", "b", x=_hashed_shingles(F.col("x"), width), y=_hashed_shingles(F.col("y"), width))
     both = _held(both, "a", "b", common=F.size(F.array_intersect("x", "y")), either=F.size("x") + F.size("y"))
     return materialise(both.where(F.col("common") >= threshold * (F.col("either") - F.col("common"))).select("a", "b"), "line-links")
 
@@ -195,6 +208,35 @@ def _starred(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, materialise(rest, "rest")
 
 
+def _across(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Candidates (a, b) under the same key that are in different components so far: all of them, whatever a group's size.
+
+    rows: (key, id, runs, s0, ...); near: (node, component), any other line being one of its own.
+    Lines of a group's largest component are held against the others alone.
+    """
+    own = near.groupBy(F.col("node").alias("id")).agg(F.min("component").alias("part"))
+    columns = ["key", "id", "runs", *SKETCH]
+    # a line's rows and its component meet in a window, which makes no rows of its own
+    both = rows.select(*columns, F.lit(None).cast("long").alias("part")).unionByName(own, allowMissingColumns=True)
+    rows = both.withColumn("part", F.coalesce(F.max("part").over(Window.partitionBy("id")), "id")).where(F.col("key").isNotNull())
+    rows = materialise(rows, "parted")
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = open_.select("key", F.col("most.part").alias("main"), blocks(F.col("size") - F.col("most.n")).alias("few"), blocks(F.col("size")).alias("all"))
+    rows = rows.join(_small(materialise(open_, "open")), "key")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("part <> main").withColumn("i", mine("few")).withColumn("j", every("all"))
+    right = rows.withColumn("j", mine("all")).withColumn("i", every("few"))
+    side = lambda df, x: df.select("key", "i", "j", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "runs", "part", "main", *SKETCH)))
+    once = (F.col("b_part") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))
+    match = (F.col("a_part") != F.col("b_part")) & once & _alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs"))
+    left, right = side(left, "a"), side(right, "b")
+    met = left.join(right.hint("shuffle_hash"), [left[c] == right[c] for c in ("key", "i", "j")] + [match])
+    return materialise(met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "across")
+
+
 def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """(node, component) of the lines (id, line) that have a near copy. Rows may repeat.
 
@@ -210,13 +252,14 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
     side = lambda x: sketches.select(F.col("id").alias(x), *(F.col(s).alias(f"{x}_{s}") for s in ("runs", *SKETCH)))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs")))
     found = [both.select("a", "b")]
+    large = None
     crowded = groups.where("n > 3").select("key", F.col("n").alias("size"))
     if not crowded.isEmpty():
         spread = signed.select("*", F.inline(F.array(*(F.struct(F.lit(i).alias("start"), _key(i).alias("key")) for i in starts))))
         rows = spread.join(_small(crowded), "key").select("key", "size", "id", F.col("n").alias("runs"), _longer_keys().alias("more"), *_sketch())
         rows = materialise(rows, "rest")
         found.append(_several(rows.where(f"size <= {FEW}")))
-        many = rows.where(f"size > {FEW}")
+        large = many = rows.where(f"size > {FEW}")
         pop = many.groupBy("id").agg(F.sum("size").alias("pop"))
         rows = many.join(pop, "id").select(F.col("more")[0].alias("key"), F.slice("more", 2, len(LONGER)).alias("more"), "id", "runs", "pop", *SKETCH)
         for _ in LONGER:
@@ -225,9 +268,18 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
             if rows.isEmpty():
                 break
     pairs = materialise(reduce(DataFrame.union, found).distinct(), "candidates")
+    links = _linked(pairs, lines, threshold, width)
+    near = components(links)
+    if large is None or (rest := _across(large, near).join(pairs, ["a", "b"], "left_anti")).isEmpty():
+        return near
+    return components(links.unionByName(_linked(materialise(rest, "candidates"), lines, threshold, width, often=True)))
+
+
+def _linked(pairs: DataFrame, lines: DataFrame, threshold: float, width: int, *, often: bool = False) -> DataFrame:
+    """Those of the candidates (a, b) whose lines are similar; `often` says that lines are in many of them."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = materialise(lines.join(_small(materialise(wanted, "candidate-ids")), "id", "left_semi").distinct(), "candidate-lines")
-    return components(_verified(pairs, some, threshold, width))
+    return _verified(pairs, some, threshold, width, often)
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, width: int = WIDTH, short: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,3 +157,15 @@ def test_query_on_short_lines(docs, tmp_path):
     docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op7_fuzzy_lines(docs([]).sparkSession, str(tmp_path)).collect()}
     assert got == {1: (5, 0), 2: (6, 3), 3: (2, 2), 4: (3, 1)}
+
+
+def test_no_link_of_a_large_group_is_dropped(spark, monkeypatch):
+    """Without the longer keys' help: what shares a band is compared, in a group of any size and in blocks of any size."""
+    monkeypatch.setattr(linededup, "LONGER", (32,))
+    monkeypatch.setattr(linededup, "BLOCK", 16)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(40)]
+    lines = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(40)]
+    got = joined(linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), width=5), len(lines))
+    assert got == [0] * len(lines)
