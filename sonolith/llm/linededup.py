@@ -260,8 +260,8 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
         rows = materialise(rows, "rest")
         found.append(_several(rows.where(f"size <= {FEW}")))
         large = many = rows.where(f"size > {FEW}")
-        pop = many.groupBy("id").agg(F.sum("size").alias("pop"))
-        rows = many.join(pop, "id").select(F.col("more")[0].alias("key"), F.slice("more", 2, len(LONGER)).alias("more"), "id", "runs", "pop", *SKETCH)
+        # a window: a join would make the rows of all large groups once more
+        rows = many.withColumn("pop", F.sum("size").over(Window.partitionBy("id"))).select(F.col("more")[0].alias("key"), F.slice("more", 2, len(LONGER)).alias("more"), "id", "runs", "pop", *SKETCH)
         for _ in LONGER:
             some, rows = _starred(rows)
             found.append(some)
