@@ -33,23 +33,27 @@ def probe(text: Column) -> Column:
     duration, language, is_default). An embedded picture is no video. Tracks without a rate or
     channels go, but still take an ordinal. A file without any track left has an error.
     """
-    document = F.from_json(text, PROBE)
-    kind = lambda name: F.filter(F.coalesce(document["streams"], F.array()), lambda s: s["codec_type"] == name)
-    is_set = lambda s, flag: F.coalesce(F.try_element_at(s["disposition"], F.lit(flag)), F.lit(0)) != 0
-    track = lambda s, i: F.struct(
-        i.cast("long").alias("audio_index"), F.coalesce(as_int(s["index"]), F.lit(0)).alias("index"), s["codec_name"].alias("codec"),
-        F.coalesce(as_int(s["sample_rate"]), F.lit(0)).alias("sample_rate"), F.coalesce(as_int(s["channels"]), F.lit(0)).alias("channels"),
-        F.coalesce(F.nullif(as_int(s["bits_per_raw_sample"]), F.lit(0)), F.nullif(as_int(s["bits_per_sample"]), F.lit(0))).alias("bits"),
-        as_int(s["bit_rate"]).alias("bit_rate"), as_float(s["duration"]).alias("duration"), F.try_element_at(s["tags"], F.lit("language")).alias("language"), is_set(s, "default").alias("is_default"),
-    )
-    every = F.transform(kind("audio"), track)
-    audio = F.filter(every, lambda s: (s["sample_rate"] > 0) & (s["channels"] > 0))
-    form = document["format"]
-    error = F.when(document.isNull() | (document["streams"].isNull() & form.isNull()), "unreadable").when((F.size(audio) == 0) & (F.size(every) > 0), "undecodable").when(F.size(every) == 0, "no_audio")
-    return F.struct(
-        F.coalesce(form["format_name"], F.lit("")).alias("container"), as_int(form["size"]).alias("size"), as_float(form["duration"]).alias("duration"), as_int(form["bit_rate"]).alias("bit_rate"),
-        F.exists(kind("video"), lambda s: ~is_set(s, "attached_pic")).alias("has_video"), F.exists(kind("video"), lambda s: is_set(s, "attached_pic")).alias("has_picture"), audio.alias("audio"), error.alias("error"),
-    )
+
+    def read(document: Column) -> Column:
+        kind = lambda name: F.filter(F.coalesce(document["streams"], F.array()), lambda s: s["codec_type"] == name)
+        is_set = lambda s, flag: F.coalesce(F.try_element_at(s["disposition"], F.lit(flag)), F.lit(0)) != 0
+        track = lambda s, i: F.struct(
+            i.cast("long").alias("audio_index"), F.coalesce(as_int(s["index"]), F.lit(0)).alias("index"), s["codec_name"].alias("codec"),
+            F.coalesce(as_int(s["sample_rate"]), F.lit(0)).alias("sample_rate"), F.coalesce(as_int(s["channels"]), F.lit(0)).alias("channels"),
+            F.coalesce(F.nullif(as_int(s["bits_per_raw_sample"]), F.lit(0)), F.nullif(as_int(s["bits_per_sample"]), F.lit(0))).alias("bits"),
+            as_int(s["bit_rate"]).alias("bit_rate"), as_float(s["duration"]).alias("duration"), F.try_element_at(s["tags"], F.lit("language")).alias("language"), is_set(s, "default").alias("is_default"),
+        )
+        every = F.transform(kind("audio"), track)
+        audio = F.filter(every, lambda s: (s["sample_rate"] > 0) & (s["channels"] > 0))
+        form = document["format"]
+        error = F.when(document.isNull() | (document["streams"].isNull() & form.isNull()), "unreadable").when((F.size(audio) == 0) & (F.size(every) > 0), "undecodable").when(F.size(every) == 0, "no_audio")
+        return F.struct(
+            F.coalesce(form["format_name"], F.lit("")).alias("container"), as_int(form["size"]).alias("size"), as_float(form["duration"]).alias("duration"), as_int(form["bit_rate"]).alias("bit_rate"),
+            F.exists(kind("video"), lambda s: ~is_set(s, "attached_pic")).alias("has_video"), F.exists(kind("video"), lambda s: is_set(s, "attached_pic")).alias("has_picture"), audio.alias("audio"), error.alias("error"),
+        )
+
+    # the document is parsed once: as a column it would be again wherever it is named
+    return F.element_at(F.transform(F.array(F.from_json(text, PROBE)), read), 1)
 
 
 def default_track(audio: Column) -> Column:
