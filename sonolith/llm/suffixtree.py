@@ -11,8 +11,8 @@ The corpus is encoded once into blocks (word codes and the 64-bit hashes of the
 whose collisions are too rare to matter: about V * V / 2**65 for V distinct words). Counts are
 made in each block with numpy and summed in a shuffle. To score, the distinct words of a block
 are joined with their counts, and a block's codes meet them in one group. The driver and every
-task hold the contexts, at most `max_contexts` (the least count of a length is doubled until its
-contexts fit). The counts of next words are broadcast up to `max_pairs` of them; beyond that
+task hold the contexts, all that occur often enough; where a caller gives `max_contexts`, the least
+count of a length is doubled until its contexts fit. The counts of next words are broadcast up to `max_pairs` of them; beyond that
 each block asks for those it needs, in a join.
 """
 
@@ -148,9 +148,9 @@ def _counts(blocks: DataFrame, tree: Tree | None, depth: int) -> DataFrame:
     return partial.groupBy("t", "s").agg(F.sum("n").alias("n"))
 
 
-def _fitting(counts: DataFrame, column: str, least: int, room: int) -> int:
-    """`least`, doubled until at most `room` rows of `counts` have so much in `column`."""
-    while counts.where(F.col(column) >= least).count() > room:
+def _fitting(counts: DataFrame, column: str, least: int, room: int | None) -> int:
+    """`least`, doubled until at most `room` rows of `counts` have so much in `column`; as it is without a limit."""
+    while room is not None and counts.where(F.col(column) >= least).count() > room:
         least *= 2
     return least
 
@@ -166,7 +166,7 @@ def _table(spark: SparkSession, **columns: tuple[pa.DataType, Iterable]) -> Data
     return spark.createDataFrame(pa.table([pa.array(list(values), kind) for kind, values in columns.values()], names=list(columns)))
 
 
-def learn(blocks: DataFrame, *, min_count: int = 256, min_follow: int = 8, max_depth: int = 4, least_gain: float = 0.01, max_contexts: int = 1 << 17) -> tuple[Tree, DataFrame, DataFrame]:
+def learn(blocks: DataFrame, *, min_count: int = 256, min_follow: int = 8, max_depth: int = 4, least_gain: float = 0.01, max_contexts: int | None = None) -> tuple[Tree, DataFrame, DataFrame]:
     """The tree, the counts (t, c) of every training word, and those of next words (s, t, n) of the retained contexts.
 
     least_gain: nats a token by which a context has to beat its longest retained suffix,
@@ -177,7 +177,7 @@ def learn(blocks: DataFrame, *, min_count: int = 256, min_follow: int = 8, max_d
     n, v = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
     end = int(np.uint64(xxhash.xxh64_intdigest(_END)).view(np.int64))
     often = words.where(F.col("t") != end)
-    often = often.where(F.col("c") >= _fitting(often, "c", min_count, max_contexts // 2))
+    often = often.where(F.col("c") >= _fitting(often, "c", min_count, None if max_contexts is None else max_contexts // 2))
     total = dict(sorted(_rows(often, "t", "c")))
     tree = Tree(n, v, np.array(list(total), np.int64))
     number = {h: k for k, h in enumerate(total, 1)}
@@ -211,7 +211,7 @@ def learn(blocks: DataFrame, *, min_count: int = 256, min_follow: int = 8, max_d
         if depth == max_depth:
             break
         # longer candidates: this context and one more word, whose own suffix is a candidate
-        room = max_contexts - len(context)
+        room = None if max_contexts is None else max_contexts - len(context)
         grown = table.join(heads, "t")
         grown = grown.where(F.col("n") >= _fitting(grown, "n", min_count, room)).select("s", "t", "n")
         grown = sorted((s * (len(total) + 1) + number[t], (*context[s], t), c) for s, t, c in _rows(grown, "s", "t", "n") if (*context[s], t)[1:] in known)

@@ -127,3 +127,11 @@ def test_empty_tables(docs):
 def test_text_ids(spark):
     rows = spark.createDataFrame([("a", "one two"), ("b", None), (None, "three")], "doc_id string, text string")
     assert sorted((r.doc_id or "", r.n_tokens) for r in suffixtree.train_and_score(rows).collect()) == [("", 2), ("a", 3), ("b", 1)]
+
+
+def test_no_context_is_dropped_without_a_limit(docs):
+    """More words than any fixed limit had room for; each is a context."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:70]
+    blocks = suffixtree.encode(docs([(i, " ".join(f"w{1000 * k + j}" for j in range(1000))) for k, i in enumerate(ids)]))
+    tree, _, _ = suffixtree.learn(blocks, min_count=1, min_follow=2, max_depth=1)
+    assert len(tree.heads) == 70_000
