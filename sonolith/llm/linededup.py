@@ -12,8 +12,11 @@ held against two centres, the one with the most and the one with the fewest comp
 whose lines are all surely near a centre is settled; others go on to the next length. So rows
 stay at a few for each line, whatever a group's size. What this leaves open is then compared in
 full: under every key of a large group, lines that are not yet in one component are held against
-each other in blocks, so that no candidate of any group is dropped. That work grows with the
-square of such lines under one key, but not with those of the group's largest component.
+each other in blocks, so that no candidate of any group is dropped. Families of near copies fill
+large groups with lines whose signatures agree but which are not similar; these make no rows,
+since the parities of their shingles prove how many they do not share. The rows stay few; the
+comparisons grow with the square of such lines under one key, but not with those of the group's
+largest component.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ LONGER = (6, 9, 13, 18, 24)
 FEW = 8
 #: Lines of a group that one task holds against as many others.
 BLOCK = 2048
+#: Columns of the parities, 64 bits each.
+PARITY = [f"p{i}" for i in range(16)]
 #: How many of a line's hashes reach the aggregation, on average; a longer line's others are too large to be smallest.
 SAMPLE = 64
 
@@ -152,20 +157,12 @@ def _small(df: DataFrame, rows: int = 250_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, threshold: float, width: int, often: bool = False) -> DataFrame:
-    """Those pairs (a, b) of line ids whose lines reach the similarity over all their shingles.
-
-    With `often`, a line is hashed once for all its pairs, and its hashes travel instead of it.
-    """
-    if often:
-        lines = materialise(lines.select("id", _hashed_shingles(F.col("line"), width).alias("line")), "shingles")
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    if often:
-        both = both.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
-    else:
-        both = _held(both, "a", "b", x=_hashed_shingles(F.col("x"), width), y=_hashed_shingles(F.col("y"), width))
+def _verified(pairs: DataFrame, lines: DataFrame, parities: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Those pairs (a, b) of line ids whose lines reach the similarity over all their shingles."""
+    side = lambda df, x: df.select(*(F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in df.columns))
+    maybe = pairs.join(side(parities, "a"), "a", "left").join(side(parities, "b"), "b", "left").where(_within(threshold)).select("a", "b")
+    both = maybe.join(side(lines, "a"), "a").join(side(lines, "b"), "b")
+    both = _held(both, "a", "b", x=_hashed_shingles(F.col("a_line"), width), y=_hashed_shingles(F.col("b_line"), width))
     both = _held(both, "a", "b", common=F.size(F.array_intersect("x", "y")), either=F.size("x") + F.size("y"))
     return materialise(both.where(F.col("common") >= threshold * (F.col("either") - F.col("common"))).select("a", "b"), "line-links")
 
@@ -208,11 +205,29 @@ def _starred(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, materialise(rest, "rest")
 
 
-def _across(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """Candidates (a, b) under the same key that are in different components so far: all of them, whatever a group's size.
+def _parities(lines: DataFrame, width: int) -> DataFrame:
+    """(id, n, p0, p1, ...): the number of shingles of each line (id, line), and for each remainder of a hash whether an odd number of them has it."""
+    each = _held(lines, "id", shingles=_hashed_shingles(F.col("line"), width)).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(len(PARITY) - 1)
+    return each.groupBy("id", "n").agg(*(F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(p) for i, p in enumerate(PARITY)))
+
 
-    rows: (key, id, runs, s0, ...); near: (node, component), any other line being one of its own.
-    Lines of a group's largest component are held against the others alone.
+def _within(threshold: float) -> Column:
+    """False only if the parities of a_ and b_ prove that the lines are not similar; unknown parities prove nothing.
+
+    A bit in which they differ stands for at least one shingle that only one of the lines has.
+    """
+    apart = reduce(add, (F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY))
+    return F.coalesce((1 + threshold) * apart <= (1 - threshold) * (F.col("a_n") + F.col("b_n")) + 1e-6, F.lit(True))
+
+
+def _across(rows: DataFrame, near: DataFrame, parities: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (a, b) under the same key that are in different components so far: all that may be similar, whatever a group's size.
+
+    rows: (key, id, runs, s0, ...); near: (node, component), any other line being one of its own;
+    parities: of lines that have candidates. Lines of a group's largest component are held against
+    the others alone.
     """
     own = near.groupBy(F.col("node").alias("id")).agg(F.min("component").alias("part"))
     columns = ["key", "id", "runs", *SKETCH]
@@ -224,14 +239,16 @@ def _across(rows: DataFrame, near: DataFrame) -> DataFrame:
     open_ = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     open_ = open_.select("key", F.col("most.part").alias("main"), blocks(F.col("size") - F.col("most.n")).alias("few"), blocks(F.col("size")).alias("all"))
-    rows = rows.join(_small(materialise(open_, "open")), "key")
+    rows = rows.join(_small(materialise(open_, "open")), "key").join(_small(parities, 50_000), "id", "left")
+    # no parities: so many shingles that nothing is proved
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(1 << 40 if c == "n" else 0).cast("long")) for c in ("n", *PARITY)})
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("part <> main").withColumn("i", mine("few")).withColumn("j", every("all"))
     right = rows.withColumn("j", mine("all")).withColumn("i", every("few"))
-    side = lambda df, x: df.select("key", "i", "j", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "runs", "part", "main", *SKETCH)))
+    side = lambda df, x: df.select("key", "i", "j", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "runs", "part", "main", "n", *SKETCH, *PARITY)))
     once = (F.col("b_part") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))
-    match = (F.col("a_part") != F.col("b_part")) & once & _alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs"))
+    match = (F.col("a_part") != F.col("b_part")) & once & _alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs")) & _within(threshold)
     left, right = side(left, "a"), side(right, "b")
     met = left.join(right.hint("shuffle_hash"), [left[c] == right[c] for c in ("key", "i", "j")] + [match])
     return materialise(met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "across")
@@ -268,18 +285,22 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
             if rows.isEmpty():
                 break
     pairs = materialise(reduce(DataFrame.union, found).distinct(), "candidates")
-    links = _linked(pairs, lines, threshold, width)
+    some = _texts(pairs, lines)
+    parities = materialise(_parities(some, width), "parities")
+    links = _verified(pairs, some, parities, threshold, width)
     near = components(links)
-    if large is None or (rest := _across(large, near).join(pairs, ["a", "b"], "left_anti")).isEmpty():
+    if large is None:
+        return near
+    rest = materialise(_across(large, near, parities, threshold).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    if rest.isEmpty():
         return near
-    return components(links.unionByName(_linked(materialise(rest, "candidates"), lines, threshold, width, often=True)))
+    return components(links.unionByName(_verified(rest, _texts(rest, lines), parities, threshold, width)))
 
 
-def _linked(pairs: DataFrame, lines: DataFrame, threshold: float, width: int, *, often: bool = False) -> DataFrame:
-    """Those of the candidates (a, b) whose lines are similar; `often` says that lines are in many of them."""
+def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Each line (id, line) that is in a pair (a, b)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = materialise(lines.join(_small(materialise(wanted, "candidate-ids")), "id", "left_semi").distinct(), "candidate-lines")
-    return _verified(pairs, some, threshold, width, often)
+    return materialise(lines.join(_small(materialise(wanted, "candidate-ids")), "id", "left_semi").distinct(), "candidate-lines")
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = 0.8, width: int = WIDTH, short: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

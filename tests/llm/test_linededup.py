@@ -169,3 +169,29 @@ def test_no_link_of_a_large_group_is_dropped(spark, monkeypatch):
     lines = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(40)]
     got = joined(linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), width=5), len(lines))
     assert got == [0] * len(lines)
+
+
+def test_families_make_few_candidates(spark, monkeypatch):
+    """A family of lines that agree in most bins but are not similar makes no row a pair; the links within it are found."""
+    made = {}
+    write = linededup.materialise
+
+    def counted(df, name):
+        table = write(df, name)
+        made[name] = made.get(name, 0) + (table.count() if name == "across" else 0)
+        return table
+
+    monkeypatch.setattr(linededup, "materialise", counted)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    def changed(words, n):
+        at = set(r.sample(range(len(words)), n))
+        return [word() if k in at else x for k, x in enumerate(words)]
+    base = [word() for _ in range(40)]
+    family = [changed(base, 4) for _ in range(150)]
+    lines = [" ".join(x) for x in family + [changed(x, 1) for x in family[:30]]]
+    _, links = slow(list(enumerate(lines)), width=5)
+    got = joined(linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), width=5), len(lines))
+    number = {x: k for k, x in enumerate(lines)}
+    assert len(links) >= 30 and all(got[number[x]] == got[number[y]] for x, y in links)
+    assert made["across"] <= 4 * len(lines)
