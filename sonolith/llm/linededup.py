@@ -12,11 +12,12 @@ held against two centres, the one with the most and the one with the fewest comp
 whose lines are all surely near a centre is settled; others go on to the next length. So rows
 stay at a few for each line, whatever a group's size. What this leaves open is then compared in
 full: under every key of a large group, lines that are not yet in one component are held against
-each other in blocks, so that no candidate of any group is dropped. Families of near copies fill
-large groups with lines whose signatures agree but which are not similar; these make no rows,
-since the parities of their shingles prove how many they do not share. The rows stay few; the
-comparisons grow with the square of such lines under one key, but not with those of the group's
-largest component.
+each other in blocks, so that no candidate of any group is dropped. A first join tells only which
+lines have a companion there, a row a line at most; those alone get their parities and are paired.
+Families of near copies fill large groups with lines whose signatures agree but which are not
+similar; these make no rows, since the parities of their shingles prove how many they do not
+share. The rows stay few; the comparisons grow with the square of such lines under one key, but
+not with those of the group's largest component.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .components import components
 
 WIDTH = 12
 BINS, ROWS = 32, 4
+BANDS = BINS // ROWS
 #: Lengths of the longer keys in bins.
 LONGER = (6, 9, 13, 18, 24)
 #: Groups of so many lines give all their pairs.
@@ -73,8 +75,8 @@ def _hashed_shingles(line: Column, width: int) -> Column:
     """
 
     def hashes(wide: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / 4).cast("int") - width, F.lit(0)))
-        return F.transform(numbers, lambda k: F.xxhash64(F.substring(wide, 4 * k + 1, F.lit(4 * width))))
+        places = F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 4 * width, F.lit(0)) + 1, F.lit(4))
+        return F.transform(places, lambda k: F.xxhash64(F.substring(wide, k, F.lit(4 * width))))
 
     return F.array_distinct(F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), hashes), 1))
 
@@ -122,14 +124,18 @@ def signatures(lines: DataFrame, *, width: int = WIDTH) -> DataFrame:
 
 
 def _key(start: int) -> Column:
-    """Key of the band that starts at a bin."""
-    return F.xxhash64(F.lit(start), *(F.col(f"m{start + j}") for j in range(ROWS)))
+    """Key of the band that starts at a bin; its last bits tell which band it is."""
+    return F.xxhash64(F.lit(start), *(F.col(f"m{start + j}") for j in range(ROWS))).bitwiseAND(-BANDS).bitwiseOR(start // ROWS)
 
 
-def _longer_keys() -> Column:
-    """The longer keys of the band in column `start`, whose bins go around the signature."""
-    around = F.array(*(F.col(f"m{i % BINS}") for i in range(2 * BINS)))
-    return F.array(*(F.xxhash64("start", F.slice(around, F.col("start") + 1, F.lit(k))) for k in LONGER))
+def _longer_key(bins: int) -> Column:
+    """Key of the lines that share the band in column `band` and the sketches of so many bins from there, around the signature."""
+    own = [F.col(f"s{i // 2}") if i % 2 == 0 else F.shiftrightunsigned(f"s{i // 2}", 32) for i in range(BANDS)]
+    around = F.array(*(x.bitwiseAND((1 << 32) - 1) for x in own + own))
+    from_band = [F.get(around, (F.col("band").bitwiseAND(BANDS - 1) + i).cast("int")) for i in range(-(-bins // ROWS))]
+    if bins % ROWS:
+        from_band[-1] = from_band[-1].bitwiseAND((1 << 8 * (bins % ROWS)) - 1)
+    return F.xxhash64("band", *from_band)
 
 
 def _sketch() -> list[Column]:
@@ -167,41 +173,32 @@ def _verified(pairs: DataFrame, lines: DataFrame, parities: DataFrame, threshold
     return materialise(both.where(F.col("common") >= threshold * (F.col("either") - F.col("common"))).select("a", "b"), "line-links")
 
 
-def _few(groups: DataFrame) -> DataFrame:
-    """(a, b): all pairs of the groups (n, low, high, mixed) of two or three lines; mixed is the exclusive or of their ids."""
-    mid = F.col("mixed").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    two = F.array(pair(F.col("low"), F.col("high")))
-    three = F.array(pair(F.col("low"), F.col("high")), pair(F.col("low"), mid), pair(mid, F.col("high")))
-    return groups.where("n <= 3").select(F.inline(F.when(F.col("n") == 2, two).otherwise(three)))
-
-
 def _several(rows: DataFrame) -> DataFrame:
     """Candidates (a, b) among all pairs of each key's lines; rows: (key, id, runs, s0, ...), at most `FEW` of a key."""
-    groups = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "runs", *SKETCH))).alias("g"))
-    first = groups.select("g", F.posexplode("g").alias("i", "x"))
-    both = first.select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(FEW))).alias("y"))
-    return both.where(_alike(_agreeing("x.", "y."), F.least("x.runs", "y.runs"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    side = lambda x: rows.select(*(F.col(c).alias(f"{x}_{c}") for c in ("key", "id", "runs", *SKETCH)))
+    match = (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & _alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs"))
+    return side("a").join(side("b").hint("shuffle_hash"), match).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def _starred(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _starred(rows: DataFrame, longer: int | None) -> tuple[DataFrame, DataFrame]:
     """Candidates (a, b) of each group, and the rows of groups that go on to their next key.
 
-    rows: (key, more, id, runs, pop, s0, ...), `more` holding the longer keys. Rows of a group
-    go on together unless each of them agrees with a centre in 27 bins of 32 or more.
+    rows: (key, band, id, runs, pop, s0, ...); the next key has `longer` bins, or there is none.
+    Rows of a group go on together unless each of them agrees with a centre in 27 bins of 32 or more.
     """
     who = F.struct("pop", "id", *SKETCH)
     centres = rows.groupBy("key").agg(F.count("*").alias("size"), F.max(who).alias("c"), F.min(who).alias("d")).where("size > 1")
     centres = centres.select("key", "size", *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "cd" for y in ("id", *SKETCH)))
-    held = rows.select("key", "more", "id", "runs", "pop", *(F.col(s).alias(f"own_{s}") for s in SKETCH)).join(centres, "key")
-    held = held.select("key", "size", "more", "id", "runs", "pop", *(F.col(f"own_{s}").alias(s) for s in SKETCH), "c_id", "d_id", _agreeing("own_", "c_").alias("with_c"), _agreeing("own_", "d_").alias("with_d"))
+    held = rows.select("key", "band", "id", "runs", "pop", *(F.col(s).alias(f"own_{s}") for s in SKETCH)).join(centres, "key")
+    held = held.select("key", "size", "band", "id", "runs", "pop", *(F.col(f"own_{s}").alias(s) for s in SKETCH), "c_id", "d_id", _agreeing("own_", "c_").alias("with_c"), _agreeing("own_", "d_").alias("with_d"))
     held = materialise(held, "held")
     many = held.where(f"size > {FEW}")
     near = lambda x: F.when(_alike(F.col(f"with_{x}"), F.col("runs")) & (F.col("id") != F.col(f"{x}_id")), F.struct(F.least("id", f"{x}_id").alias("a"), F.greatest("id", f"{x}_id").alias("b")))
     pairs = many.select(F.inline(F.array_compact(F.array(near("c"), near("d"))))).union(_several(held.where(f"size <= {FEW}")))
+    if longer is None:
+        return pairs, many.limit(0)
     loose = many.where("greatest(with_c, with_d) < 27").select("key").distinct()
-    rest = many.join(loose, "key", "left_semi").where(F.size("more") > 0)
-    rest = rest.select(F.col("more")[0].alias("key"), F.slice("more", 2, len(LONGER)).alias("more"), "id", "runs", "pop", *SKETCH)
+    rest = many.join(loose, "key", "left_semi").select(_longer_key(longer).alias("key"), "band", "id", "runs", "pop", *SKETCH)
     return pairs, materialise(rest, "rest")
 
 
@@ -239,18 +236,30 @@ def _across(rows: DataFrame, near: DataFrame, parities: DataFrame, threshold: fl
     open_ = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     open_ = open_.select("key", F.col("most.part").alias("main"), blocks(F.col("size") - F.col("most.n")).alias("few"), blocks(F.col("size")).alias("all"))
-    rows = rows.join(_small(materialise(open_, "open")), "key").join(_small(parities, 50_000), "id", "left")
-    # no parities: so many shingles that nothing is proved
-    rows = rows.withColumns({c: F.coalesce(c, F.lit(1 << 40 if c == "n" else 0).cast("long")) for c in ("n", *PARITY)})
+    rows = rows.join(_small(materialise(open_, "open")), "key").withColumn("first", F.col("part") == F.col("main"))
+    rows = materialise(rows, "opened")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("part <> main").withColumn("i", mine("few")).withColumn("j", every("all"))
-    right = rows.withColumn("j", mine("all")).withColumn("i", every("few"))
-    side = lambda df, x: df.select("key", "i", "j", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "runs", "part", "main", "n", *SKETCH, *PARITY)))
-    once = (F.col("b_part") == F.col("b_main")) | (F.col("a_id") < F.col("b_id"))
-    match = (F.col("a_part") != F.col("b_part")) & once & _alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs")) & _within(threshold)
+    # groups of one block stay as they are; of larger ones each line goes to the blocks that it is held against
+    whole, dealt = rows.where(F.col("all") == 1).withColumns({"i": F.lit(0), "j": F.lit(0)}), rows.where(F.col("all") > 1)
+    left = whole.unionByName(dealt.withColumn("i", mine("few")).withColumn("j", every("all"))).where(~F.col("first"))
+    right = whole.unionByName(dealt.withColumn("j", mine("all")).withColumn("i", every("few")))
+    place = ["key", "i", "j"]
+    side = lambda df, x: df.select(*(F.col(c).alias(f"{x}_{c}") for c in (*place, "id", "runs", "part", "first", *SKETCH)))
     left, right = side(left, "a"), side(right, "b")
-    met = left.join(right.hint("shuffle_hash"), [left[c] == right[c] for c in ("key", "i", "j")] + [match])
+    once = F.col("b_first") | (F.col("a_id") < F.col("b_id"))
+    match = (F.col("a_part") != F.col("b_part")) & once & _alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs"))
+    match = reduce(lambda x, y: x & y, (F.col(f"a_{c}") == F.col(f"b_{c}") for c in place)) & match
+    # only lines with a companion are paired, and only they get parities
+    left = materialise(left.join(right.hint("shuffle_hash"), match, "left_semi"), "met")
+    right = materialise(right.join(_small(left).hint("shuffle_hash"), match, "left_semi"), "met")
+    def known(df: DataFrame, x: str) -> DataFrame:
+        columns = ["n", *PARITY]
+        df = df.join(_small(parities, 50_000).select(F.col("id").alias(f"{x}_id"), *(F.col(c).alias(f"{x}_{c}") for c in columns)), f"{x}_id", "left")
+        # no parities: so many shingles that nothing is proved
+        return df.withColumns({f"{x}_{c}": F.coalesce(f"{x}_{c}", F.lit(1 << 40 if c == "n" else 0).cast("long")) for c in columns})
+
+    met = known(left, "a").join(known(right, "b").hint("shuffle_hash"), match & _within(threshold))
     return materialise(met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "across")
 
 
@@ -260,27 +269,18 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
     Texts are not shuffled, but for those of candidates. An empty table gives no rows.
     """
     signed = signatures(lines, width=width)
-    starts = range(0, BINS, ROWS)
-    keys = signed.select("id", F.explode(F.array(*map(_key, starts))).alias("key"))
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("mixed")).where("n > 1")
-    groups = materialise(groups, "groups")
-    pairs = materialise(_few(groups).distinct(), "pairs")
-    sketches = signed.select("id", F.col("n").alias("runs"), *_sketch())
-    side = lambda x: sketches.select(F.col("id").alias(x), *(F.col(s).alias(f"{x}_{s}") for s in ("runs", *SKETCH)))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(_agreeing("a_", "b_"), F.least("a_runs", "b_runs")))
-    found = [both.select("a", "b")]
-    large = None
-    crowded = groups.where("n > 3").select("key", F.col("n").alias("size"))
-    if not crowded.isEmpty():
-        spread = signed.select("*", F.inline(F.array(*(F.struct(F.lit(i).alias("start"), _key(i).alias("key")) for i in starts))))
-        rows = spread.join(_small(crowded), "key").select("key", "size", "id", F.col("n").alias("runs"), _longer_keys().alias("more"), *_sketch())
-        rows = materialise(rows, "rest")
-        found.append(_several(rows.where(f"size <= {FEW}")))
-        large = many = rows.where(f"size > {FEW}")
+    keys = signed.select("id", F.explode(F.array(*map(_key, range(0, BINS, ROWS)))).alias("key"))
+    shared = keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    rows = materialise(shared.join(signed.select("id", F.col("n").alias("runs"), *_sketch()), "id"), "shared")
+    found = [_several(rows.where(f"size <= {FEW}"))]
+    large = rows.where(f"size > {FEW}")
+    crowded = not large.isEmpty()
+    if crowded:
         # a window: a join would make the rows of all large groups once more
-        rows = many.withColumn("pop", F.sum("size").over(Window.partitionBy("id"))).select(F.col("more")[0].alias("key"), F.slice("more", 2, len(LONGER)).alias("more"), "id", "runs", "pop", *SKETCH)
-        for _ in LONGER:
-            some, rows = _starred(rows)
+        rows = large.withColumn("pop", F.sum("size").over(Window.partitionBy("id"))).withColumnRenamed("key", "band")
+        rows = rows.select(_longer_key(LONGER[0]).alias("key"), "band", "id", "runs", "pop", *SKETCH)
+        for longer in (*LONGER[1:], None):
+            some, rows = _starred(rows, longer)
             found.append(some)
             if rows.isEmpty():
                 break
@@ -289,7 +289,7 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
     parities = materialise(_parities(some, width), "parities")
     links = _verified(pairs, some, parities, threshold, width)
     near = components(links)
-    if large is None:
+    if not crowded:
         return near
     rest = materialise(_across(large, near, parities, threshold).join(pairs, ["a", "b"], "left_anti"), "candidates")
     if rest.isEmpty():

@@ -195,3 +195,36 @@ def test_families_make_few_candidates(spark, monkeypatch):
     number = {x: k for k, x in enumerate(lines)}
     assert len(links) >= 30 and all(got[number[x]] == got[number[y]] for x, y in links)
     assert made["across"] <= 4 * len(lines)
+
+
+def rows_of_outer_joins(spark, since):
+    """Rows that left joins on a line's id made in the executions from number `since` on."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(since, store.executionsCount()):
+        one = store.executionsList(k, 1).apply(0).executionId()
+        nodes, values = store.planGraph(one).allNodes(), store.executionMetrics(one)
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            if "Join" in node.name() and re.search(r"\[(a_)?id#.*LeftOuter", node.desc()):
+                for m in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_only_lines_with_companions_get_parities(spark, monkeypatch):
+    """Lines that share over half of their text fill large groups; only those that have a companion there are joined with parities."""
+    monkeypatch.setattr(linededup, "LONGER", (32,))
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    common = [word() for _ in range(28)]
+    lines = []
+    for k in range(300):
+        own = [word() for _ in range(19)]
+        lines.append(" ".join([*common, *own]))
+        if k < 10:
+            lines.append(" ".join([*common, *own[:-1], word()]))
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = joined(linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), width=5), len(lines))
+    assert all(got[k] == got[k + 1] for k in range(0, 20, 2)) and len(set(got)) == 300
+    assert rows_of_outer_joins(spark, since) <= len(lines)
