@@ -48,6 +48,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` wrote and that nothing reads again, so that they don't take disk until the end."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def doc_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two needed columns, under fixed names; a null text counts as empty."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

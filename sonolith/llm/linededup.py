@@ -28,7 +28,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .components import components
 
 WIDTH = 12
@@ -96,7 +96,8 @@ def _minima(lines: DataFrame, width: int, sample: int | None) -> DataFrame:
     below = F.shiftrightunsigned("h", 32) < F.col("bound")
     # the first run of a line always passes, so that each line has a row, but counts in a bin only below the bound
     dealt = hashed.where(below | (F.col("k") == 0)).select("id", "n", F.when(below, F.col("h").bitwiseAND(BINS - 1).cast("int")).alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("h"))
-    return dealt.groupBy("id", "n").agg(*(F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"m{i}") for i in range(BINS)))
+    # FILTER: a row costs each column but its own a comparison; a condition inside min() would rewrite all of them
+    return dealt.groupBy("id", "n").agg(*(F.expr(f"min(h) filter (where bin = {i})").alias(f"m{i}") for i in range(BINS)))
 
 
 def signatures(lines: DataFrame, *, width: int = WIDTH) -> DataFrame:
@@ -111,8 +112,7 @@ def signatures(lines: DataFrame, *, width: int = WIDTH) -> DataFrame:
         columns = [f"m{i}" for i in range(BINS)]
         rows = rows.select("id", "n", filled.alias("filled"), *columns)
         for far in (1, 2, 4, 8, 16):  # each step doubles how far the next hash may be
-            held = F.array(F.struct(*(F.coalesce(columns[i], columns[(i + far) % BINS]).alias(columns[i]) for i in range(BINS))))
-            rows = rows.select("id", "n", "filled", F.inline(held))
+            rows = rows.select("id", "n", "filled", *(F.coalesce(columns[i], columns[(i + far) % BINS]).alias(columns[i]) for i in range(BINS)))
         return rows
 
     some = materialise(whole(_minima(lines, width, SAMPLE)), "signatures")
@@ -148,9 +148,18 @@ SKETCH = [f"s{i}" for i in range(BINS // 8)]
 
 
 def _agreeing(left: str, right: str) -> Column:
-    """In how many bins the sketches of two column prefixes agree."""
-    apart = [F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}")) for s in SKETCH]
-    return reduce(add, ((F.shiftrightunsigned(x, 8 * j).bitwiseAND(255) == 0).cast("int") for x in apart for j in range(8)))
+    """In how many bins the sketches of two column prefixes agree.
+
+    Eight bytes are told at once: the sum of a byte's halves and 31 reaches 32 unless the byte is zero.
+    """
+    every = lambda byte: F.lit(int.from_bytes(bytes([byte] * 8)))
+
+    def apart(s: str) -> Column:
+        x = F.col(f"{left}{s}").bitwiseXOR(F.col(f"{right}{s}"))
+        halves = x.bitwiseAND(every(15)) + F.shiftrightunsigned(x, 4).bitwiseAND(every(15))
+        return F.bit_count((halves + every(31)).bitwiseAND(every(32)))
+
+    return BINS - reduce(add, map(apart, SKETCH))
 
 
 def _alike(bins: Column, n: Column) -> Column:
@@ -207,7 +216,8 @@ def _parities(lines: DataFrame, width: int) -> DataFrame:
     each = _held(lines, "id", shingles=_hashed_shingles(F.col("line"), width)).select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(len(PARITY) - 1)
-    return each.groupBy("id", "n").agg(*(F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(p) for i, p in enumerate(PARITY)))
+    each = each.select("id", "n", bit.alias("bit"), word.cast("int").alias("word"))
+    return each.groupBy("id", "n").agg(*(F.expr(f"coalesce(bit_xor(bit) filter (where word = {i}), 0L)").alias(p) for i, p in enumerate(PARITY)))
 
 
 def _within(threshold: float) -> Column:
@@ -231,12 +241,12 @@ def _across(rows: DataFrame, near: DataFrame, parities: DataFrame, threshold: fl
     # a line's rows and its component meet in a window, which makes no rows of its own
     both = rows.select(*columns, F.lit(None).cast("long").alias("part")).unionByName(own, allowMissingColumns=True)
     rows = both.withColumn("part", F.coalesce(F.max("part").over(Window.partitionBy("id")), "id")).where(F.col("key").isNotNull())
-    rows = materialise(rows, "parted")
-    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    parted = materialise(rows, "parted")
+    parts = parted.groupBy("key", "part").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     open_ = open_.select("key", F.col("most.part").alias("main"), blocks(F.col("size") - F.col("most.n")).alias("few"), blocks(F.col("size")).alias("all"))
-    rows = rows.join(_small(materialise(open_, "open")), "key").withColumn("first", F.col("part") == F.col("main"))
+    rows = parted.join(_small(materialise(open_, "open")), "key").withColumn("first", F.col("part") == F.col("main"))
     rows = materialise(rows, "opened")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -259,6 +269,7 @@ def _across(rows: DataFrame, near: DataFrame, parities: DataFrame, threshold: fl
         # no parities: so many shingles that nothing is proved
         return df.withColumns({f"{x}_{c}": F.coalesce(f"{x}_{c}", F.lit(1 << 40 if c == "n" else 0).cast("long")) for c in columns})
 
+    discard(parted, rows)
     met = known(left, "a").join(known(right, "b").hint("shuffle_hash"), match & _within(threshold))
     return materialise(met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct(), "across")
 
@@ -271,7 +282,8 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
     signed = signatures(lines, width=width)
     keys = signed.select("id", F.explode(F.array(*map(_key, range(0, BINS, ROWS)))).alias("key"))
     shared = keys.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    rows = materialise(shared.join(signed.select("id", F.col("n").alias("runs"), *_sketch()), "id"), "shared")
+    whole = rows = materialise(shared.join(signed.select("id", F.col("n").alias("runs"), *_sketch()), "id"), "shared")
+    discard(signed)
     found = [_several(rows.where(f"size <= {FEW}"))]
     large = rows.where(f"size > {FEW}")
     crowded = not large.isEmpty()
@@ -288,13 +300,18 @@ def near_lines(lines: DataFrame, *, threshold: float = 0.8, width: int = WIDTH)
     some = _texts(pairs, lines)
     parities = materialise(_parities(some, width), "parities")
     links = _verified(pairs, some, parities, threshold, width)
+    discard(some)
     near = components(links)
     if not crowded:
+        discard(whole)
         return near
     rest = materialise(_across(large, near, parities, threshold).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    discard(whole)
     if rest.isEmpty():
         return near
-    return components(links.unionByName(_verified(rest, _texts(rest, lines), parities, threshold, width)))
+    # components stand for the links that made them
+    more = _verified(rest, _texts(rest, lines), parities, threshold, width)
+    return components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
 def _texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 
 from sonolith.llm import linededup, queries
+from sonolith.llm.common import scratch_dir
 
 
 def shingles(x, width=12):
@@ -228,3 +231,26 @@ def test_only_lines_with_companions_get_parities(spark, monkeypatch):
     got = joined(linededup.near_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), width=5), len(lines))
     assert all(got[k] == got[k + 1] for k in range(0, 20, 2)) and len(set(got)) == 300
     assert rows_of_outer_joins(spark, since) <= len(lines)
+
+
+def test_tables_that_are_read_go(docs, invented):
+    """Of a run only the few tables stay that its result reads or that are small: signatures, keys and texts of candidates don't."""
+    table = docs(corpus(invented))
+    folder = Path(urlparse(scratch_dir(table.sparkSession)).path)
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert linededup.dedup_lines(table).count() == 65
+    stay = {p.name[:-33] for p in set(folder.iterdir()) - before}
+    assert "dropped" in stay and not stay & {"signatures", "shared", "candidate-lines", "parted", "opened"}
+
+
+def test_agreeing_counts_equal_bytes(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(500):
+        x = [r.randrange(256) for _ in range(32)]
+        y = [b if r.random() < 0.6 else r.choice((b ^ 1 << r.randrange(8), r.randrange(256))) for b in x]
+        long = lambda z: [int.from_bytes(bytes(z[k : k + 8]), "little", signed=True) for k in range(0, 32, 8)]
+        rows.append((*long(x), *long(y), sum(a == b for a, b in zip(x, y))))
+    names = [f"{x}{s}" for x in ("a_", "b_") for s in linededup.SKETCH]
+    table = spark.createDataFrame(rows, ", ".join(f"{x} long" for x in names) + ", want int")
+    assert table.where(linededup._agreeing("a_", "b_") != table.want).count() == 0
