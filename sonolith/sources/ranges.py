@@ -225,7 +225,8 @@ def write_wav(blocks: DataFrame, folder: str, rate: int, *, name: str = "name",
         raise ValueError(f"no samples of {kind} are written")
     sizes = blocks.groupBy(F.col(name).alias("name")).agg(F.sum(F.size(pcm)).alias("frames"))
     rows = blocks.select(F.col(name).alias("name"), F.col(pos).cast("long").alias("pos"), F.col(pcm).cast("array<array<float>>").alias("pcm"))
-    rows = rows.join(sizes, "name").repartition("name").sortWithinPartitions("name", "pos")
+    # by a hash: in place of a repartition by the join's own key Spark takes the join's shuffle, and no longer keeps a name in one task once the join becomes a broadcast while it runs
+    rows = rows.join(sizes, "name").repartition(F.xxhash64("name")).sortWithinPartitions("name", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = located(folder)
